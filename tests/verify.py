@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
+import decimal
 import sys
 import time
 from pathlib import Path
 
 import duckdb
-import pandas as pd
 from pyspark.sql import SparkSession
 
 sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
@@ -20,10 +20,19 @@ def session(name: str = "verify") -> SparkSession:
     )
 
 
-def rows_of(frame: pd.DataFrame) -> list[tuple]:
-    frame = frame[sorted(frame.columns)]
-    clean = lambda v: None if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v) else round(v, 9) if isinstance(v, float) else tuple(clean(x) for x in v) if isinstance(v, (list, tuple)) or hasattr(v, "tolist") and getattr(v, "ndim", 0) else v.item() if hasattr(v, "item") and not hasattr(v, "isoformat") else v
-    return sorted((tuple(clean(v) for v in r) for r in frame.itertuples(index=False, name=None)), key=repr)
+def clean(v):
+    if isinstance(v, float):
+        return None if v != v else round(v, 9)
+    if isinstance(v, (list, tuple)):
+        return tuple(clean(x) for x in v)
+    if isinstance(v, decimal.Decimal):
+        return int(v) if v == int(v) else float(v)
+    return v
+
+
+def rows_of(names: list[str], rows: list[tuple]) -> list[tuple]:
+    order = sorted(range(len(names)), key=lambda i: names[i])
+    return sorted((tuple(clean(r[i]) for i in order) for r in rows), key=repr)
 
 
 def oracle(sf_dir: str) -> duckdb.DuckDBPyConnection:
@@ -44,23 +53,19 @@ def main(args: list[str]) -> int:
         began = time.time()
         try:
             got = e.queries()[name](spark, sf)
-            kinds = dict(got.dtypes)
-            got = got.toPandas()
+            names, got = got.columns, [tuple(r.values()) for r in got.toArrow().to_pylist()]
             took = time.time() - began
             if name not in e.oracle_sql():
                 print(f"{name}: {len(got)} rows, no SQL ({took:.1f} s)", flush=True)
                 continue
-            want = con.execute(e.oracle_sql()[name]).fetchdf()
-            for c, kind in kinds.items():  # whole numbers with nulls arrive as floats
-                for f in (got, want):
-                    if c in f and kind in ("bigint", "int") and f[c].dtype == float:
-                        f[c] = f[c].astype("Int64").astype(object).where(f[c].notna(), None)
-            a, b = rows_of(got), rows_of(want)
-            same = sorted(got.columns) == sorted(want.columns) and a == b
+            c = con.execute(e.oracle_sql()[name])
+            other, want = [d[0] for d in c.description], c.fetchall()
+            a, b = rows_of(names, got), rows_of(other, want)
+            same = sorted(names) == sorted(other) and a == b
             print(f"{name}: {'ok' if same else 'DIFFERS'} {len(a)} {len(b)} ({took:.1f} s)", flush=True)
             if not same:
                 bad.append(name)
-                print("   columns", sorted(got.columns), sorted(want.columns))
+                print("   columns", sorted(names), sorted(other))
                 sa, sb = set(map(repr, a)), set(map(repr, b))
                 print("   only ours", list(sa - sb)[:4], "\n   only SQL", list(sb - sa)[:4])
         except Exception as x:
