@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..storage import settle, table
-from . import terms, threads, vectors
+from . import leaks, packing, terms, threads, vectors
 
 llm = Registry()
 
@@ -91,3 +91,31 @@ SELECT DISTINCT least(a, b) AS exchange_id_a, greatest(a, b) AS exchange_id_b FR
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = vectors.comparable(table(spark, sf_dir, "exchange_vectors"), "exchange_id", "vector", "r2")
     return vectors.similar_pairs(v, 3).toDF("exchange_id_a", "exchange_id_b")
+
+
+# ---- 9: leaked evaluation items
+
+
+@llm.query("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leaks.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+    return found.select("doc_id", "item_id")
+
+
+@llm.query("p9_cleaned")
+def p9_cleaned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.remove_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "eval_items"))
+
+
+# ---- 8: containers
+
+
+@llm.query("p8_assignment")
+def p8_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(table(spark, sf_dir, "documents"))
+
+
+@llm.query("p8_containers")
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    a = packing.pack_documents(table(spark, sf_dir, "documents")).where(F.col("container_id").isNotNull())
+    return a.groupBy("container_id").agg(F.count("*").alias("n_pieces"), F.sum("n_tokens").alias("n_tokens"), (F.lit(2048) - F.sum("n_tokens")).alias("room"))
