@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..storage import settle, table
-from . import leaks, packing, terms, threads, vectors
+from . import leaks, packing, pii, terms, threads, vectors
 
 llm = Registry()
 
@@ -119,3 +119,22 @@ def p8_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = packing.pack_documents(table(spark, sf_dir, "documents")).where(F.col("container_id").isNotNull())
     return a.groupBy("container_id").agg(F.count("*").alias("n_pieces"), F.sum("n_tokens").alias("n_tokens"), (F.lit(2048) - F.sum("n_tokens")).alias("room"))
+
+
+# ---- 6: personal information
+
+
+def _pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s, m = table(spark, sf_dir, "source_messages"), table(spark, sf_dir, "messages")
+    known = pii.author_names((s, "author_name", "author_id"), (m, "author_name_at_time", "author_id"))
+    return pii.find(s, known)
+
+
+@llm.query("p6_found")
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pii(spark, sf_dir).select("message_id", F.explode("kinds").alias("kind")).distinct()
+
+
+@llm.query("p6_redacted")
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _pii(spark, sf_dir).select("message_id", "n_finds", "redacted")
