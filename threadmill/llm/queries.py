@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..plans.registry import Registry
 from ..storage import settle, table
-from . import leaks, packing, pii, terms, threads, vectors
+from . import leaks, packing, pii, subjects, terms, threads, vectors
 
 llm = Registry()
 
@@ -138,3 +138,21 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @llm.query("p6_redacted")
 def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _pii(spark, sf_dir).select("message_id", "n_finds", "redacted")
+
+
+# ---- 10: subjects
+
+
+def _tables10(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
+    return [table(spark, sf_dir, t) for t in ("documents", "subjects", "subject_labels")]
+
+
+@llm.query("p10_found")
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subjects.assign(*_tables10(spark, sf_dir))
+
+
+@llm.query("p10_composition")
+def p10_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = subjects.subject_shares(*_tables10(spark, sf_dir)).where(F.col("share") >= subjects.SHARE)
+    return s.groupBy("subject").agg(F.count("*").alias("n_documents"), F.sum("n_about").alias("n_sentences"))
