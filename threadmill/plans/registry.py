@@ -24,3 +24,7 @@ class Registry:
             return f
 
         return add
+
+
+#: Queries of the core, filled by the modules that ``core`` imports.
+CORE = Registry()
