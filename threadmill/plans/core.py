@@ -2,5 +2,5 @@
 
 from __future__ import annotations
 
-from . import grouping_queries, text_queries  # noqa: F401
+from . import grouping_queries, relational_queries, text_queries  # noqa: F401
 from .registry import CORE as core  # noqa: F401
