@@ -52,7 +52,7 @@ def reply_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     "exchange_groups",
     f"""WITH RECURSIVE {_POOL}, {_ROOTS}, big AS (SELECT root FROM walk GROUP BY root HAVING count(*) > 1),
 chained AS (SELECT w.id, w.root FROM walk w JOIN big USING (root)), left_over AS (SELECT * FROM rest WHERE id NOT IN (SELECT id FROM chained)),
-every AS (SELECT id, us, 'thread' AS rule, 't:' || thread_id AS key FROM pool WHERE thread_id IS NOT NULL
+every AS (SELECT id, us, 'thread' AS rule, 't:' || channel_id || ':' || thread_id AS key FROM pool WHERE thread_id IS NOT NULL
   UNION ALL SELECT c.id, p.us, 'reply_chain', 'r:' || root FROM chained c JOIN pool p ON p.id = c.id
   UNION ALL SELECT id, us, 'quiet_gap', 'q:' || channel_id || ':' || group_no FROM {_quiet(30, 'left_over')})
 SELECT rule, arg_min(id, (us, id)) AS first_id, count(*) AS n, sha256(string_agg(CAST(id AS VARCHAR), ',' ORDER BY us, id)) AS content_hash FROM every GROUP BY rule, key""",

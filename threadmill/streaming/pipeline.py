@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 from ..storage import _filesystem
 
@@ -20,7 +20,7 @@ def read_files(spark: SparkSession, path: str, schema: StructType, fmt: str = "p
     """A stream of the files that appear at ``path``; JSON that doesn't fit the schema keeps its text in ``_corrupt``."""
     r = spark.readStream.format(fmt).schema(schema).option("maxFilesPerTrigger", max_files)
     if fmt == "json":
-        r = r.schema(StructType(schema.fields).add("_corrupt", "string")).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
+        r = r.schema(StructType([*schema.fields, StructField("_corrupt", StringType())])).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt")
     fs, at = _filesystem(spark, path)
     if fs.exists(at) and fs.isFile(at):  # a file source reads folders: this one's, by name
         return r.option("pathGlobFilter", at.getName()).load(path.rpartition("/")[0])
