@@ -67,3 +67,14 @@ def settle(df: DataFrame, what: str) -> DataFrame:
     path = scratch(spark, what)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores.
+
+    For work that costs far more than reading does (Python over texts): a small
+    input of few files would otherwise leave cores idle.  Larger inputs already
+    have more partitions and aren't shuffled.
+    """
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n, key)
