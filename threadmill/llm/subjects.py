@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import settle
+from ..storage import settle, spread
 
 #: Size of the learned lexicon, and label rows used (both bounds of what the driver holds).
 MAX_TERMS = 60_000
@@ -54,6 +54,8 @@ _SENTENCE = re.compile(r"(?<=[.!?])[\"”'’)]*\s+(?=[^\sa-zà-ÿ])|\n+")
 _SECTION = re.compile(r"\n[ \t]*\n")
 _WORD = re.compile(r"[^\W\d_]+(?:['-][^\W\d_]+)*")
 _STOP = frozenset("about above and the".split())
+#: Function words (fixed values) that no pair of words is made of.
+_LINK = frozenset("a an and as at but by each every for from had if in is it its my no not of on one or our so than that the this to until was were with your aus das der die dort ist mal mit nach nicht noch und war wir wurde au avec ce de des du est et il la le les ne pour que un une al con del el en es las los para por se un una y".split())
 
 
 def sentences(text: str) -> list[list[str]]:
@@ -68,9 +70,9 @@ def sentences(text: str) -> list[list[str]]:
 
 
 def terms(sentence: str) -> set[str]:
-    """Lower-case words of a sentence and pairs of neighbouring words."""
-    w = _WORD.findall(sentence.lower().replace("’", "'").replace("​", ""))
-    return {*w, *(f"{a} {b}" for a, b in zip(w, w[1:]))}
+    """Lower-case words of a sentence and pairs of neighbouring words that aren't function words."""
+    w = _WORD.findall(sentence.lower().replace("’", "'").replace("\u200b", ""))
+    return {*w, *(f"{a} {b}" for a, b in zip(w, w[1:]) if a not in _LINK and b not in _LINK)}
 
 
 def seed_lexicon(subjects: Sequence[tuple[str, str]]) -> dict[str, int]:
@@ -85,21 +87,22 @@ def seed_lexicon(subjects: Sequence[tuple[str, str]]) -> dict[str, int]:
     return {w: next(iter(s)) for w, s in owner.items() if len(s) == 1 and w not in _STOP}
 
 
-def lexicon_vote(found: set[str], lexicon: dict[str, int]) -> int | None:
-    c = Counter(lexicon[t] for t in found if t in lexicon)
-    if not c:
+def lexicon_vote(hits: set[str], lexicon: dict[str, int]) -> int | None:
+    """The subject that most of a sentence's lexicon terms belong to; none for ties."""
+    if not hits:
         return None
-    (a, n), *rest = c.most_common(2)
+    (a, n), *rest = Counter(lexicon[t] for t in hits).most_common(2)
     return None if rest and rest[0][1] == n else a
 
 
-def weighted_vote(found: set[str], lexicon: dict[str, tuple[int, float]]) -> int | None:
-    c: dict[int, float] = defaultdict(float)
-    for t in found:
-        if (e := lexicon.get(t)) is not None:
-            c[e[0]] += e[1]
-    if not c:
+def weighted_vote(hits: set[str], lexicon: dict[str, tuple[int, float]]) -> int | None:
+    """The subject with the greatest weight of a sentence's terms; none if another comes close."""
+    if not hits:
         return None
+    c: dict[int, float] = defaultdict(float)
+    for t in sorted(hits):
+        s, w = lexicon[t]
+        c[s] += w
     ranked = sorted(c.items(), key=lambda x: (-x[1], x[0]))
     return None if len(ranked) > 1 and ranked[1][1] > 0.9 * ranked[0][1] else ranked[0][0]
 
@@ -183,35 +186,38 @@ def _learned(docs: DataFrame, first: dict[str, int], k: int) -> tuple[dict[str,
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon = held.value
-        c: dict[tuple[str, str], np.ndarray] = defaultdict(lambda: np.zeros(k + 1))
+        known = frozenset(lexicon)
+        c = [Counter() for _ in range(k + 1)]
+        where: Counter[tuple[str, int]] = Counter()
 
-        def flush() -> pd.DataFrame:
-            out = pd.DataFrame({"kind": [a for a, _ in c], "term": [b for _, b in c], "n": [list(v) for v in c.values()]})
-            c.clear()
-            return out
+        def flush() -> Iterator[pd.DataFrame]:
+            for y, one in enumerate(c):
+                yield pd.DataFrame({"kind": "term", "term": list(one.keys()), "y": y, "n": list(one.values())})
+                one.clear()
+            yield pd.DataFrame({"kind": "source", "term": [a for a, _ in where], "y": [b for _, b in where], "n": list(where.values())})
+            where.clear()
 
         for f in frames:
             for text, source in zip(f["text"], f["source"]):
                 if not text:
                     continue
                 found = [terms(s) for b in sentences(text) for s in b]
-                votes = [lexicon_vote(x, lexicon) for x in found]
+                votes = [lexicon_vote(x & known, lexicon) for x in found]
                 main = majority(votes)
                 silent = not any(v is not None for v in votes)
                 for x, v in zip(found, votes):
                     y = v if v is not None else main if main is not None else k if silent else None
                     if y is None:
                         continue
-                    for t in x:
-                        c["term", t][y] += 1
+                    c[y].update(x)
                     if source is not None:
-                        c["source", source][y] += 1
-            if len(c) > 150_000:
-                yield flush()
-        yield flush()
+                        where[source, y] += 1
+            if sum(map(len, c)) > 400_000:
+                yield from flush()
+        yield from flush()
 
-    partial = docs.select("text", "source").mapInPandas(run, "kind string, term string, n array<double>")
-    total = partial.groupBy("kind", "term").agg(*(F.sum(F.col("n")[i]).alias(f"n{i}") for i in range(k + 1)))
+    partial = spread(docs, "doc_id").select("text", "source").mapInPandas(run, "kind string, term string, y int, n long")
+    total = partial.groupBy("kind", "term").agg(*(F.coalesce(F.sum(F.when(F.col("y") == i, F.col("n"))), F.lit(0)).alias(f"n{i}") for i in range(k + 1)))
     total = settle(total.where(F.greatest(*(F.col(f"n{i}") for i in range(k))) >= 4), "terms")
     every = sum((F.col(f"n{i}") for i in range(1, k + 1)), F.col("n0"))
     top = F.greatest(*(F.struct(F.col(f"n{i}").alias("n"), F.lit(i).alias("s")) for i in range(k)))
@@ -251,6 +257,7 @@ def subject_shares(documents: DataFrame, subjects: DataFrame, labels: DataFrame)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         lexicon, wide = held.value
+        known, widely = frozenset(lexicon), frozenset(wide)
         for f in frames:
             out = []
             for doc, text, where, lab in zip(f["doc_id"], f["text"], f["address"], f["label"]):
@@ -260,7 +267,7 @@ def subject_shares(documents: DataFrame, subjects: DataFrame, labels: DataFrame)
                 lab = -1 if lab != lab or lab is None else int(lab)
                 c: Counter[int] = Counter()
                 n = 0
-                blocks = [[(lexicon_vote(t, lexicon), weighted_vote(t, wide)) for t in map(terms, b)] for b in sentences(text)]
+                blocks = [[(lexicon_vote(t & known, lexicon), weighted_vote(t & widely, wide)) for t in map(terms, b)] for b in sentences(text)]
                 for votes in blocks:
                     seconds = Counter(b for _, b in votes if b is not None)
                     for a, b in votes:
@@ -278,7 +285,7 @@ def subject_shares(documents: DataFrame, subjects: DataFrame, labels: DataFrame)
                 out.append((doc, n, list(c.keys()), list(c.values())))
             yield pd.DataFrame(out, columns=["doc_id", "n", "codes", "counts"])
 
-    joined = docs.join(label, docs.doc_id == label.l_id, "left").join(address, F.col("source") == F.col("a_source"), "left")
+    joined = spread(docs, "doc_id").join(label, docs.doc_id == label.l_id, "left").join(address, F.col("source") == F.col("a_source"), "left")
     votes = settle(joined.select("doc_id", "text", "address", "label").mapInPandas(run, "doc_id long, n long, codes array<int>, counts array<int>"), "votes")
     each = votes.select("doc_id", "n", F.explode(F.arrays_zip("codes", "counts")).alias("z")).select("doc_id", "n", F.col("z.codes").alias("code"), F.col("z.counts").alias("c"))
     seen = each.groupBy("code").agg(F.sum("c").alias("c")).orderBy("code").collect()  # at most base^5 rows
