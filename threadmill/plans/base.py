@@ -20,14 +20,18 @@ em AS (SELECT xid, CAST(row_number() OVER (PARTITION BY xid ORDER BY us, id) - 1
 SQL_LATEST_CHANNELS = """chan AS (SELECT id, arg_max(parent_id, coalesce(last_backfilled_message_id, -1)) AS parent_id, max(name) AS name, max(kind) AS kind, max(last_backfilled_message_id) AS mark FROM channels GROUP BY id)"""
 
 
-def current(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The current row of every message, deleted ones included."""
-    return latest_by(table(spark, sf_dir, "messages"), ["id"], ["ingested_at"])
+def current(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """The given columns (and id) of the current row of every message, deleted ones included.
+
+    Columns are named because the latest row is found by one aggregate over
+    them: what isn't named is neither read nor shuffled.
+    """
+    return latest_by(table(spark, sf_dir, "messages"), ["id"], ["ingested_at"], columns)
 
 
 def exchange_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """xid, position, id, channel_id, thread_id, author_id, name, bot, us, content, reply_to_id."""
-    m = current(spark, sf_dir)
+    m = current(spark, sf_dir, "channel_id", "thread_id", "author_id", "author_name_at_time", "author_is_bot", "created_at", "content", "reply_to_id", "deleted_at")
     m = m.withColumn("us", micros(m, "created_at")).where(F.col("deleted_at").isNull() & F.col("us").isNotNull())
     m = m.withColumn("xid", F.coalesce("thread_id", "channel_id") + F.expr("us div 3600000000"))
     place = (F.row_number().over(Window.partitionBy("xid").orderBy("us", "id")) - 1).cast("long")

@@ -22,7 +22,7 @@ _REPLIES = f"WITH {SQL_CUR}, r AS (SELECT a.id, coalesce(a.content, '') AS state
 
 
 def _replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = current(spark, sf_dir)
+    c = current(spark, sf_dir, "content", "reply_to_id", "deleted_at")
     b = c.select(F.col("id").alias("b_id"), F.coalesce("content", F.lit("")).alias("source"))
     return c.where("deleted_at IS NULL").select("id", "reply_to_id", F.coalesce("content", F.lit("")).alias("statement")).join(b, F.col("reply_to_id") == F.col("b_id")).select("id", "statement", "source")
 
@@ -69,7 +69,7 @@ def run_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def version_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = table(spark, sf_dir, "source_messages").where("NOT is_system").groupBy("id").agg(F.max("content").alias("new")).withColumn("s", F.lit(True))
-    c = current(spark, sf_dir).select("id", F.col("content").alias("old"), F.lit(True).alias("c"))
+    c = current(spark, sf_dir, "content").select("id", F.col("content").alias("old"), F.lit(True).alias("c"))
     j = s.join(c, "id", "full")
     state = F.when(F.col("c").isNull(), "added").when(F.col("s").isNull(), "dropped").when(F.col("new").eqNullSafe(F.col("old")), "exact").otherwise("changed")
     return j.groupBy(state.alias("state")).agg(F.count("*").alias("n"))
@@ -134,7 +134,7 @@ def co_topic_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def topic_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = _claim_topics(spark, sf_dir)
-    a = current(spark, sf_dir).select("id", "author_id")
+    a = current(spark, sf_dir, "author_id").select("id", "author_id")
     return c.join(a, F.col("claim") == F.col("id")).groupBy("topic").agg(F.count("*").alias("n"), F.count_distinct("author_id").alias("speakers")).withColumn("has_page", F.col("n") >= 20)
 
 
@@ -229,7 +229,7 @@ def pooled_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {SQL_CUR}, o AS (SELECT DISTINCT author_id FROM cur WHERE author_id % 7 = 0) SELECT id, CASE WHEN author_id IN (SELECT author_id FROM o) THEN '[redacted]' ELSE coalesce(content, '') END AS content, CASE WHEN author_id IN (SELECT author_id FROM o) THEN '[redacted]' ELSE author_name_at_time END AS name FROM cur",
 )
 def redacted_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = current(spark, sf_dir)
+    c = current(spark, sf_dir, "author_id", "author_name_at_time", "content")
     out = redacted(c, c.where("author_id % 7 = 0").select("author_id").distinct(), ["content", "author_name_at_time"])
     return out.select("id", F.coalesce("content", F.lit("")).alias("content"), F.col("author_name_at_time").alias("name"))
 
@@ -239,7 +239,7 @@ def redacted_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {SQL_CUR}, a AS (SELECT DISTINCT author_id FROM cur WHERE author_id % 7 = 0), b AS (SELECT DISTINCT author_id FROM cur WHERE author_id % 5 = 0) SELECT author_id, 'added' AS change FROM b WHERE author_id NOT IN (SELECT author_id FROM a) UNION ALL SELECT author_id, 'removed' FROM a WHERE author_id NOT IN (SELECT author_id FROM b)",
 )
 def opt_out_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    ids = current(spark, sf_dir).select("author_id").distinct()
+    ids = current(spark, sf_dir, "author_id").select("author_id").distinct()
     a, b = ids.where("author_id % 7 = 0"), ids.where("author_id % 5 = 0")
     return b.join(a, "author_id", "left_anti").withColumn("change", F.lit("added")).unionByName(a.join(b, "author_id", "left_anti").withColumn("change", F.lit("removed")))
 

@@ -265,7 +265,7 @@ def gate_reduction(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {SQL_CUR}, p AS (SELECT id, channel_id, abs(CAST(id % 1009 AS DOUBLE) / 1009 - 0.5) AS u FROM cur WHERE deleted_at IS NULL), r AS (SELECT *, row_number() OVER (PARTITION BY channel_id ORDER BY u, id) AS pass FROM p) SELECT channel_id, id, pass FROM r ORDER BY pass, channel_id LIMIT 40",
 )
 def uncertain_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = current(spark, sf_dir).where("deleted_at IS NULL").select("id", "channel_id", F.abs((F.col("id") % 1009).cast("double") / 1009 - 0.5).alias("u"))
+    p = current(spark, sf_dir, "channel_id", "deleted_at").where("deleted_at IS NULL").select("id", "channel_id", F.abs((F.col("id") % 1009).cast("double") / 1009 - 0.5).alias("u"))
     return round_robin(p, "channel_id", [F.col("u"), F.col("id")], 40).select("channel_id", "id", F.col("pass").cast("long").alias("pass"))
 
 
@@ -300,7 +300,7 @@ def frozen_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def seed_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages with the densest terms; the length floor goes before any tokenizing."""
-    m = current(spark, sf_dir).where("deleted_at IS NULL AND length(content) >= 30")
+    m = current(spark, sf_dir, "content", "deleted_at").where("deleted_at IS NULL AND length(content) >= 30")
     n = lambda p: F.size(F.regexp_extract_all(F.lower("content"), F.lit(p), F.lit(0))).cast("long")
     w = m.select("id", n(TERMS).alias("hits"), n("[a-z]+").alias("words")).where("hits > 0 AND words >= 5")
     w = w.withColumn("score", F.round(100.0 * F.col("hits") / F.col("words"), 6))

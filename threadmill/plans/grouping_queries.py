@@ -19,7 +19,7 @@ pool AS (SELECT id, channel_id, thread_id, author_id, reply_to_id, epoch_us(crea
 
 def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages that can be grouped: current, not deleted, by humans, with a time."""
-    m = current(spark, sf_dir)
+    m = current(spark, sf_dir, "channel_id", "author_id", "author_is_bot", "created_at", "reply_to_id", "thread_id", "deleted_at")
     m = m.withColumn("us", micros(m, "created_at")).where("deleted_at IS NULL AND NOT author_is_bot AND us IS NOT NULL")
     return m.select("id", "channel_id", "thread_id", "author_id", "reply_to_id", "us")
 

@@ -69,7 +69,7 @@ def channel_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = channels(spark, sf_dir)
     p = c.select(F.col("id").alias("p_id"), F.col("name").alias("p_name"))
     named = c.join(p, F.col("parent_id") == F.col("p_id"), "left").select(F.col("id").alias("c_id"), F.lower(F.coalesce("p_name", "name")).alias("top"), F.lower("name").alias("own"))
-    m = current(spark, sf_dir).select("id", F.coalesce("thread_id", "channel_id").alias("place"))
+    m = current(spark, sf_dir, "channel_id", "thread_id").select("id", F.coalesce("thread_id", "channel_id").alias("place"))
     kept = m.join(named.where(F.col("top").contains("m")), F.col("place") == F.col("c_id"), "left_semi")
     return kept.join(named.where(F.col("own").contains("z") | F.col("top").contains("z")), F.col("place") == F.col("c_id"), "left_anti").select("id")
 
@@ -88,7 +88,7 @@ def channel_allowlist(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def shareable_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     em = exchange_messages(spark, sf_dir)
-    opted = current(spark, sf_dir).where("author_id % 7 = 0").select("author_id").distinct()
+    opted = current(spark, sf_dir, "author_id", "content").where("author_id % 7 = 0").select("author_id").distinct()
     return em.join(opted, "author_id", "left_anti").where(T.has_text(F.col("content"))).groupBy("xid").agg(F.count("*").alias("n_text")).where("n_text >= 3")
 
 
@@ -102,7 +102,7 @@ def bulk_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.coalesce("content", F.lit(""))
     rules = {"contains": F.lower(c).contains("morning"), "exact": c == "Lol same here", "author": F.lower("author_name_at_time") == "milo deligan", "shorter_than": F.length(c) < 12, "regex": c.rlike("(?i)^welcome")}
     hit = F.array_compact(F.array(*(F.when(test, F.lit(name)) for name, test in rules.items())))
-    return current(spark, sf_dir).select("id", F.explode(hit).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
+    return current(spark, sf_dir, "author_name_at_time", "content").select("id", F.explode(hit).alias("rule")).groupBy("rule").agg(F.count("*").alias("n"), F.min("id").alias("first_id"))
 
 
 # ---- joins
@@ -125,7 +125,7 @@ def version_active_at(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {SQL_CUR} SELECT coalesce(thread_id, channel_id) AS place, author_id, count(*) AS n FROM cur GROUP BY 1, 2 HAVING bool_and(deleted_at IS NOT NULL)",
 )
 def all_sources_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = current(spark, sf_dir).select(F.struct(F.coalesce("thread_id", "channel_id").alias("place"), "author_id").alias("k"), "deleted_at")
+    m = current(spark, sf_dir, "channel_id", "author_id", "thread_id", "deleted_at").select(F.struct(F.coalesce("thread_id", "channel_id").alias("place"), "author_id").alias("k"), "deleted_at")
     return R.universal(m, "k", F.col("deleted_at").isNotNull()).select("k.place", "k.author_id", "n")
 
 
@@ -136,7 +136,7 @@ def all_sources_deleted(spark: SparkSession, sf_dir: str) -> DataFrame:
 def changed_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Null-safe inequality between what was delivered and what is stored."""
     s = table(spark, sf_dir, "source_messages").where("NOT is_system").groupBy("id").agg(F.max("content").alias("delivered"))
-    return s.join(current(spark, sf_dir).select("id", "content"), "id").where(~F.col("delivered").eqNullSafe(F.col("content"))).select("id")
+    return s.join(current(spark, sf_dir, "content").select("id", "content"), "id").where(~F.col("delivered").eqNullSafe(F.col("content"))).select("id")
 
 
 @CORE.query(
@@ -147,7 +147,7 @@ def message_places(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = channels(spark, sf_dir)
     p = c.select(F.col("id").alias("p_id"), F.col("name").alias("p_name"))
     named = c.join(p, F.col("parent_id") == F.col("p_id"), "left").select(F.col("id").alias("c_id"), F.lower(F.coalesce("p_name", "name")).alias("top"), F.lower("name").alias("own"))
-    m = current(spark, sf_dir).select("id", F.coalesce("thread_id", "channel_id").alias("place"))
+    m = current(spark, sf_dir, "channel_id", "thread_id").select("id", F.coalesce("thread_id", "channel_id").alias("place"))
     return m.join(named, F.col("place") == F.col("c_id"), "left").select("id", F.coalesce("own", F.lit("")).alias("own"), F.coalesce("top", F.lit("")).alias("top"))
 
 
@@ -185,7 +185,7 @@ def exchange_participants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CORE.query("top_channels", f"WITH {SQL_CUR} SELECT channel_id, count(*) AS n FROM cur GROUP BY channel_id ORDER BY n DESC, channel_id LIMIT 10")
 def top_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return current(spark, sf_dir).groupBy("channel_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "channel_id").limit(10)
+    return current(spark, sf_dir, "channel_id").groupBy("channel_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "channel_id").limit(10)
 
 
 @CORE.query("score_histogram", "WITH s AS (SELECT least(9, CAST(floor(value / 10) AS BIGINT)) AS b FROM events) SELECT b AS bucket, count(*) AS n, (b / 10)::DECIMAL(2,1)::VARCHAR || '-' || ((b + 1) / 10)::DECIMAL(2,1)::VARCHAR AS label FROM s GROUP BY b")
@@ -305,7 +305,7 @@ def throughput(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {SQL_CUR}, a AS (SELECT author_id, author_name_at_time AS name, count(*) AS n FROM cur GROUP BY ALL) SELECT author_id, arg_min(name, (-n, name)) AS label, CAST(sum(n) AS BIGINT) AS messages, count(*) AS names FROM a GROUP BY author_id",
 )
 def speaker_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = current(spark, sf_dir).groupBy("author_id", F.col("author_name_at_time").alias("name")).agg(F.count("*").alias("n"))
+    a = current(spark, sf_dir, "author_id", "author_name_at_time").groupBy("author_id", F.col("author_name_at_time").alias("name")).agg(F.count("*").alias("n"))
     return a.groupBy("author_id").agg(F.min_by("name", F.struct(-F.col("n"), "name")).alias("label"), F.sum("n").alias("messages"), F.count("*").alias("names"))
 
 

@@ -50,7 +50,7 @@ def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def archive_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     em = exchange_messages(spark, sf_dir)
-    m = current(spark, sf_dir).where("content <> ''")
+    m = current(spark, sf_dir, "author_id", "channel_id", "created_at", "content", "deleted_at").where("content <> ''")
     w = A.export_archive(m, em.select("xid", "id", "position"), em.where("xid % 2 = 0").select("xid"), m.where("author_id % 7 = 0"), scratch(spark, "archive"))
     return w.groupBy("xid").agg(F.count("*").alias("n_messages"), F.min("position").alias("first_position"))
 
@@ -61,11 +61,11 @@ def archive_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     " SELECT id, us || ' #' || c || ' ' || a || ' [msg:' || id || '] ' || CASE WHEN length(flat) > 60 THEN left(flat, 59) || '…' ELSE flat END AS line FROM t",
 )
 def batch_log(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = current(spark, sf_dir)
+    m = current(spark, sf_dir, "channel_id", "author_name_at_time", "created_at", "content")
     m = m.withColumn("us", micros(m, "created_at")).where("us IS NOT NULL")
     return m.select("id", A.log_line(F.col("us"), F.col("channel_id").cast("string"), F.col("author_name_at_time"), [("msg", F.col("id"))], F.coalesce("content", F.lit("")), 60).alias("line"))
 
 
 @CORE.query("label_import", f"WITH {SQL_CUR} SELECT CASE WHEN regexp_matches(coalesce(content, ''), '(?i)^(lol|welcome)') OR regexp_matches(coalesce(content, ''), '^Back in') THEN 'trash' ELSE 'keep' END AS label, count(*) AS n FROM cur GROUP BY 1")
 def label_import(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return A.import_labels(current(spark, sf_dir), None, ["(?i)^(lol|welcome)", "^Back in"]).groupBy("label").agg(F.count("*").alias("n"))
+    return A.import_labels(current(spark, sf_dir, "content"), None, ["(?i)^(lol|welcome)", "^Back in"]).groupBy("label").agg(F.count("*").alias("n"))

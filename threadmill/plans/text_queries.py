@@ -18,7 +18,7 @@ SQL_CLAIM = f"list_distinct(list_filter(regexp_extract_all(lower(@c), '[a-z0-9]+
 
 
 def _live(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return current(spark, sf_dir).where("deleted_at IS NULL AND content IS NOT NULL")
+    return current(spark, sf_dir, "content", "reply_to_id", "channel_id", "deleted_at").where("deleted_at IS NULL AND content IS NOT NULL")
 
 
 _LIVE = f"WITH {SQL_CUR}, live AS (SELECT * FROM cur WHERE deleted_at IS NULL AND content IS NOT NULL)"
@@ -111,7 +111,7 @@ def scan_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CORE.query("permalinks", f"WITH {SQL_CUR} SELECT id, concat_ws('/', 'https://chat.example/channels', guild_id, channel_id, id) AS link FROM cur")
 def permalinks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return current(spark, sf_dir).select("id", T.permalink(F.col("guild_id"), F.col("channel_id"), F.col("id")).alias("link"))
+    return current(spark, sf_dir, "channel_id", "guild_id").select("id", T.permalink(F.col("guild_id"), F.col("channel_id"), F.col("id")).alias("link"))
 
 
 _PEOPLE, _SPEECH = "|".join(T.PERSONS), "|".join(T.SPEECH)
@@ -142,7 +142,7 @@ def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {SQL_CUR}, a AS (SELECT DISTINCT author_id, sha256('salt:' || author_id) AS h FROM cur), p AS (SELECT *, row_number() OVER (PARTITION BY left(h, 4) ORDER BY author_id) AS rn FROM a) SELECT author_id, 'user-' || left(h, CASE WHEN rn = 1 THEN 4 ELSE 12 END) AS pseudonym FROM p",
 )
 def unique_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.unique_pseudonyms(current(spark, sf_dir).select("author_id").distinct(), "salt")
+    return S.unique_pseudonyms(current(spark, sf_dir, "author_id").select("author_id").distinct(), "salt")
 
 
 @CORE.query(
