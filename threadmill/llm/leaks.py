@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import spread
+
 GRAM = 5
 EXACT, FUZZY, ONE_IN = 14, 24, 8
 #: Words of passages that one pass may hold (about 16 bytes each in every task).
@@ -193,6 +195,7 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     """
     spark = documents.sparkSession
     docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    docs = spread(docs, "doc_id")
     every = None
     for block in _blocks(items, item_id, item_text):
         held = spark.sparkContext.broadcast(block)
@@ -229,7 +232,7 @@ def remove_leaks(documents: DataFrame, items: DataFrame, most: float = 0.5) -> D
     becomes null); from others the leaked words are cut.
     """
     spark = documents.sparkSession
-    docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
     blocks = [spark.sparkContext.broadcast(b) for b in _blocks(items, "item_id", "text")]
 
     def one(text: str | None) -> tuple[str, str | None, int]:

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..storage import spread
+
 #: A byte-level BPE vocabulary as ranks; must lie at this path on every executor.
 TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The vocabulary's published splitting pattern (a fixed value).
@@ -33,4 +35,5 @@ def token_counts(documents: DataFrame, id_col: str = "doc_id", text_col: str = "
         for f in frames:
             yield pd.DataFrame({"id": f["id"], "n_tokens": [len(encode(t)) if t else 0 for t in f["text"]]})
 
-    return documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInPandas(run, "id long, n_tokens long")
+    docs = documents.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return spread(docs, "id").mapInPandas(run, "id long, n_tokens long")
