@@ -1,8 +1,8 @@
 """Rebuilding conversations from message rows.
 
 Parent pointers are resolved by pointer jumping: every unresolved message
-replaces its pointer by its target's pointer, so a chain of length n takes
-log2(n) rounds.  Only unresolved messages jump in a round, so rounds shrink; each
+replaces its pointer by its target's pointer, twice a round, so a chain of
+length n takes log3(n) rounds.  Only unresolved messages jump in a round, so rounds shrink; each
 round's result is written, which cuts the lineage.
 Rows left when a round resolves nothing sit on or behind a cycle.
 """
@@ -65,8 +65,12 @@ def resolve_roots(nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
             known = known.unionByName(d)
         # Every pointer of an unresolved row leads to a reply, so the join is inner and either side may be broadcast once its size is known.
         known = known.select(F.col("id").alias("w_id"), F.col("ptr").alias("w_ptr"), F.col("state").alias("w_state"), F.col("depth").alias("w_depth"))
-        step = left.join(known, F.col("ptr") == F.col("w_id"))
-        work = settle(step.select("id", F.col("w_ptr").alias("ptr"), F.col("w_state").alias("state"), (F.col("depth") + F.col("w_depth")).alias("depth")), "roots")
+        # Two jumps a round: threefold distance for one write.
+        step = left.join(known, F.col("ptr") == F.col("w_id")).select("id", F.col("w_ptr").alias("ptr"), F.col("w_state").alias("state"), (F.col("depth") + F.col("w_depth")).alias("depth"))
+        again = F.when(step["state"].isNull(), step["ptr"]) == F.col("w_id")
+        step = step.join(known, again, "left")
+        jumped = F.col("w_id").isNotNull()
+        work = settle(step.select("id", F.when(jumped, F.col("w_ptr")).otherwise(F.col("ptr")).alias("ptr"), F.when(jumped, F.col("w_state")).otherwise(F.col("state")).alias("state"), (F.col("depth") + F.when(jumped, F.col("w_depth")).otherwise(0)).alias("depth")), "roots")
         before, left = n, work.where(F.col("state").isNull())
         n = left.count()
         done.append(work.where(F.col("state").isNotNull()))
