@@ -9,10 +9,10 @@ from ..storage import settle
 
 
 def shingles(text_words, size: int):
-    """Distinct runs of ``size`` words (the whole text if it has fewer) of an array of words."""
+    """64-bit hashes of the distinct runs of ``size`` words (the whole text if it has fewer) of an array of words."""
     n = F.size(text_words)
-    runs = F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.array_join(F.slice(text_words, i, size), " "))
-    return F.array_distinct(F.when(n >= size, runs).when(n > 0, F.array(F.array_join(text_words, " "))).otherwise(F.array().cast("array<string>")))
+    runs = F.transform(F.sequence(F.lit(1), n - (size - 1)), lambda i: F.xxhash64(F.slice(text_words, i, size)))
+    return F.array_distinct(F.when(n >= size, runs).when(n > 0, F.array(F.xxhash64(text_words))).otherwise(F.array().cast("array<bigint>")))
 
 
 def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
@@ -39,7 +39,7 @@ def components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
 def near_duplicates(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
     """Classes of similar sets: id, class_id, n_links, n_copies.
 
-    ``sets``: id (unique), items (array of distinct strings).  Two rows are
+    ``sets``: id (unique), items (array of distinct strings or hashes).  Two rows are
     linked if the Jaccard similarity of their sets is at least ``threshold``;
     a class is a connected component and named by its smallest id; n_links
     counts the rows of other sets that a row is linked to, n_copies those of
@@ -49,7 +49,7 @@ def near_duplicates(sets: DataFrame, threshold: float = 0.8) -> DataFrame:
     those are joined.  Rows with null or empty sets are their own class.
     """
     keyed = sets.withColumn("key", F.xxhash64(F.sort_array("items"))).withColumn("n", F.coalesce(F.size("items"), F.lit(0)))
-    keyed = settle(keyed.withColumn("key", F.when(F.col("n") > 0, F.struct("key", F.sha2(F.array_join(F.sort_array("items"), "\x1f"), 256).alias("sha")))), "sets")
+    keyed = settle(keyed.withColumn("key", F.when(F.col("n") > 0, F.struct("key", F.sha2(F.array_join(F.transform(F.sort_array("items"), lambda x: x.cast("string")), "\x1f"), 256).alias("sha")))), "sets")
     some = keyed.where("n > 0")
     groups = some.groupBy("key").agg(F.min("id").alias("rep"), F.count("*").alias("copies"))
     reps = settle(some.join(groups.select(F.col("rep").alias("id"), "copies"), "id").select("id", "items", "n", "copies"), "reps")

@@ -11,7 +11,7 @@ from ..operators import claims as K
 from ..operators import similar
 from ..operators.current import latest_by
 from ..operators.privacy import redacted, stale_groups
-from ..storage import settle, table
+from ..storage import settle, spread, table
 from .base import SQL_CUR, SQL_EM, current, exchange_messages
 from .registry import CORE
 from .text_queries import SQL_CLAIM
@@ -89,7 +89,7 @@ SELECT k.id, min(c.label) AS class_id, coalesce((SELECT count(*) FROM l WHERE l.
 )
 def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     w = T.all_matches(F.lower(F.coalesce("text", F.lit(""))), r"[\p{L}\p{N}_]+")
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), w.alias("w"))
+    d = spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text"), "id").select("id", w.alias("w"))
     return similar.near_duplicates(d.select("id", similar.shingles(F.col("w"), 5).alias("items")), 0.8)
 
 
