@@ -10,7 +10,7 @@ a subject if at least a fifth of its sentences are about it.
 
 Texts are read whole, twice: once for term counts, once for votes.  What
 reaches the driver is bounded: the learned lexicon (MAX_TERMS) and the vote
-patterns (11 to the power of 5 at most).
+patterns (subjects + 1 to the power of 5 at most, in practice a few thousand).
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ from ..storage import settle, spread
 #: Size of the learned lexicon, and label rows used (both bounds of what the driver holds).
 MAX_TERMS = 60_000
 MAX_LABELS = 20_000
+#: Subjects that vote patterns are made for; more are an error, none is left out.
+MAX_SUBJECTS = 200
 #: Least smoothed share of its top subject that makes a term part of the learned lexicon.
 PURITY = 0.75
 SHARE = 0.2
@@ -172,7 +174,8 @@ def _labelled_terms(docs: DataFrame, labels: DataFrame, k: int) -> dict[str, int
             for t, s in zip(f["text"], f["label"]):
                 for x in set().union(*(terms(y) for b in sentences(t) for y in b)):
                     c[x, s] += 1
-            yield pd.DataFrame([(x, s, n) for (x, s), n in c.items()], columns=["term", "s", "n"])
+            if c:
+                yield pd.DataFrame([(x, s, n) for (x, s), n in c.items()], columns=["term", "s", "n"])
 
     counts = docs.join(sample, docs.doc_id == sample.l_id).select("text", "label").where("text IS NOT NULL").mapInPandas(run, "term string, s int, n long")
     by = counts.groupBy("term", "s").agg(F.sum("n").alias("n")).groupBy("term").agg(F.max(F.struct("n", "s")).alias("top"), F.sum("n").alias("all"))
@@ -192,10 +195,12 @@ def _learned(docs: DataFrame, first: dict[str, int], k: int) -> tuple[dict[str,
 
         def flush() -> Iterator[pd.DataFrame]:
             for y, one in enumerate(c):
-                yield pd.DataFrame({"kind": "term", "term": list(one.keys()), "y": y, "n": list(one.values())})
-                one.clear()
-            yield pd.DataFrame({"kind": "source", "term": [a for a, _ in where], "y": [b for _, b in where], "n": list(where.values())})
-            where.clear()
+                if one:
+                    yield pd.DataFrame({"kind": ["term"] * len(one), "term": list(one.keys()), "y": [y] * len(one), "n": list(one.values())})
+                    one.clear()
+            if where:
+                yield pd.DataFrame({"kind": ["source"] * len(where), "term": [a for a, _ in where], "y": [b for _, b in where], "n": list(where.values())})
+                where.clear()
 
         for f in frames:
             for text, source in zip(f["text"], f["source"]):
@@ -240,9 +245,11 @@ def subject_shares(documents: DataFrame, subjects: DataFrame, labels: DataFrame)
     result is empty, empty, or made from the other functions.
     """
     spark = documents.sparkSession
-    pairs = sorted({(r["subject"].strip().lower(), r["about"] or "") for r in subjects.select("subject", "about").where("subject IS NOT NULL").limit(200).collect()})
+    pairs = sorted({(r["subject"].strip().lower(), r["about"] or "") for r in subjects.select("subject", "about").where("subject IS NOT NULL").limit(MAX_SUBJECTS + 1).collect()})
     names = [p[0] for p in pairs]
     k = len(names)
+    if k > MAX_SUBJECTS:
+        raise ValueError(f"more than {MAX_SUBJECTS} subjects")
     empty = "doc_id long, subject string, n_about long, n_sentences long, share double"
     if k < 2:
         return spark.createDataFrame([], empty)
@@ -283,19 +290,20 @@ def subject_shares(documents: DataFrame, subjects: DataFrame, labels: DataFrame)
                             code = code * base + v + 1
                         c[code] += 1
                 out.append((doc, n, list(c.keys()), list(c.values())))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "codes", "counts"])
+            if out:
+                yield pd.DataFrame(out, columns=["doc_id", "n", "codes", "counts"])
 
     joined = spread(docs, "doc_id").join(label, docs.doc_id == label.l_id, "left").join(address, F.col("source") == F.col("a_source"), "left")
-    votes = settle(joined.select("doc_id", "text", "address", "label").mapInPandas(run, "doc_id long, n long, codes array<int>, counts array<int>"), "votes")
+    votes = settle(joined.select("doc_id", "text", "address", "label").mapInPandas(run, "doc_id long, n long, codes array<bigint>, counts array<int>"), "votes")
     each = votes.select("doc_id", "n", F.explode(F.arrays_zip("codes", "counts")).alias("z")).select("doc_id", "n", F.col("z.codes").alias("code"), F.col("z.counts").alias("c"))
     seen = each.groupBy("code").agg(F.sum("c").alias("c")).orderBy("code").collect()  # at most base^5 rows
     if not seen:
         return spark.createDataFrame([], empty)
-    codes = np.array([r["code"] for r in seen])
+    codes = np.array([r["code"] for r in seen], np.int64)
     patterns = np.stack([codes // base**j % base - 1 for j in range(4, -1, -1)], axis=1)
     post = latent_model(patterns, np.array([r["c"] for r in seen], float), k)
     best = post.argmax(axis=1)
-    means = spark.createDataFrame([(int(c), names[b]) for c, b in zip(codes, best) if b < k] or [(-1, names[0])], "code int, subject string")
+    means = spark.createDataFrame([(int(c), names[b]) for c, b in zip(codes, best) if b < k] or [(-1, names[0])], "code long, subject string")
     about = each.join(F.broadcast(means), "code").groupBy("doc_id", "subject").agg(F.sum("c").alias("n_about"), F.max("n").alias("n_sentences"))
     return about.withColumn("share", F.col("n_about") / F.col("n_sentences"))
 
