@@ -310,6 +310,44 @@ def test_leak_disguises(spark):
     assert cleaned[14][0] == "cut" and "word3" not in cleaned[14][1] and len(cleaned[14][1]) >= 60000
 
 
+def test_every_stretch_of_an_item_is_cut(spark):
+    p = [f"word{i}" for i in range(40)]
+    own = lambda n, x: [f"{x}{i}" for i in range(n)]
+    item = spark.createDataFrame([(1, "Read this.\n" + " ".join(p))], "item_id long, text string")
+    texts = [
+        own(60, "a") + p[:20] + own(5, "b") + p[:16] + own(60, "c"),  # one item twice
+        own(60, "a") + p[:14] + own(12, "b") + p[26:] + own(60, "c"),  # two runs of one alignment
+        p[:20] + own(20, "a") + p[:20],  # each copy holds a third of the words, both hold more than half
+    ]
+    docs = spark.createDataFrame([(d, " ".join(w)) for d, w in enumerate(texts)], "doc_id long, text string")
+    got = {r.doc_id: (r.action, r.text, r.n_items) for r in leaks.remove_leaks(docs, item).collect()}
+    for d, w in enumerate(texts[:2]):
+        assert got[d] == ("cut", got[d][1], 1) and "word" not in got[d][1]
+        assert [x for x in w if x[0] != "w" and x not in got[d][1].split()] == []
+    assert got[2] == ("dropped", None, 1)
+    assert sorted(r.doc_id for r in leaks.leaks(docs, item).collect()) == [0, 1, 2]  # the report keeps one row per item
+
+
+def test_stretches_random():
+    rng = random.Random(8)
+    for _ in range(150):
+        n = rng.randrange(10, 90)
+        equal, at = np.zeros(n, bool), 0
+        while at < n:
+            k = rng.randrange(1, 30)
+            equal[at : at + k], at = True, at + k + rng.randrange(1, 8)
+        inside = np.zeros(n, bool)
+        for f, t in leaks.stretches(equal):
+            inside[f:t] = True
+        want = np.zeros(n, bool)
+        for i in range(n):
+            for j in range(i + 14, n + 1):
+                wrong = (j - i) - equal[i:j].sum()
+                if not wrong or j - i >= 24 and wrong * 8 <= j - i:
+                    want[i:j] = True
+        assert (inside & equal == want & equal).all() and not (inside & ~want).any()
+
+
 # ---- subjects
 
 

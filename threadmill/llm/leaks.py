@@ -114,34 +114,53 @@ def codes(w: np.ndarray) -> np.ndarray:
     return h
 
 
-def leaked(equal: np.ndarray) -> tuple[int, int]:
-    """(from, to) of the longest leaked stretch of an alignment; (0, 0) if none is.
+def _windows(equal: np.ndarray) -> Iterator[tuple[int, int]]:
+    """(from, to) of what leaked in an alignment: runs of equal words, and from each place the longest leaked stretch.
 
     Leaked is a run of EXACT equal words, or a stretch of FUZZY or more of
     which no more than one in ONE_IN differs.
     """
     n = len(equal)
-    best = (0, 0)
     if n < EXACT:
-        return best
+        return
     edges = np.flatnonzero(np.diff(np.concatenate([[0], equal.astype(np.int8), [0]])))
     for a, b in zip(edges[::2], edges[1::2]):
-        if b - a >= EXACT and b - a > best[1] - best[0]:
-            best = (int(a), int(b))
+        if b - a >= EXACT:
+            yield int(a), int(b)
     if n >= FUZZY:
         # wrong*8 - length is at most 0 between two places whose running values don't rise.
         run = np.concatenate([[0], np.cumsum(ONE_IN * ~equal - 1)])
         reach = np.maximum.accumulate(-run[::-1])[::-1]  # largest -run from here on
-        for a in range(n - FUZZY + 1):
-            if reach[a + FUZZY] >= -run[a]:
-                b = int(np.flatnonzero(run[a + FUZZY :] <= run[a])[-1]) + a + FUZZY
-                if b - a > best[1] - best[0]:
-                    best = (a, b)
-    return best
+        for a in np.flatnonzero(reach[FUZZY:] >= -run[: n - FUZZY + 1]):
+            yield int(a), int(np.flatnonzero(run[a + FUZZY :] <= run[a])[-1]) + int(a) + FUZZY
+
+
+def leaked(equal: np.ndarray) -> tuple[int, int]:
+    """(from, to) of the longest leaked stretch of an alignment; (0, 0) if none is."""
+    return max(_windows(equal), key=lambda x: x[1] - x[0], default=(0, 0))
 
 
-def scan(text: str | None, p: Passages) -> list[tuple[int, int, int]]:
-    """(item_id, first word, end word) of every item that leaked into a text."""
+def stretches(equal: np.ndarray) -> list[tuple[int, int]]:
+    """(from, to) of every leaked stretch of an alignment, joined where they overlap.
+
+    All but the longest count from their first to their last equal word: what
+    lies outside of these isn't the passage's.
+    """
+    found = list(_windows(equal))
+    if not found:
+        return []
+    inside = np.zeros(len(equal), np.int8)
+    f, t = max(found, key=lambda x: x[1] - x[0])
+    inside[f:t] = 1
+    at = np.flatnonzero(equal)
+    for a, b in found:
+        inside[at[np.searchsorted(at, a)] : at[np.searchsorted(at, b) - 1] + 1] = 1
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], inside, [0]])))
+    return [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2])]
+
+
+def scan(text: str | None, p: Passages, every: bool = False) -> list[tuple[int, int, int]]:
+    """(item_id, first word, end word) of every item that leaked into a text: its longest stretch, or ``every`` one of every alignment."""
     if not text:
         return []
     number = p.number
@@ -151,7 +170,7 @@ def scan(text: str | None, p: Passages) -> list[tuple[int, int, int]]:
         return []
     lo, hi = np.searchsorted(p.gram, g, "left"), np.searchsorted(p.gram, g, "right")
     at = np.flatnonzero(hi > lo)
-    best: dict[int, tuple[int, int]] = {}
+    found: dict[int, list[tuple[int, int]]] = {}
     tried = set()
     for k in at:
         for e in range(lo[k], hi[k]):
@@ -161,12 +180,13 @@ def scan(text: str | None, p: Passages) -> list[tuple[int, int, int]]:
             tried.add((n, off))
             q = p.words[n]
             a, b = max(0, -off), min(len(q), len(w) - off)
-            f, t = leaked(q[a:b] == w[off + a : off + b])
-            if t > f:
-                old = best.get(n, (0, 0))
-                if t - f > old[1] - old[0]:
-                    best[n] = (off + a + f, off + a + t)
-    return [(p.ids[n], f, t) for n, (f, t) in sorted(best.items())]
+            equal = q[a:b] == w[off + a : off + b]
+            for f, t in stretches(equal) if every else [leaked(equal)]:
+                if t > f:
+                    found.setdefault(n, []).append((off + a + f, off + a + t))
+    if not every:
+        found = {n: [max(x, key=lambda z: z[1] - z[0])] for n, x in found.items()}
+    return [(p.ids[n], f, t) for n, x in sorted(found.items()) for f, t in x]
 
 
 def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[Passages]:
@@ -228,7 +248,7 @@ def cut(text: str, ranges: list[tuple[int, int]]) -> str:
 def remove_leaks(documents: DataFrame, items: DataFrame, most: float = 0.5) -> DataFrame:
     """All documents without leaked spans: doc_id, action (kept, cut, dropped), text, n_items.
 
-    A document more than ``most`` of whose words leaked is dropped (its text
+    Every leaked stretch counts, also several of one item.  A document more than ``most`` of whose words leaked is dropped (its text
     becomes null); from others the leaked words are cut.
     """
     spark = documents.sparkSession
@@ -236,15 +256,16 @@ def remove_leaks(documents: DataFrame, items: DataFrame, most: float = 0.5) -> D
     blocks = [spark.sparkContext.broadcast(b) for b in _blocks(items, "item_id", "text")]
 
     def one(text: str | None) -> tuple[str, str | None, int]:
-        hits = [h for b in blocks for h in scan(text, b.value)]
+        hits = [h for b in blocks for h in scan(text, b.value, every=True)]
         if not hits:
             return "kept", text, 0
+        n_items = len({i for i, _, _ in hits})
         inside = np.zeros(len(words(text)), bool)
         for _, f, t in hits:
             inside[f:t] = True
         if inside.mean() > most:
-            return "dropped", None, len(hits)
-        return "cut", cut(text, [(f, t) for _, f, t in hits]), len(hits)
+            return "dropped", None, n_items
+        return "cut", cut(text, [(f, t) for _, f, t in hits]), n_items
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
