@@ -382,3 +382,24 @@ def test_subjects(spark):
     assert len(got ^ want) <= 3 and not any(d >= 900 for d, _ in got)
     assert subjects.assign(df.limit(0), about, labels.limit(0)).collect() == []
     assert subjects.assign(df, about.limit(0), labels).collect() == []
+
+
+def test_learned_lexicon_has_no_bound(spark):
+    """More than 60,000 terms that are more frequent than a rare subject's own: that subject's documents are still found."""
+    word = lambda n: "q" + "".join(chr(97 + n // 26**k % 26) for k in range(4))
+    common = [". ".join(("Recipe " if i % 2 else "Then ") + " ".join(word(60 * i + j) for j in range(60)) for i in range(a, a + 50)) for a in range(0, 550, 50)]
+    docs = [(i, x + ".", None, None) for i, x in enumerate(common * 30)]
+    docs += [(1000 + i, "The goalkeeper zorvik quastel. A referee zorvik quastel. The marathon zorvik quastel.", None, None) for i in range(8)]
+    docs += [(2000, "Now zorvik quastel. Then zorvik quastel. So zorvik quastel.", None, None)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, source string, subject string").repartition(8)
+    about = spark.createDataFrame([("food", ""), ("sport", "")], "subject string, about string")
+    labels = spark.createDataFrame([], "doc_id long, subject string, labeled_by string")
+    got = {(r.doc_id, r.subject) for r in subjects.assign(df, about, labels).collect()}
+    assert {(d, "sport") for d in [*range(1000, 1008), 2000]} <= got
+
+
+def test_lexicon_filter_lets_all_terms_pass(spark):
+    found = ["", "a", "épée", "lötstelle", "two words", *(f"t{i}" for i in range(3000))]
+    bits = subjects._filter(spark.createDataFrame([(t,) for t in found], "term string").repartition(3))
+    place = [subjects.zlib.crc32(t.encode()) % subjects.FILTER_BITS for t in found]
+    assert all(bits[h >> 3] >> (h & 7) & 1 for h in place) and np.unpackbits(bits).sum() == len(set(place))

@@ -8,15 +8,18 @@ patterns how accurate each function is and how often it abstains, with and
 without a subject; its posterior says what each pattern means.  A document has
 a subject if at least a fifth of its sentences are about it.
 
-Texts are read whole, twice: once for term counts, once for votes.  What
-reaches the driver is bounded: the learned lexicon (MAX_TERMS) and the vote
-patterns (subjects + 1 to the power of 5 at most, in practice a few thousand).
+Texts are read whole, three times: for term counts, for the learned terms that
+each holds, and for votes.  The learned lexicon has no bound: it stays a table
+that the texts' terms are joined with.  What reaches the driver is bounded: the
+terms of the label sample, a bitmap of fixed size, and the vote patterns
+(subjects + 1 to the power of 5 at most, in practice a few thousand).
 """
 
 from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter, defaultdict
 from collections.abc import Iterator, Sequence
 
@@ -27,8 +30,9 @@ from pyspark.sql import functions as F
 
 from ..storage import settle, spread
 
-#: Size of the learned lexicon, and label rows used (both bounds of what the driver holds).
-MAX_TERMS = 60_000
+#: Bits of the filter that terms pass before they are joined with the learned lexicon (a power of two, 4 MB).
+FILTER_BITS = 1 << 25
+#: Label rows used (the bound of what the driver holds).
 MAX_LABELS = 20_000
 #: Subjects that vote patterns are made for; more are an error, none is left out.
 MAX_SUBJECTS = 200
@@ -179,12 +183,12 @@ def _labelled_terms(docs: DataFrame, labels: DataFrame, k: int) -> dict[str, int
 
     counts = docs.join(sample, docs.doc_id == sample.l_id).select("text", "label").where("text IS NOT NULL").mapInPandas(run, "term string, s int, n long")
     by = counts.groupBy("term", "s").agg(F.sum("n").alias("n")).groupBy("term").agg(F.max(F.struct("n", "s")).alias("top"), F.sum("n").alias("all"))
-    good = by.where((F.col("top.n") >= 4) & (F.col("top.n") / (F.col("all") + 0.5) > PURITY)).orderBy(F.desc("top.n"), "term").limit(MAX_TERMS)
+    good = by.where((F.col("top.n") >= 4) & (F.col("top.n") / (F.col("all") + 0.5) > PURITY))
     return {r["term"]: r["s"] for r in good.select("term", "top.s").collect()}
 
 
-def _learned(docs: DataFrame, first: dict[str, int], k: int) -> tuple[dict[str, tuple[int, float]], DataFrame]:
-    """The lexicon learned from all documents, and how often each source's sentences are about each subject."""
+def _learned(docs: DataFrame, first: dict[str, int], k: int) -> tuple[DataFrame, DataFrame]:
+    """The lexicon learned from all documents (term, s, share), and how often each source's sentences are about each subject."""
     held = docs.sparkSession.sparkContext.broadcast(first)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -228,12 +232,47 @@ def _learned(docs: DataFrame, first: dict[str, int], k: int) -> tuple[dict[str,
     top = F.greatest(*(F.struct(F.col(f"n{i}").alias("n"), F.lit(i).alias("s")) for i in range(k)))
     best = total.withColumn("every", every).withColumn("top", top).select("kind", "term", "every", F.col("top.n").alias("n"), F.col("top.s").alias("s"))
     share = (F.col("n") + 0.3) / (F.col("every") + 3)
-    good = best.where((F.col("kind") == "term") & (share >= PURITY)).select("term", "s", share.alias("share"), "n").orderBy(F.desc("n"), "term").limit(MAX_TERMS)
-    lexicon = {r["term"]: (r["s"], math.log(r["share"] * k / (1 - r["share"] + 0.02)) * (0.5 if " " in r["term"] else 1.0)) for r in good.collect()}
+    lexicon = settle(best.where((F.col("kind") == "term") & (share >= PURITY)).select("term", "s", share.alias("share")), "lexicon")
     address = best.where((F.col("kind") == "source") & (F.col("every") >= 50) & (F.col("n") >= 0.5 * F.col("every"))).select(F.col("term").alias("a_source"), F.col("s").alias("address"))
     return lexicon, address
 
 
+def _filter(lexicon: DataFrame) -> np.ndarray:
+    """A bitmap of the lexicon's hashes; terms of others may pass it, the join decides."""
+    place = F.crc32(F.col("term").cast("binary")) % FILTER_BITS + 1  # buckets count from 1
+    found = lexicon.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
+    bits = np.zeros(FILTER_BITS // 8, np.uint8)
+    for r in found.toLocalIterator():
+        at = (r["b"] - 1) * 4096
+        bits[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
+    return bits
+
+
+def _held_terms(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """The learned terms that each text holds: h_text (hash of the text), wide (array of term, s, share).
+
+    Texts of one hash share a row, which then holds the terms of both.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(_filter(lexicon).tobytes())
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        bits = held.value
+        for f in frames:
+            keys, found = [], []
+            for key, text in zip(f["h_text"], f["text"]):
+                for t in set().union(*(terms(s) for b in sentences(text) for s in b)):
+                    h = zlib.crc32(t.encode()) % FILTER_BITS
+                    if bits[h >> 3] >> (h & 7) & 1:
+                        keys.append(key)
+                        found.append(t)
+            if keys:
+                yield pd.DataFrame({"h_text": keys, "term": found})
+
+    said = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("h_text"), "text")
+    said = said.mapInPandas(run, "h_text long, term string")
+    return said.join(lexicon, "term").groupBy("h_text").agg(F.collect_set(F.struct("term", "s", "share")).alias("wide"))
+
+
 def subject_shares(documents: DataFrame, subjects: DataFrame, labels: DataFrame) -> DataFrame:
     """How many sentences of every document are about each subject: doc_id, subject, n_about, n_sentences, share.
 
@@ -259,19 +298,24 @@ def subject_shares(documents: DataFrame, subjects: DataFrame, labels: DataFrame)
     taught = _labelled_terms(docs, label, k)
     taught.update(first)
     learned, address = _learned(docs, taught, k)
-    held = spark.sparkContext.broadcast((taught, learned))
+    held = spark.sparkContext.broadcast(taught)
     base = k + 1
 
+    def weight(term: str, share: float) -> float:
+        return math.log(share * k / (1 - share + 0.02)) * (0.5 if " " in term else 1.0)
+
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        lexicon, wide = held.value
-        known, widely = frozenset(lexicon), frozenset(wide)
+        lexicon = held.value
+        known = frozenset(lexicon)
         for f in frames:
             out = []
-            for doc, text, where, lab in zip(f["doc_id"], f["text"], f["address"], f["label"]):
+            for doc, text, where, lab, *learned in zip(f["doc_id"], f["text"], f["address"], f["label"], f["term"], f["s"], f["share"]):
                 if not text:
                     continue
                 where = -1 if where != where or where is None else int(where)
                 lab = -1 if lab != lab or lab is None else int(lab)
+                wide = {} if learned[0] is None else {t: (int(s), weight(t, share)) for t, s, share in zip(*learned)}
+                widely = wide.keys()
                 c: Counter[int] = Counter()
                 n = 0
                 blocks = [[(lexicon_vote(t & known, lexicon), weighted_vote(t & widely, wide)) for t in map(terms, b)] for b in sentences(text)]
@@ -293,8 +337,10 @@ def subject_shares(documents: DataFrame, subjects: DataFrame, labels: DataFrame)
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "n", "codes", "counts"])
 
-    joined = spread(docs, "doc_id").join(label, docs.doc_id == label.l_id, "left").join(address, F.col("source") == F.col("a_source"), "left")
-    votes = settle(joined.select("doc_id", "text", "address", "label").mapInPandas(run, "doc_id long, n long, codes array<bigint>, counts array<int>"), "votes")
+    docs = spread(docs, "doc_id")
+    wide = _held_terms(docs, learned)
+    joined = docs.withColumn("key", F.xxhash64("text")).join(wide, F.col("key") == F.col("h_text"), "left").join(label, docs.doc_id == label.l_id, "left").join(address, F.col("source") == F.col("a_source"), "left")
+    votes = settle(joined.select("doc_id", "text", "address", "label", "wide.term", "wide.s", "wide.share").mapInPandas(run, "doc_id long, n long, codes array<bigint>, counts array<int>"), "votes")
     each = votes.select("doc_id", "n", F.explode(F.arrays_zip("codes", "counts")).alias("z")).select("doc_id", "n", F.col("z.codes").alias("code"), F.col("z.counts").alias("c"))
     seen = each.groupBy("code").agg(F.sum("c").alias("c")).orderBy("code").collect()  # at most base^5 rows
     if not seen:
