@@ -14,6 +14,7 @@ from threadmill.operators import classify as C
 from threadmill.operators import claims as K
 from threadmill.operators import grouping as G
 from threadmill.operators import relational as R
+from threadmill.operators import search as S
 from threadmill.operators import similar
 from threadmill.operators.changes import apply_changes
 from threadmill.operators.current import latest_by
@@ -403,3 +404,20 @@ def test_snapshot_refuses_to_overwrite(spark, tmp_path):
     archive.snapshot(spark.range(3), str(tmp_path / "s"))
     with pytest.raises(Exception):
         archive.snapshot(spark.range(3), str(tmp_path / "s"))
+
+
+@pytest.mark.parametrize("rows", [1, 7, 50_000])
+def test_channel_context_crosses_days_and_chunks(spark, monkeypatch, rows):
+    monkeypatch.setattr(S, "CHUNK_ROWS", rows)
+    rng = random.Random(rows)
+    day = 86_400_000_000
+    data = [(i, rng.choice([1, 1, 1, 2, 3, None]), i * day // 3 + rng.randrange(day), rng.choice(["hit", "no", "no", None])) for i in sorted(rng.sample(range(2000), 200))]
+    data += [(5000, 4, day - 1, "no"), (5001, 4, day + 1, "hit"), (5002, 5, day, "hit"), (10**18, 4, 9 * day, "no")]
+    df = spark.createDataFrame(data, "id long, channel_id long, us long, content string").repartition(5)
+    got = sorted(tuple(r) for r in S.channel_context(df, F.col("content") == "hit", 2).collect())
+    want = []
+    for c in range(1, 6):
+        ids = [r[0] for r in data if r[1] == c]
+        want += [(h[0], ids[n], n - ids.index(h[0])) for h in data if h[1] == c and h[3] == "hit" for n in range(len(ids)) if abs(n - ids.index(h[0])) <= 2]
+    assert got == sorted(want) and (5001, 5000, -1) in got and (5001, 10**18, 1) in got
+    assert S.channel_context(df.limit(0), F.col("content") == "hit", 2).collect() == []

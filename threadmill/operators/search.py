@@ -56,6 +56,7 @@ def search_groups(messages: DataFrame, query: str, limit: int) -> DataFrame:
 def context(messages: DataFrame, hit: Column, size: int) -> DataFrame:
     """Messages up to ``size`` places around each hit, in one channel and day: hit_id, id, distance.
 
+    Neighbours of other days are left out; ``channel_context`` has them.
     A frame of neighbours instead of a band join: every hit carries the ids
     around it, so no pair is ever built that isn't in the result.
     """
@@ -69,6 +70,41 @@ def context(messages: DataFrame, hit: Column, size: int) -> DataFrame:
     return near.select("hit_id", "c.id", "c.distance").where("id IS NOT NULL")
 
 
+#: Messages that a window of ``channel_context`` holds on average if all are of one channel.
+CHUNK_ROWS = 50_000
+
+
+def channel_context(messages: DataFrame, hit: Column, size: int) -> DataFrame:
+    """The ``size`` messages before and after each hit in its whole channel, by id: hit_id, id, distance.
+
+    Messages are numbered within a channel's chunks of ids; what lies beyond a
+    chunk's border comes from the first and last ``size`` ids of the channel's
+    chunks, so no window holds more than a channel's messages of one chunk.
+    Chunks make no difference to the result.  Messages without a channel have none.
+    """
+    m = messages.select("channel_id", "id", F.coalesce(hit, F.lit(False)).alias("hit")).where("channel_id IS NOT NULL AND id IS NOT NULL")
+    span = m.agg(F.min("id").alias("lo"), F.greatest(F.lit(1), F.ceil((F.max("id") - F.min("id") + 1) / F.ceil(F.count("*") / CHUNK_ROWS))).cast("long").alias("width"))
+    m = m.join(F.broadcast(span), F.lit(True)).withColumn("chunk", F.expr("(id - lo) div width"))  # one row
+    w = Window.partitionBy("channel_id", "chunk").orderBy("id")
+    up = F.row_number().over(w)
+    m = m.withColumn("up", up).withColumn("down", F.count("*").over(Window.partitionBy("channel_id", "chunk")) - F.col("up") + 1)
+    sides = [(k, F.lag("id", k).over(w), F.lead("id", k).over(w)) for k in range(1, size + 1)]
+    m = m.withColumns({f"b{k}": b for k, b, _ in sides} | {f"a{k}": a for k, _, a in sides})
+    x = Window.partitionBy("channel_id").orderBy("id")
+    edges = m.where((F.col("up") <= size) | (F.col("down") <= size)).select("channel_id", "chunk", "up", "down", *(f(F.col("id"), k).over(x).alias(f"{c}{k}") for k in range(1, size + 1) for f, c in ((F.lag, "b"), (F.lead, "a"))))
+    beyond = edges.groupBy("channel_id", "chunk").agg(
+        F.min_by(F.array(*(f"b{k}" for k in range(1, size + 1))), "up").alias("before"), F.min_by(F.array(*(f"a{k}" for k in range(1, size + 1))), "down").alias("after")
+    )
+    cells = [F.struct(F.col("id"), F.lit(0).cast("long").alias("distance"))]
+    for k in range(1, size + 1):
+        for c, place, far, sign in (("b", "up", "before", -1), ("a", "down", "after", 1)):
+            # The k-th message is the (k - place + 1)-th beyond the border.
+            other = F.when(F.col(place) > k, F.col(f"{c}{k}")).otherwise(F.get(far, F.lit(k) - F.col(place)))
+            cells.append(F.struct(other.alias("id"), F.lit(sign * k).cast("long").alias("distance")))
+    near = m.where("hit").join(beyond, ["channel_id", "chunk"]).select(F.col("id").alias("hit_id"), F.explode(F.array(*cells)).alias("c"))
+    return near.select("hit_id", "c.id", "c.distance").where("id IS NOT NULL")
+
+
 def members(messages: DataFrame, salt: str) -> DataFrame:
     """Authors of each exchange by first appearance: xid, author_id, no, pseudonym, member."""
     f = messages.groupBy("xid", "author_id").agg(F.min("position").alias("first"))

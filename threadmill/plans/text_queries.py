@@ -214,6 +214,16 @@ def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.context(exchange_messages(spark, sf_dir), F.col("content").contains("overdue?"), 2)
 
 
+@CORE.query(
+    "channel_context",
+    f"""WITH {SQL_EM}, r AS (SELECT channel_id, id, content, row_number() OVER (PARTITION BY channel_id ORDER BY id) AS rn FROM em),
+hits AS (SELECT * FROM r WHERE contains(content, 'overdue?'))
+SELECT h.id AS hit_id, r.id, r.rn - h.rn AS distance FROM hits h JOIN r ON r.channel_id = h.channel_id AND r.rn BETWEEN h.rn - 2 AND h.rn + 2""",
+)
+def channel_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.channel_context(exchange_messages(spark, sf_dir), F.col("content").contains("overdue?"), 2)
+
+
 @CORE.query(
     "embedding_windows",
     f"""WITH {SQL_EM} SELECT xid, window_no, count(*) AS n, sum(ceil(length(content) / 4.0))::BIGINT AS tokens FROM
