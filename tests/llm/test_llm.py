@@ -213,6 +213,19 @@ def test_pii_names_above_the_broadcast_bound(spark, monkeypatch):
     assert [tuple(r) for r in pii.find(df, known).orderBy("message_id").collect()] == want and want[0][3] == "thx [NAME]!"
 
 
+def test_pii_same_finds_above_and_below_the_bound(spark, monkeypatch):
+    """Long author names, and words known only from authors that no text mentions."""
+    texts = ["thx a.b_c-d99!", "ask tova about it", "ask tova grendal about it", "i met tova grendal and bex selund", "Tova", "x-y.z_1-2_3-4 wrote", "ask Grendal Selund", "", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
+    known = spark.createDataFrame([(n,) for n in ("a.b_c-d99", "x-y.z_1-2_3-4", "Tova Holm", "Bex Arvik", "Nils Selund", "x9")], "name string")
+    want = [tuple(r) for r in pii.find(df, known).orderBy("message_id").collect()]
+    monkeypatch.setattr(pii, "MAX_NAMES", 1)
+    assert [tuple(r) for r in pii.find(df, known).orderBy("message_id").collect()] == want
+    assert want[0][3] == "thx [NAME]!" and want[5][3] == "[NAME] wrote"
+    got = {(r["kind"], r["name"]) for r in pii.mentioned(df, known, "content").collect()}
+    assert got == {("name", "a.b_c-d99"), ("name", "x-y.z_1-2_3-4"), ("given", "tova"), ("given", "bex"), ("family", "selund")}
+
+
 # ---- containers
 
 

@@ -85,17 +85,24 @@ class Features:
         return f
 
 
+def person(name: str) -> tuple[str, str] | None:
+    """Given and family name of a full name, in lower case."""
+    parts = name.split()
+    if 2 <= len(parts) <= 3 and all(p.isalpha() and len(p) > 1 for p in parts):
+        return parts[0].lower(), parts[-1].lower()
+    return None
+
+
 class Names:
-    """Author names, looked up by their first token."""
+    """Author names, looked up by their first token; ``given`` and ``family``: words known from further names."""
 
-    def __init__(self, names: Iterable[str]):
+    def __init__(self, names: Iterable[str], given: Iterable[str] = (), family: Iterable[str] = ()):
         self.by_first: dict[str, list[tuple[str, ...]]] = {}
-        given, family = set(), set()
+        given, family = set(given), set(family)
         for n in names:
-            parts = n.split()
-            if 2 <= len(parts) <= 3 and all(p.isalpha() and len(p) > 1 for p in parts):
-                given.add(parts[0].lower())
-                family.add(parts[-1].lower())
+            if whole := person(n):
+                given.add(whole[0])
+                family.add(whole[1])
             t = tuple(k.strip().lower() for k in tokens(n)[0])
             # One short plain word would match everywhere.
             if t and (len(t) > 1 or len(t[0]) >= 5):
@@ -262,26 +269,47 @@ def _names(known: DataFrame) -> tuple[list[str], bool]:
 
 
 def mentioned(messages: DataFrame, known: DataFrame, text_col: str) -> DataFrame:
-    """The known names that messages mention, for tables of more than MAX_NAMES names: names.
+    """What messages mention of the known names, for tables of more than MAX_NAMES names: kind, name.
 
-    All runs of up to 6 tokens are joined with the names; what is left is at
-    most what the texts at hand hold.
+    Kinds are name (a whole name) and given and family (words of full names of
+    any author, mentioned whole or not).  The texts' runs of as many tokens as
+    names have are joined with them; what is left is at most what the texts at
+    hand hold.
     """
 
+    def low(t: str) -> list[str]:
+        return [x.strip().lower() for x in tokens(t)[0]]
+
+    def size(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            if len(f):
+                yield pd.DataFrame({"n": sorted({len(low(n)) for n in f["name"]})})
+
+    # Words are always looked up; lengths are few, as no name is longer than the longest.
+    sizes = sorted({1, *(r["n"] for r in known.mapInPandas(size, "n int").where("n > 0").distinct().collect())})
+
     def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             seen = set()
             for t in f["t"]:
-                k = [x.strip().lower() for x in tokens(t)[0]] if t else []
-                seen.update(" ".join(k[i : i + n]) for i in range(len(k)) for n in range(1, 7))
-            yield pd.DataFrame({"gram": sorted(seen)})
+                k = low(t) if t else []
+                for n in sizes:
+                    if n > len(k):
+                        break
+                    seen.update(" ".join(k[i : i + n]) for i in range(len(k) - n + 1))
+            if seen:
+                yield pd.DataFrame({"gram": sorted(seen)})
 
     def key(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield pd.DataFrame({"gram": [" ".join(x.strip().lower() for x in tokens(n)[0]) for n in f["name"]], "name": f["name"]})
+            rows = {(" ".join(low(n)), "name", n) for n in f["name"]}
+            for g, h in filter(None, map(person, f["name"])):
+                rows |= {(g, "given", g), (h, "family", h)}
+            if rows:
+                yield pd.DataFrame(sorted(rows), columns=["gram", "kind", "name"])
 
     said = messages.select(F.col(text_col).alias("t")).mapInPandas(grams, "gram string").distinct()
-    return known.mapInPandas(key, "gram string, name string").join(said, "gram", "left_semi").select("name").distinct()
+    return known.mapInPandas(key, "gram string, kind string, name string").distinct().join(said, "gram", "left_semi").select("kind", "name")
 
 
 def find(messages: DataFrame, known: DataFrame, id_col: str = "id", text_col: str = "content") -> DataFrame:
@@ -294,13 +322,16 @@ def find(messages: DataFrame, known: DataFrame, id_col: str = "id", text_col: st
     """
     spark = messages.sparkSession
     names, more = _names(known)
+    words: dict[str, list[str]] = {"name": names, "given": [], "family": []}
     if more:
-        names = [r[0] for r in mentioned(messages, known, text_col).toLocalIterator()]
-    held = spark.sparkContext.broadcast((trained(), names))
+        names.clear()
+        for r in mentioned(messages, known, text_col).toLocalIterator():
+            words[r["kind"]].append(r["name"])
+    held = spark.sparkContext.broadcast((trained(), words))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        crf, n = held.value
-        tagger = Tagger(crf, Names(n))
+        crf, w = held.value
+        tagger = Tagger(crf, Names(w["name"], w["given"], w["family"]))
         for f in frames:
             codes, unique = pd.factorize(f["t"])  # chat repeats itself
             texts = list(unique)
