@@ -20,6 +20,7 @@ from threadmill.operators.changes import apply_changes
 from threadmill.operators.current import latest_by
 from threadmill.operators.ledger import DONE, PENDING, Ledger, StaleLease, accepted, due_records, run_leased, take_in
 from threadmill.operators.sessions import sessionize
+from threadmill.plans import text_queries
 from threadmill.sources import archive
 from threadmill.storage import scratch
 from threadmill.streaming import pipeline
@@ -421,3 +422,20 @@ def test_channel_context_crosses_days_and_chunks(spark, monkeypatch, rows):
         want += [(h[0], ids[n], n - ids.index(h[0])) for h in data if h[1] == c and h[3] == "hit" for n in range(len(ids)) if abs(n - ids.index(h[0])) <= 2]
     assert got == sorted(want) and (5001, 5000, -1) in got and (5001, 10**18, 1) in got
     assert S.channel_context(df.limit(0), F.col("content") == "hit", 2).collect() == []
+
+
+def test_letters_of_any_number(spark):
+    def plain(n):
+        return (plain(n // 26 - 1) if n >= 26 else "") + chr(65 + n % 26)
+
+    some = [*range(800), 26**2 + 26**3, 18277, 18278, 475253, 475254, 2**31 - 1]
+    df = spark.createDataFrame([(n,) for n in some], "n int").select("n", T.letters(F.col("n")).alias("x"))
+    got = {r["n"]: r["x"] for r in df.collect()}
+    assert got == {n: plain(n) for n in some} and got[701] == "ZZ" and got[702] == "AAA" and len(set(got.values())) == len(set(some))
+
+
+def test_pseudonyms_of_a_crowded_exchange(spark, monkeypatch):
+    df = spark.createDataFrame([(1, 10_000 + p % 1500, p) for p in range(3000)], "xid long, author_id long, position long")
+    monkeypatch.setattr(text_queries, "exchange_messages", lambda *_: df)
+    got = {r.author_id: r.member for r in text_queries.pseudonyms(spark, "").collect()}
+    assert len(got) == len(set(got.values())) == 1500 and got[10_699] == "ZX" and got[10_702] == "AAA"

@@ -103,10 +103,10 @@ def pseudonym(user_id: Column, salt: str, width: int = 4) -> Column:
     return F.concat(F.lit("user-"), F.substring(F.sha2(F.concat(F.lit(salt + ":"), user_id.cast("string")), 256), 1, width))
 
 
-def letters(n: Column) -> Column:
-    """0, 1, ... 25, 26 as A, B, ... Z, AA (up to two letters)."""
-    one = lambda k: F.chr((k + 65).cast("long"))
-    return F.when(n < 26, one(n)).otherwise(F.concat(one(F.floor(n / 26) - 1), one(F.pmod(n, F.lit(26)))))
+def letters(n: Column, places: int = 7) -> Column:
+    """0, 1, ... 25, 26 as A, B, ... Z, AA, ... ZZ, AAA (up to seven letters: more than an int holds)."""
+    one = F.chr((F.pmod(n, F.lit(26)) + 65).cast("long"))
+    return one if places == 1 else F.when(n < 26, one).otherwise(F.concat(letters(F.floor(n / 26) - 1, places - 1), one))
 
 
 def prompt_tokens(c: Column) -> Column:

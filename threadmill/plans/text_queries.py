@@ -134,7 +134,7 @@ def claim_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     + " SELECT xid, author_id, 'user-' || left(sha256('salt:' || author_id), 4) AS pseudonym, CASE WHEN no < 26 THEN chr(CAST(65 + no AS INTEGER)) ELSE chr(CAST(64 + no // 26 AS INTEGER)) || chr(CAST(65 + no % 26 AS INTEGER)) END AS member FROM r WHERE no < 700",
 )
 def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.members(exchange_messages(spark, sf_dir), "salt").where("no < 700").select("xid", "author_id", "pseudonym", "member")
+    return S.members(exchange_messages(spark, sf_dir), "salt").select("xid", "author_id", "pseudonym", "member")
 
 
 @CORE.query(
