@@ -226,6 +226,14 @@ def test_pii_same_finds_above_and_below_the_bound(spark, monkeypatch):
     assert got == {("name", "a.b_c-d99"), ("name", "x-y.z_1-2_3-4"), ("given", "tova"), ("given", "bex"), ("family", "selund")}
 
 
+def test_pii_short_author_names(spark):
+    df = spark.createDataFrame(list(enumerate(["thx ANA works", "did max say so?", "maximal banana.", "well - fine"])), "id long, content string")
+    known = spark.createDataFrame([("Ana",), ("Max",), ("-",)], "name string")
+    got = {r.message_id: (r.kinds, r.redacted) for r in pii.find(df, known).collect()}
+    assert got[0][0] == got[1][0] == ["name"] and "ANA" not in got[0][1] and "max" not in got[1][1]
+    assert got[2] == ([], "maximal banana.") and got[3] == ([], "well - fine")
+
+
 # ---- containers
 
 

@@ -104,8 +104,8 @@ class Names:
                 given.add(whole[0])
                 family.add(whole[1])
             t = tuple(k.strip().lower() for k in tokens(n)[0])
-            # One short plain word would match everywhere.
-            if t and (len(t) > 1 or len(t[0]) >= 5):
+            # A lone sign would match everywhere and names nobody.
+            if t and (len(t) > 1 or t[0].isalnum()):
                 self.by_first.setdefault(t[0], []).append(t)
         for k in self.by_first:
             self.by_first[k].sort(key=len, reverse=True)
