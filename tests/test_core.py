@@ -18,7 +18,7 @@ from threadmill.operators import search as S
 from threadmill.operators import similar
 from threadmill.operators.changes import apply_changes
 from threadmill.operators.current import latest_by
-from threadmill.operators.ledger import DONE, PENDING, Ledger, StaleLease, accepted, due_records, run_leased, take_in
+from threadmill.operators.ledger import DONE, PENDING, PLAN, Ledger, Runs, RunUnfinished, StaleLease, accepted, due_records, run_leased, take_in
 from threadmill.operators.sessions import sessionize
 from threadmill.plans import text_queries
 from threadmill.sources import archive
@@ -184,6 +184,82 @@ def test_due_records(spark):
     assert take_in(source.limit(0), channels.limit(0), stored.limit(0), scratch(spark, "t")).collect() == []
 
 
+def plain_due(source, marks, stored):
+    newest, out = {}, set()
+    for i, c, e in source:
+        if i not in newest or (e is not None and (newest[i][1] is None or e > newest[i][1])):
+            newest[i] = (c, e)
+    for i, (c, e) in newest.items():
+        new = i not in stored and (marks.get(c) is None or i > marks[c])
+        edited = i in stored and e is not None and (stored[i] is None or e > stored[i])
+        if new or edited:
+            out.add(i)
+    return out
+
+
+def test_three_runs_with_a_crash_late_rows_and_a_stale_writer(spark):
+    now, path = [0.0], scratch(spark, "runs")
+    source, marks, stored = [(i, 1, None) for i in range(1, 21)], {1: 5}, {3: None, 4: at(1)}
+    source += [(3, 1, at(2)), (4, 1, at(1))]
+
+    def frames():
+        s = spark.createDataFrame([(i, c, None, e, False, at(0), "") for i, c, e in source], SOURCE)
+        return s, spark.createDataFrame(list(marks.items()), "id long, last_backfilled_message_id long"), spark.createDataFrame([(i, at(0), e, 1) for i, e in stored.items()], "id long, ingested_at timestamp_ntz, edited_at timestamp_ntz, mark int")
+
+    def go(owner="a"):
+        return {r.message_id for r in take_in(*frames(), path, buckets=4, owner=owner, clock=lambda: now[0], lease_seconds=100).collect()}
+
+    runs = Runs(spark, path, 4, lambda: now[0])
+    # Run 1: the worker that makes the snapshot and one item dies between writing and completing.
+    want1 = plain_due(source, marks, stored)
+    l = runs.ledger(1)
+    l.enqueue([PLAN])
+    (dead_plan,) = l.lease("dead", 100, only=[PLAN])
+    spark.createDataFrame([(999, None, 1, 0)], "message_id long, edited_at timestamp_ntz, place long, bucket int").write.partitionBy("bucket").parquet(l.output(dead_plan))
+    with pytest.raises(RunUnfinished):
+        go("b")  # the lease still runs
+    now[0] += 101
+    l.enqueue(range(4))
+    (dead_item,) = l.lease("dead", 100, only=[2])
+    with pytest.raises(RunUnfinished):
+        go("b")  # everything but the dead one's item
+    with pytest.raises(StaleLease):
+        l.complete(dead_plan)
+    source += [(i, 1, None) for i in range(30, 33)]  # late rows: not this run's
+    now[0] += 101
+    assert go("c") == want1 == {3, *range(6, 21)}
+    with pytest.raises(StaleLease):
+        l.complete(dead_item)
+    spark.createDataFrame([(998, None, 1)], "message_id long, edited_at timestamp_ntz, place long").write.mode("append").parquet(l.output(dead_item))  # the stale writer writes all the same
+    assert {r.message_id for r in runs.rows(1).collect()} == want1
+    # Run 2 begins although nobody told the tables of run 1 yet: nothing comes twice, a later edit of a taken id does.
+    source += [(7, 1, at(9))]
+    assert go() == {7, 30, 31, 32}
+    # Run 3, with the tables brought up to date.
+    marks = {r.id: r.last_backfilled_message_id for r in runs.advanced(frames()[1]).collect()}
+    assert marks == {1: 32}
+    for run in (1, 2):
+        stored.update({r.message_id: r.edited_at for r in runs.rows(run).collect()})
+    source += [(40, 1, None), (25, 1, None), (50, 2, None), (3, 1, at(5))]
+    assert go() == plain_due(source, marks, stored) == {40, 50, 3}  # 25 lies below the checkpoint
+    stored.update({r.message_id: r.edited_at for r in runs.rows(3).collect()})
+    assert go() == set() and go() == set()  # a rerun changes nothing
+    every = [r.message_id for run in runs.known() for r in runs.rows(run).collect()]
+    assert sorted(every) == sorted([*want1, 7, 30, 31, 32, 40, 50, 3]) and runs.finished(5)
+
+
+def test_ledger_entries_are_exclusive(spark, ledger):
+    from concurrent.futures import ThreadPoolExecutor
+
+    l, _ = ledger
+    l.enqueue([1])
+    with ThreadPoolExecutor(8) as pool:
+        won = list(pool.map(lambda i: l._append(1, 2, {"state": "leased", "owner": str(i), "until": 1e9}), range(40)))
+    assert sum(won) == 1
+    with pytest.raises(ValueError):
+        Ledger(spark, "ftp://somewhere/x")
+
+
 # ---- grouping
 
 

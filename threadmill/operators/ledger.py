@@ -10,12 +10,20 @@ Output goes to a path made from item and token, so a retried task or a stale
 writer never touches what a later lease wrote, and readers take only the paths
 that ``done`` entries name.  Item counts are a parameter (buckets of records),
 so the driver's part doesn't grow with the data.
+
+Runs are numbered, and each has a ledger of its own.  A run begins with one
+snapshot of what is due (an item like any other), works off its buckets from
+that snapshot, and ends with one entry that makes its rows and its checkpoints
+count together.  A run that broke off is continued; only when the last run has
+ended does the next one begin.
 """
 
 from __future__ import annotations
 
 import json
+import os
 import time
+import uuid
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
@@ -26,6 +34,10 @@ from ..storage import _filesystem
 from .current import latest_by
 
 PENDING, LEASED, DONE = "pending", "leased", "done"
+#: Items of a run besides its buckets: the snapshot of what is due, and the run's end.
+PLAN, END = 1_000_000, 1_000_001
+#: File systems whose create without overwriting is exclusive; "file" is done by a hard link.
+EXCLUSIVE = ("file", "hdfs", "viewfs", "abfs", "abfss")
 
 
 class StaleLease(Exception):
@@ -40,12 +52,25 @@ class Lease:
     until: float
 
 
+class RunUnfinished(Exception):
+    """Items of the run are leased to others; call again later."""
+
+
 class Ledger:
-    """Work items and their states below ``path``, which must be shared."""
+    """Work items and their states below ``path``, which must be shared.
+
+    The file system must be able to create a file only if it isn't there:
+    stores that check first and then write would let two writers hold one
+    token, so others than EXCLUSIVE are refused.
+    """
 
     def __init__(self, spark: SparkSession, path: str, clock: Callable[[], float] = time.time):
         self.spark, self.path, self.clock = spark, path.rstrip("/"), clock
-        self.fs, _ = _filesystem(spark, path)
+        self.fs, at = _filesystem(spark, path)
+        self.scheme = self.fs.getUri().getScheme()
+        self.local = at.toUri().getPath() if self.scheme == "file" else None
+        if self.scheme not in EXCLUSIVE:
+            raise ValueError(f"no exclusive create on {self.scheme}: a ledger needs one of {', '.join(EXCLUSIVE)}")
 
     def _at(self, *parts: object):
         return self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path("/".join([self.path, *map(str, parts)]))
@@ -53,7 +78,22 @@ class Ledger:
     def _append(self, item: int, number: int, entry: dict) -> bool:
         """Create entry ``number`` of an item; False if it exists already."""
         data = json.dumps(entry).encode()
-        final = self._at("log", f"item={item}", f"{number:08d}.json")
+        parts = ("log", f"item={item}", f"{number:08d}.json")
+        if self.local is not None:
+            # A link appears whole and only if nothing is there.
+            folder = os.path.join(self.local, *parts[:2])
+            os.makedirs(folder, exist_ok=True)
+            own = os.path.join(folder, f".{uuid.uuid4().hex}")
+            with open(own, "wb") as f:
+                f.write(data)
+            try:
+                os.link(own, os.path.join(folder, parts[2]))
+                return True
+            except FileExistsError:
+                return False
+            finally:
+                os.unlink(own)
+        final = self._at(*parts)
         if self.fs.exists(final):
             return False
         try:
@@ -75,7 +115,7 @@ class Ledger:
             return found
         for s in self.fs.listStatus(at):
             name = s.getPath().getName()
-            if name.endswith(".json"):
+            if name.endswith(".json") and not name.startswith("."):
                 stream = self.fs.open(s.getPath())
                 try:
                     raw = bytes(stream.readAllBytes())
@@ -111,10 +151,10 @@ class Ledger:
         for item in items:
             self._append(item, 1, {"state": PENDING})
 
-    def lease(self, owner: str, seconds: float, limit: int | None = None) -> list[Lease]:
-        """Lease up to ``limit`` pending items."""
+    def lease(self, owner: str, seconds: float, limit: int | None = None, only: Sequence[int] | None = None) -> list[Lease]:
+        """Lease up to ``limit`` pending items (of ``only``)."""
         got: list[Lease] = []
-        for item in self.items():
+        for item in self.items() if only is None else only:
             if limit is not None and len(got) >= limit:
                 break
             state, number, _ = self.state(item)
@@ -131,24 +171,24 @@ class Ledger:
         if not self._append(lease.item, lease.token + 1, {"state": DONE, "token": lease.token, "owner": lease.owner}):
             raise StaleLease(f"item {lease.item}: token {lease.token} is not the latest")
 
-    def done(self) -> list[tuple[int, int]]:
-        """(item, token) of all done items."""
+    def done(self, only: Sequence[int] | None = None) -> list[tuple[int, int]]:
+        """(item, token) of all done items (of ``only``)."""
         found = []
-        for item in self.items():
+        for item in self.items() if only is None else only:
             state, _, last = self.state(item)
             if state == DONE:
                 found.append((item, last["token"]))
         return found
 
 
-def run_leased(ledger: Ledger, work: DataFrame, item_col: str, owner: str, lease_seconds: float = 3600, limit: int | None = None) -> int:
+def run_leased(ledger: Ledger, work: DataFrame, item_col: str, owner: str, lease_seconds: float = 3600, limit: int | None = None, only: Sequence[int] | None = None) -> int:
     """Lease pending items, write their rows of ``work``, complete them.
 
     One Spark job writes all leased items, each to the path of its token (a
     retried job overwrites just these).  Returns how many items were completed;
     those that someone leased meanwhile are left to them.
     """
-    leases = ledger.lease(owner, lease_seconds, limit)
+    leases = ledger.lease(owner, lease_seconds, limit, only)
     by_token: dict[int, list[Lease]] = {}
     for x in leases:
         by_token.setdefault(x.token, []).append(x)
@@ -165,16 +205,16 @@ def run_leased(ledger: Ledger, work: DataFrame, item_col: str, owner: str, lease
     return completed
 
 
-def accepted(ledger: Ledger, schema) -> DataFrame:
-    """All rows of done items, each item from the token that completed it."""
-    paths = [p for item, token in ledger.done() if ledger.fs.exists(ledger._at(*(p := f"out/token={token}/item={item}").split("/")))]
+def accepted(ledger: Ledger, schema, only: Sequence[int] | None = None) -> DataFrame:
+    """All rows of done items (of ``only``), each item from the token that completed it."""
+    paths = [p for item, token in ledger.done(only) if ledger.fs.exists(ledger._at(*(p := f"out/token={token}/item={item}").split("/")))]
     if not paths:
         return ledger.spark.createDataFrame([], schema)
     return ledger.spark.read.schema(schema).parquet(*(f"{ledger.path}/{p}" for p in paths))
 
 
-def due_records(source: DataFrame, channels: DataFrame, stored: DataFrame) -> DataFrame:
-    """Ids (``message_id``) that the next run must take in.
+def due_versions(source: DataFrame, channels: DataFrame, stored: DataFrame) -> DataFrame:
+    """What the next run must take in: message_id, edited_at (of its newest version), place.
 
     Due are ids not stored yet that lie above the checkpoint of their thread
     (channel without one), or whose thread or channel was never fetched (no row
@@ -194,20 +234,109 @@ def due_records(source: DataFrame, channels: DataFrame, stored: DataFrame) -> Da
     found = found.join(marks, "place", "left")
     new = F.col("there").isNull() & (F.col("mark").isNull() | (F.col("id") > F.col("mark")))
     edited = F.col("there") & F.col("edited_at").isNotNull() & (F.col("stored_edit").isNull() | (F.col("edited_at") > F.col("stored_edit")))
-    return found.where(new | edited).select(F.col("id").alias("message_id"))
-
+    return found.where(new | edited).select(F.col("id").alias("message_id"), "edited_at", "place")
 
-def take_in(source: DataFrame, channels: DataFrame, stored: DataFrame, path: str, buckets: int = 24, owner: str = "run", clock: Callable[[], float] = time.time) -> DataFrame:
-    """The due ids, taken in through a ledger at ``path``.
 
-    Ids are put into ``buckets`` work items by hash.  A run that broke off is
-    continued by calling this again with the same path: done items aren't
-    repeated, and items whose lease expired are taken again.
+def due_records(source: DataFrame, channels: DataFrame, stored: DataFrame) -> DataFrame:
+    """Ids (``message_id``) of ``due_versions``."""
+    return due_versions(source, channels, stored).select("message_id")
+
+
+class Runs:
+    """The numbered runs below ``path``; every one has a ledger of ``buckets`` items, a plan and an end."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 24, clock: Callable[[], float] = time.time, schema="message_id long, edited_at timestamp_ntz, place long"):
+        self.spark, self.path, self.buckets, self.clock, self.schema = spark, path.rstrip("/"), buckets, clock, schema
+
+    def ledger(self, run: int) -> Ledger:
+        return Ledger(self.spark, f"{self.path}/run={run:08d}", self.clock)
+
+    def known(self) -> list[int]:
+        """Numbers of all runs that were begun."""
+        fs, at = _filesystem(self.spark, self.path)
+        return sorted(int(s.getPath().getName().removeprefix("run=")) for s in fs.listStatus(at)) if fs.exists(at) else []
+
+    def finished(self, run: int) -> bool:
+        return self.ledger(run).state(END)[0] == DONE
+
+    def open(self) -> int:
+        """The run that is to be worked on: the last one if it hasn't ended, else the next number."""
+        known = self.known()
+        return 1 if not known else known[-1] + 1 if self.finished(known[-1]) else known[-1]
+
+    def rows(self, run: int) -> DataFrame:
+        """message_id, edited_at, place of a run that has ended (none of one that hasn't)."""
+        l = self.ledger(run)
+        return accepted(l, self.schema, range(self.buckets) if self.finished(run) else ())
+
+    def taken(self) -> DataFrame | None:
+        """The latest version that ended runs took in of every id: t_id, t_edit; None without runs."""
+        every = None
+        for run in self.known():
+            if self.finished(run):
+                one = self.rows(run)
+                every = one if every is None else every.unionByName(one)
+        return None if every is None else every.groupBy(F.col("message_id").alias("t_id")).agg(F.max("edited_at").alias("t_edit"))
+
+    def advanced(self, channels: DataFrame) -> DataFrame:
+        """The checkpoints after all ended runs: id, last_backfilled_message_id.
+
+        A run's checkpoints count from the moment at which its rows do, as both
+        hang on its one end entry.  Checkpoints never fall.
+        """
+        marks = channels.select("id", "last_backfilled_message_id")
+        for run in self.known():
+            marks = marks.unionByName(self.rows(run).groupBy(F.col("place").alias("id")).agg(F.max("message_id").alias("last_backfilled_message_id")))
+        return marks.groupBy("id").agg(F.max("last_backfilled_message_id").alias("last_backfilled_message_id"))
+
+    def work(self, due: DataFrame, owner: str, lease_seconds: float = 3600) -> int:
+        """Begin or continue a run over ``due``; its number once it has ended.
+
+        ``due`` is only looked at by whoever makes the run's snapshot: what the
+        tables hold by the time a run is continued makes no difference to it.
+        Raises RunUnfinished while others hold items of the run.
+        """
+        run = self.open()
+        l = self.ledger(run)
+        l.enqueue([PLAN])
+        for lease in l.lease(owner, lease_seconds, only=[PLAN]):
+            taken = self.taken()
+            if taken is not None:
+                again = F.col("t_id").isNull() | (F.col("edited_at").isNotNull() & (F.col("t_edit").isNull() | (F.col("edited_at") > F.col("t_edit"))))
+                due = due.join(taken, F.col("message_id") == F.col("t_id"), "left").where(again).drop("t_id", "t_edit")
+            bucket = F.pmod(F.xxhash64("message_id"), F.lit(self.buckets)).cast("int")
+            rows = due.withColumn("bucket", bucket).hint("rebalance", "bucket")
+            rows.write.mode("overwrite").partitionBy("bucket").parquet(l.output(lease))
+            try:
+                l.complete(lease)
+            except StaleLease:
+                pass
+        plan = l.done([PLAN])
+        if not plan:
+            raise RunUnfinished(f"run {run}: someone else makes its snapshot")
+        at = f"{l.path}/out/token={plan[0][1]}/item={PLAN}"
+        snapshot = self.spark.read.schema(due.withColumn("bucket", F.lit(0)).schema).parquet(at)
+        every = range(self.buckets)
+        l.enqueue(every)
+        run_leased(l, snapshot, "bucket", owner, lease_seconds, only=every)
+        done = l.done(every)
+        if len(done) < self.buckets:
+            raise RunUnfinished(f"run {run}: {self.buckets - len(done)} items are leased to others")
+        l._append(END, 1, {"state": DONE, "token": 0, "owner": owner})  # whoever is first; all would write the same
+        return run
+
+
+def take_in(source: DataFrame, channels: DataFrame, stored: DataFrame, path: str, buckets: int = 24, owner: str = "run", clock: Callable[[], float] = time.time, lease_seconds: float = 3600) -> DataFrame:
+    """The ids (``message_id``) of the next run, taken in through the ledgers at ``path``.
+
+    A run that broke off is continued by calling this again with the same path:
+    its snapshot stays, done items aren't repeated, and items whose lease
+    expired are taken again.  Once a run has ended the next call begins another
+    one over what is due then; ids that ended runs took in already are due
+    again only in a later version, whether or not ``stored`` and ``channels``
+    know of them yet.  ``Runs.rows`` gives the rows of earlier runs again, and
+    ``Runs.advanced`` the checkpoints to be kept.
     """
-    spark = source.sparkSession
-    due = due_records(source, channels, stored)
-    work = due.withColumn("__item", F.pmod(F.xxhash64("message_id"), F.lit(buckets)).cast("int"))
-    ledger = Ledger(spark, path, clock)
-    ledger.enqueue(range(buckets))
-    run_leased(ledger, work, "__item", owner)
-    return accepted(ledger, due.schema)
+    due = due_versions(source, channels, stored)
+    runs = Runs(source.sparkSession, path, buckets, clock, due.schema)
+    return runs.rows(runs.work(due, owner, lease_seconds)).select("message_id")
