@@ -1,6 +1,8 @@
 """Operators for training data against plain versions, with dirty and empty input."""
 
 import random
+import re
+from collections import Counter
 from datetime import datetime, timedelta
 from pathlib import Path
 
@@ -175,20 +177,66 @@ def test_quantisation_bounds_hold():
 
 # ---- personal information
 
+MARKED = re.compile(r"\[\[(email|phone|id_number|address|name):(.*?)\]\](?!\])")
+
+
+def marked_lines(name):
+    """Texts of a hand-written file with the spans that are marked in it."""
+    out = []
+    for line in (Path(__file__).parent / name).read_text().splitlines():
+        text, spans, at = "", [], 0
+        for m in MARKED.finditer(line):
+            text += line[at : m.start()]
+            spans.append((len(text), len(text) + len(m[2]), m[1]))
+            text, at = text + m[2], m.end()
+        out.append((text + line[at:], spans))
+    return out
+
 
 @pytest.fixture(scope="module")
 def tagger():
     return pii.Tagger(pii.trained(), pii.Names(["Milo Deligan", "corostam7334", "Selul-hol8875"]))
 
 
-def test_pii_held_out(tagger):
+@pytest.mark.parametrize("file, least, exact", [("pii_held_out.txt", 0.9, 0.9), ("pii_fresh.txt", 0.85, 0.6)])
+def test_pii_of_hand_written_lines(tagger, file, least, exact):
+    """Lines that share no sentence with the training rows: recall and precision of each kind.
+
+    The first file was looked at while the tagger was made, the second wasn't;
+    that one is full of places and firms of two capital words.
+    """
+    want, hit, found = Counter(), Counter(), Counter()
+    rows = marked_lines(file)
+    for (_, spans), got in zip(rows, tagger.finds([t for t, _ in rows])):
+        a, b = {k for *_, k in spans}, {k for *_, k in got}
+        want.update(a)
+        hit.update(a & b)
+        found.update(b)
+    for k in pii.KINDS:
+        assert hit[k] >= least * want[k] and hit[k] >= (exact if k == "name" else 0.9) * found[k], (k, want[k], hit[k], found[k])
+
+
+def test_pii_nothing_is_left_of_a_number(tagger):
+    """Redaction of the lines leaves no digit group of what is marked, where the kind was found at all."""
+    rows = marked_lines("pii_held_out.txt")
+    left = total = 0
+    for (text, spans), got in zip(rows, tagger.finds([t for t, _ in rows])):
+        for a, b, k in spans:
+            if k in ("email", "phone", "id_number") and any(x == k for *_, x in got):
+                total += 1
+                left += not any(x <= a and b <= y for x, y, _ in got)
+    assert total > 50 and left <= 1
+
+
+def test_pii_held_out_rows(tagger):
     hit = miss = false = 0
-    for (text, spans, known), got in zip(rows := labelled_rows(300, 77), tagger.finds([r[0] for r in rows])):
+    rows = labelled_rows(300, 77)
+    for (text, spans, known), got in zip(rows, tagger.finds([r[0] for r in rows])):
         want = {k for a, b, k in spans if (a, b) not in known}
         found = {k for _, _, k in got}
         hit, miss = hit + len(want & found), miss + len(want - found)
         false += len(found - {k for _, _, k in spans})
-    assert hit / (hit + miss) > 0.93 and false / (hit + false) < 0.07
+    assert hit / (hit + miss) > 0.9 and false / (hit + false) < 0.1
 
 
 def test_pii_texts(tagger, spark):
@@ -198,40 +246,29 @@ def test_pii_texts(tagger, spark):
     assert kinds("root@osyor:~# reboot") == set() and kinds("Good morning everyone.") == set()
     long = "The lens from Fenwick works better once the track is sealed. " * 400 + "write to anna.lund@vikmail.example"
     (f,) = tagger.finds([long])[0]
-    assert f[2] == "email" and long[f[0] : f[1]].endswith("vikmail.example")
-    assert tagger.finds([None, "", "​", "🙂"]) == [[], [], [], []]
+    assert f[2] == "email" and long[f[0] : f[1]] == "anna.lund@vikmail.example"
+    assert tagger.finds([None, "", "\u200b", "🙂"]) == [[], [], [], []]
     df = spark.createDataFrame([(1, "ring 415-555-0132 after six", 5), (2, None, 6), (3, "", 7)], "id long, content string, kinds int")
     out = {r.message_id: (r.kinds, r.redacted) for r in pii.find(df, spark.createDataFrame([], "name string")).collect()}
     assert out == {1: (["phone"], "ring [PHONE] after six"), 2: ([], None), 3: ([], "")}
 
 
-def test_pii_names_above_the_broadcast_bound(spark, monkeypatch):
-    df = spark.createDataFrame([(1, "thx Milo Deligan!"), (2, "nothing here")], "id long, content string")
-    known = spark.createDataFrame([("Milo Deligan",), ("Tova Selund",), ("x9",)], "name string")
-    want = [tuple(r) for r in pii.find(df, known).orderBy("message_id").collect()]
-    monkeypatch.setattr(pii, "MAX_NAMES", 1)
-    assert [tuple(r) for r in pii.find(df, known).orderBy("message_id").collect()] == want and want[0][3] == "thx [NAME]!"
-
-
-def test_pii_same_finds_above_and_below_the_bound(spark, monkeypatch):
-    """Long author names, and words known only from authors that no text mentions."""
-    texts = ["thx a.b_c-d99!", "ask tova about it", "ask tova grendal about it", "i met tova grendal and bex selund", "Tova", "x-y.z_1-2_3-4 wrote", "ask Grendal Selund", "", None]
-    df = spark.createDataFrame(list(enumerate(texts)), "id long, content string")
-    known = spark.createDataFrame([(n,) for n in ("a.b_c-d99", "x-y.z_1-2_3-4", "Tova Holm", "Bex Arvik", "Nils Selund", "x9")], "name string")
-    want = [tuple(r) for r in pii.find(df, known).orderBy("message_id").collect()]
-    monkeypatch.setattr(pii, "MAX_NAMES", 1)
-    assert [tuple(r) for r in pii.find(df, known).orderBy("message_id").collect()] == want
-    assert want[0][3] == "thx [NAME]!" and want[5][3] == "[NAME] wrote"
-    got = {(r["kind"], r["name"]) for r in pii.mentioned(df, known, "content").collect()}
-    assert got == {("name", "a.b_c-d99"), ("name", "x-y.z_1-2_3-4"), ("given", "tova"), ("given", "bex"), ("family", "selund")}
-
-
-def test_pii_short_author_names(spark):
-    df = spark.createDataFrame(list(enumerate(["thx ANA works", "did max say so?", "maximal banana.", "well - fine"])), "id long, content string")
-    known = spark.createDataFrame([("Ana",), ("Max",), ("-",)], "name string")
-    got = {r.message_id: (r.kinds, r.redacted) for r in pii.find(df, known).collect()}
-    assert got[0][0] == got[1][0] == ["name"] and "ANA" not in got[0][1] and "max" not in got[1][1]
-    assert got[2] == ([], "maximal banana.") and got[3] == ([], "well - fine")
+def test_pii_author_names_by_join(spark):
+    """Long and short author names, words known only from authors that no text mentions; the same as with all names in memory."""
+    texts = ["thx a.b_c-d99!", "ask tova about it", "ask tova grendal about it", "i met tova grendal and bex selund", "Tova", "x-y.z_1-2_3-4 wrote", "ask Grendal Selund", "", None, "thx ANA works", "did max say so?", "maximal banana.", "well - fine"]
+    df = spark.createDataFrame([*enumerate(texts), *((100 + i, t) for i, t in enumerate(texts))], "id long, content string")
+    names = ["a.b_c-d99", "x-y.z_1-2_3-4", "Tova Holm", "Bex Arvik", "Nils Selund", "x9", "Ana", "Max", "-", None]
+    known = spark.createDataFrame([(n,) for n in names], "name string")
+    rows = pii.find(df, known).collect()
+    got = {r.message_id: (r.kinds, r.redacted) for r in rows}
+    assert len(rows) == 2 * len(texts) and all(got[i] == got[100 + i] for i in range(len(texts)))
+    small = pii.Tagger(pii.trained(), pii.Names([n for n in names if n]))
+    assert [got[i][0] for i in range(len(texts))] == [sorted({k for *_, k in f}) for f in small.finds(texts)]
+    assert got[0][1] == "thx [NAME]!" and got[5][1] == "[NAME] wrote" and got[9][0] == got[10][0] == ["name"]
+    assert "ANA" not in got[9][1] and "max" not in got[10][1] and got[11] == ([], "maximal banana.") and got[12] == ([], "well - fine")
+    keys = {(k.kind, k.key) for r in pii.mentioned(df, known, "content").collect() for k in r["keys"]}
+    want = {("name", " ".join(pii.low_tokens(n))) for n in ("a.b_c-d99", "x-y.z_1-2_3-4", "Ana", "Max")}
+    assert keys == want | {("given", "tova"), ("given", "bex"), ("family", "selund")}
 
 
 # ---- containers

@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 
-AROUND = range(-3, 4)
+AROUND = range(-5, 6)
 
 
 class Crf:
@@ -64,16 +64,15 @@ class Crf:
                 last = np.where(inside, back[np.arange(b), i, last], last)
         return out
 
-    def train(self, keys: list[list[str]], flags: list[list[int]], gold: list[list[int]], epochs: int = 8, batch: int = 64, rate: float = 0.04, l2: float = 1e-4, seed: int = 7) -> None:
+    def train(self, keys: list[list[str]], flags: list[list[int]], gold: list[list[int]], epochs: int = 6, batch: int = 64, rate: float = 0.04, l2: float = 1e-4, seed: int = 7) -> None:
         types = {k: i for i, k in enumerate(sorted({k for s in keys for k in s}))}
-        inc = np.zeros((len(types), len(self.features)), np.float32)
-        for k, i in types.items():
-            inc[i, self.ids(k)] = 1
+        held = [np.array(self.ids(k), np.int64) for k in types]
         n = len(self.labels)
         params = [self.w, self.flag, self.step, self.first]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
         order, rng, at = np.argsort([len(k) for k in keys], kind="stable"), np.random.default_rng(seed), 0
         chunks = [order[i : i + batch] for i in range(0, len(order), batch)]
+        steps = epochs * len(chunks)
         for _ in range(epochs):
             for c in rng.permutation(len(chunks)):
                 rows = chunks[c]
@@ -85,7 +84,11 @@ class Crf:
                 used, local = np.unique(ids[ids >= 0], return_inverse=True)
                 small = np.full_like(ids, -1)
                 small[ids >= 0] = local
-                table = (inc[used] @ self.w.reshape(len(self.features), -1)).reshape(len(used), len(AROUND), n)
+                # Only the features of this batch's tokens: a small dense incidence.
+                some, place = np.unique(np.concatenate([held[i] for i in used]), return_inverse=True)
+                inc = np.zeros((len(used), len(some)), np.float32)
+                inc[np.repeat(np.arange(len(used)), [len(held[i]) for i in used]), place] = 1
+                table = (inc @ self.w[some].reshape(len(some), -1)).reshape(len(used), len(AROUND), n)
                 e = self.emissions(table, small, fl)
                 p, pair = self._marginals(e, length)
                 inside = np.arange(t)[None, :] < length[:, None]
@@ -98,7 +101,8 @@ class Crf:
                         src = small[:, lo + o : hi + o]
                         ok = src >= 0
                         np.add.at(g_table[:, k], src[ok], d[:, lo:hi][ok])
-                g_w = (inc[used].T @ g_table.reshape(len(used), -1)).reshape(self.w.shape)
+                g_w = np.zeros_like(self.w)
+                g_w[some] = (inc.T @ g_table.reshape(len(used), -1)).reshape(len(some), *self.w.shape[1:])
                 g_flag = np.zeros_like(self.flag)
                 np.add.at(g_flag, fl[inside], d[inside])
                 g_flag[0] = 0
@@ -111,7 +115,7 @@ class Crf:
                     g = g / len(rows) - l2 * q
                     mm += 0.1 * (g - mm)
                     vv += 0.01 * (g * g - vv)
-                    q += rate * (mm / (1 - 0.9**at)) / (np.sqrt(vv / (1 - 0.99**at)) + 1e-6)
+                    q += rate * (1.02 - at / steps) * (mm / (1 - 0.9**at)) / (np.sqrt(vv / (1 - 0.99**at)) + 1e-6)
 
     def _marginals(self, e: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         b, t, n = e.shape

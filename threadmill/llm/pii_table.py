@@ -1,169 +1,276 @@
-"""The small labelled table that the personal-information tagger is trained on.
+"""The labelled table that the personal-information tagger is trained on.
 
-Sentences are put together from invented names, numbers and places; each comes
-with the spans of what it holds.  Numbers are of ranges set aside for fiction.
+Rows are made from public knowledge only: how telephone, identity and address
+formats of various countries look, common given and family names, and everyday
+sentences with and without personal data.  In formats, # stands for a digit,
+A for a capital letter, X for either, and [abc] for one of these.
 """
 
 from __future__ import annotations
 
 import random
+import re
 
 KINDS = ("email", "phone", "id_number", "address", "name")
-GIVEN = "Anna Bela Carlo Dario Elif Frida Goran Hanna Ines Jonas Karin Lea Marco Nora Oskar Pia Quentin Rosa Sven Tilda Ugo Vera Wanda Xenia Yusuf Zoe Maud Piet Rune Sofia".split()
-ENDS = "son sson ström strom lund dottir etti igan arov quez brook berg man ez ini ova ski sen".split()
-SYLLABLES = "ba bri cla cor del dro du fen fli gar gre hol jun ka kel li lor mar mo mor mos nim no os pel plo quil ras sel sto tam tri ul var ve vel wen yor zan mon per lan vik hag".split()
-PLACES = "ford wick holm by ville stad mere gate ham ton".split()
-STREETS = ["Lane", "Row", "Road", "Avenue", "Hill", "Court", "Way", "Street", "Drive", "Terrace"]
-THINGS = "compiler,lens,track,kernel,contract,fossil,melody,router,goalkeeper,custard,chassis,notary,tunnel,whisk,season opener,signal box,swimming lane,desktop session,system call,token ring adapter,board,device driver,electric multiple unit,depth of field,dough hook,letter of intent,fuse".split(",")
-ADJ = "noisy tight rare slow spare plain dusty early warm cheap odd".split()
-VERB = "swapped labelled sealed trimmed sorted rebuilt measured".split()
-WORD = "zero oh one two three four five six seven eight nine".split()
+#: Digit words, for numbers that are spelled out.
+WORD = "zero oh one two three four five six seven eight nine double".split()
+#: Titles that make a family name a name.
+TITLES = "mr mrs ms miss mx dr prof professor doctor sir madam lady herr frau mme mlle madame monsieur sr sra señor señora don doña signor signora".split()
+
+#: Given names of various languages.
+GIVEN = """
+James Mary Robert Patricia John Linda Michael Barbara David Susan William Jessica Richard Sarah Thomas Karen Daniel Nancy Matthew Lisa Anthony Betty Paul Sandra Kevin Ashley Brian Emily
+George Donna Edward Michelle Ronald Carol Timothy Amanda Jason Melissa Jeffrey Deborah Ryan Laura Gary Rebecca Nicholas Helen Eric Olivia Stephen Hannah Barack Angela Priya Wei Mohammed Fatima Ahmed Aisha Yusuf
+Omar Leila Ali Zainab Hassan Noor Ivan Olga Dmitri Natasha Sergei Tatiana Boris Svetlana Piotr Agnieszka Zbigniew Jan Katarzyna Milan Jana Ondrej Petra Zoltan Ildiko Andras Erzsebet
+Lars Ingrid Bjorn Astrid Sven Freya Mikkel Anders Eero Aino Hans Greta Jürgen Heike Klaus Sabine Uwe Ursula Stefan Monika Pierre Camille Jean Amélie Luc Chloé François Élodie Mathieu Margaux
+Carlos Lucía Javier Carmen Diego Pilar Alejandro Beatriz Pablo Ana Miguel Rocío João Inês Rafael Thiago Giulia Marco Chiara Luca Francesca Matteo Hiroshi Yuki Kenji Sakura Haruto Min-jun Ji-woo Li Xiu
+Anil Deepa Rajesh Sunita Arjun Kavya Chinedu Ngozi Kwame Ama Thabo Siobhan Liam Niamh Angus Rhys Seren Max Leo Zoe Mia Nina Tom Sam Kate Ben
+""".split()
+#: Family names of various languages.
+FAMILY = """
+Smith Johnson Williams Brown Jones Garcia Miller Davis Rodriguez Martinez Hernandez Lopez Wilson Anderson Taylor Moore Jackson Martin Lee Thompson White Harris Clark Lewis Robinson Walker
+Young Allen King Wright Scott Torres Nguyen Hill Flores Green Adams Nelson Baker Hall Rivera Campbell Mitchell Carter Roberts Obama Merkel Patel Zhang Wang Chen Liu Singh Kumar Sharma
+Gupta Khan Hussein Rahman Haddad Nasser Ivanov Petrova Sokolov Kuznetsova Kowalski Kowalczyk Nowak Wiśniewska Novák Dvořáková Horváth Szabó Popescu Ionescu Hansen Jensen Nilsson Lindqvist Virtanen Korhonen
+Müller Schmidt Schneider Fischer Weber Wagner Becker Hoffmann Schäfer Vogel Dupont Lefèvre Moreau Girard Bonnet Rousseau Fernández Jiménez Ortega Navarro Silva Pereira Almeida Costa Rossi Bianchi Romano
+Tanaka Suzuki Yamamoto Kim Park Choi Okafor Adeyemi Mensah Dlamini Murphy Byrne MacDonald Fraser Evans Llewellyn Hughes Cooper Bailey Ward Foster Bennett Reid Vega Castillo
+""".split()
+#: Beginnings, middles and ends that further family, given and place names are made of.
+ONSET = "b br c ch cl d dr f fr g gr h j k kl kr l m n p pr r s sch sh sk st t th tr v w y z".split()
+NUCLEUS = "a e i o u ai ea ie oo au ö ü á é".split()
+CODA = "l m n r s t nd rt ck ll ss nk x".split()
+SURNAME_END = "son sen sson dottir ez es ski ska sky ov ova ev ic ić man mann er stein berg feld ini elli etti eau ault ois oğlu yan ian uk chuk wicz quist lund ström dahl nen iou idis ara eda".split()
+PLACE_END = "ton ham ford burgh stad heim hausen dorf ville mont bourg holm by wick field port mouth grad ovo pura".split()
+
+STREET = "Maple Oak Cedar Pine Elm Washington Lincoln Church Station Victoria Albert Mill Park River Lake Chestnut Sunset Highland Meadow Jackson King Queen Market Bridge College School Spring Garden Harbour North West".split()
+SUFFIX = "Street St St. Road Rd Avenue Ave Ave. Lane Ln Drive Dr Court Ct Place Way Close Crescent Terrace Row Blvd Boulevard Square Gardens Hill Parkway Pkwy Mews".split()
+CITIES = "London Leeds Bristol Springfield Portland Denver Boston Berlin Hamburg Köln Wien Zürich Paris Lyon Nantes Lille Madrid Sevilla Bilbao Milano Torino Dublin Cork Toronto Sydney Austin Glasgow Utrecht".split()
+
+#: Telephone formats of various countries.
+PHONES = """
+###-###-####|(###) ###-####|(###)###-####|###.###.####|### ### ####|1-###-###-####|1###-###-####|1##########|+1 ### ### ####|+1-###-###-####|+1 (###) ###-####|+1##########|##########|(###) ### ####|###-####
++44 7### ######|+44 7### ### ###|+447#########|07### ######|07### ### ###|07#########|020 #### ####|+44 20 #### ####|0121 ### ####|01### ######|(01###) ######|+44 (0)20 #### ####|0044 7### ######
++49 30 ########|+49 171 #######|+49 (0)89 ######|+49 30 ##### ###|+49 ### #######|030/#######|030 ########|0171 #######|0171-#######|0176 ########|0049-30-########|0049 171 #######|089-######
++33 6 ## ## ## ##|+33 1 ## ## ## ##|+336########|+33### ######|+331########|06 ## ## ## ##|01 ## ## ## ##|06.##.##.##.##|06########|0033 6 ## ## ## ##
++34 6## ### ###|+34 91 ### ## ##|6## ### ###|6## ## ## ##|91 ### ## ##|+349########|+39 3## #######|+39 06 #### ####|3## #######|+31 6 ########|06-########|+41 79 ### ## ##|079 ### ## ##|+43 660 #######|+46 70 ### ## ##|070-### ## ##
++47 ### ## ###|+45 ## ## ## ##|+358 40 #######|+48 ### ### ###|+420 ### ### ###|+36 20 ### ####|+351 9## ### ###|+353 87 ### ####|+30 69# ### ####|+90 5## ### ## ##|+7 9## ###-##-##|8 (9##) ###-##-##
++55 11 9####-####|(11) 9####-####|+52 55 #### ####|+91 ##### #####|+91-##########|+86 1## #### ####|+81 3-####-####|+81 90 #### ####|03-####-####|+82 10-####-####|+61 4## ### ###|04## ### ###|+61 2 #### ####|+27 8# ### ####|+234 80# ### ####|+971 50 ### ####|+65 #### ####
+""".replace("\n", "|").strip("|").split("|")
+#: Identity numbers: what stands before them, and their formats.
+IDS = {
+    "SSN|social security number|my social is|social security no.|social|SSN:|ssn|soc sec": "###-##-####|### ## ####|#########|###-##-####",
+    "NI number|national insurance number|nino|NI no.|insurance number": "AA ## ## ## [ABCD]|AA######[ABCD]|AA ###### [ABCD]",
+    "passport|passport number|passport no.|passport no|Reisepass Nr.|numéro de passeport|pasaporte|pasaporte número|my passport is": "#########|A########|AA#######|AA# ### ###|C##X##X##|[CFGHJKLMNPRTVWXYZ]XXXXXXXX|[CFGHJKLMNPRTVWXYZ]#XXXX#XX#|[CFGHJK]XXXXXXX#|##AA#####|AAA######|A#######|AA ######",
+    "tax ID|tax number|Steuer-ID|Steuernummer|tax file number|tax id is|numéro fiscal|NIF|TIN|Steueridentifikationsnummer": "## ### ### ###|###########|##/###/#####|### ### ###|9##-##-####|##-#######|#############|## ## ### ### ###",
+    "id card|identity card|ID number|ID card no.|Personalausweis|Ausweisnummer|carte d'identité n°|national id|national ID number|identity number": "#########|A########|A#########|A#########|[LMNPRTVWXY]XXXXXXXX|[LMNPRTVWXYZ]##X##X##|########-[ABCDEF]|########A|A#######A|##########|############|###########|####-####-####|A##X####A|A#######",
+    "DNI|NIE|documento|DNI:": "########A|########-A|X#######A|Y-#######-A|##.###.###-A",
+    "driving licence|driver's license|driver's licence|licence number|license no.|permis de conduire|Führerschein|driving license number|DL": "A#######|A###-####-####|AAAAA######AA#AA|AAAAA#######AA#AA|AAAAA## ##### AA#AA|A############|AA######|########|B###XXXX###|########A|## #######",
+    "numéro de sécurité sociale|sécu|social insurance number|SIN|BSN|PESEL|CPF|personnummer|AHV|Aadhaar|PAN|codice fiscale|TFN|NHS number|Versicherungsnummer": "1 ## ## ## ### ### ##|2###### ### ### ##|### ### ###|#########|###########|###.###.###-##|######-####|756.####.####.##|#### #### ####|AAAAA####A|AAAAAA##A##A###A|### ### ####|## ###### A ###",
+}
+
+DAYS = "Monday Tuesday Wednesday Thursday Friday Saturday Sunday January March April July August October December".split()
+NOMEN = "Motor Drucker Kuchen Regler Bohrer Schrank Bahnhof Garten Speicher Schalter Kabel Teller Ofen Wagen Tisch Brief Rechner Hammer Faden Spiegel Deckel Kanal Vertrag Verlag Antrag Käse Boden".split()
+NOUNS = """
+battery bicycle blanket book bottle box bridge button cable cake camera candle carpet cat chair chart clock coat coffee column computer cooker cup curtain data desk diagram dog door draft drill editor engine fence file filter
+flag floor folder fork frame game garden gear glass glue guitar hammer handle heater hinge hose invoice jacket kettle key keyboard kitchen knife ladder lamp layout leaf lesson letter lock log loop magazine manual map meeting menu metal
+meter mirror model module monitor motor mouse needle network novel oven page paint paper pencil phone photo pipe plan plant plate plug pocket pump query queue radio recipe report ribbon ring roof room rope ruler sample sand saw
+schedule screen screw seat sensor server shelf shirt shoe signal sink socket soup spring stamp stone switch system table tank tape test thread tile timer token tool track train tray tree tube valve version wheel window wire wood
+""".split()
+ADJECTIVES = "new old red small heavy empty loose wet broken quick simple odd blue quiet solid cheap strange narrow soft bright common proper gentle rough steep lazy digital wooden electric final second local public early".split()
+VERBS = "fixed cleaned moved painted checked ordered replaced tested borrowed packed shipped dropped lost found opened closed printed reset updated compiled tuned welded weighed borrowed sketched sold".split()
+#: What numbers count that are nobody's, and how such numbers are grouped.
+COUNTED = "order ticket part serial invoice tracking case error block sector model build revision version lot batch reference claim item article asset port pin uid job run bug issue request receipt voucher parcel flight room row seat firmware commit drawing chip frame sensor".split()
+GROUPS = "####|#####|######|#######|########|##########|############|###-####-###|####-##-####-###|####-####|##-####|###-###|#.##.###|#.#.#|A#######|AA######|AA-####|A##-###|##/####|#### ####|####-####-####|X###X##A|########-##|##-#####-#|0x########|### ###|#####-A".split("|")
+LINKS = "the a to and is of in by with has for on as at my our was will from said if did about your and then or not but because who that when so still never always can would please what where".split()
+#: Words before or after which two capital words are a thing, a place or a firm.
+THING = "release kernel edition server chassis update branch model build series cluster prototype motherboard album chapter station bus ferry".split()
+GEO = "Ridge Canyon Valley Creek Lake Forest Falls Harbor Beach Island Mountain Bay Peak River Point Heights Springs Glacier Meadow Summit Desert Bridge".split()
+COLD = "Silent Red Blue Golden Magic Final Hidden Dark Super Good Open Hard Visual Little Big Real Deep Half White Black Free Second".split()
+FIRM = "Systems Labs Works Software Electronics Motors Foods Records University Museum Hospital Airlines Press Institute Library Bank Group".split()
+
+_FRAMES = {
+    "email": ["email {}", "drop a line to {} please", "you can get me under {}", "cc {} on it", "forward the invoice to {}", "{} is the best address for questions", "contact: {}", "Send everything to {}, thanks", "my e-mail changed, it's {} now", "bitte an {} schicken", "écris-moi à {}", "escríbeme a {}", "mailto:{}", "<{}>", "{}", "not working? ask {} instead", "register with {}", "Reply-To: {}", "reach me ({})", "{} bounced again", "mail: {}", "I use {} for work", "anyone else locked out of {}?", "From: {}"],
+    "phone": ["give me a ring on {}", "phone: {}", "{} is my mobile", "call me at {} tomorrow", "whatsapp {} works too", "tel. {}", "Tel: {}", "fax {}", "cell {}", "my number is {}", "dial {} and wait", "reach the office under {} before noon", "text {} when you arrive", "ruf mich an: {}", "appelle-moi au {}", "llámame al {}", "the desk answers on {} or by post", "{}", "({})", "new number {}, delete the other one", "Handy {}", "mobile {}, evenings only", "ring me {} after lunch", "on call this week: {}", "number: {}", "our number: {}", "the number here is {}", "just ring {} and ask", "or text {}", "try {} instead", "phone me, {}", "hotline: {} (free)", "if it rains call {}.", "leave a message on {}"],
+    "id_number": ["{}", "my {} just in case", "they need the {} again", "put {} on the form", "here is the {}", "I typed {} and it was rejected", "{} expires in june", "use {} for the booking", "is {} still valid?", "customs asked for {}", "renew {} please", "{} was on the photo, please delete it", "Meine {}", "voici mon {}", "mi {}", "for the contract: {}", "wrote down {} by mistake", "{} and nothing else"],
+    "address": ["we live at {}", "ship to {}", "send it to {} please", "the shop moved to {}", "come round to {} on friday", "I grew up at {}", "deliver to: {}", "{}", "my address is {}", "address: {}", "meet me in front of {}", "the party is at {}, bring a chair", "invoice goes to {}", "j'habite {}", "ich wohne in der {}", "vivo en {}", "old place was {}, dont use it", "return address {}", "pick it up from {} before six", "the package is still at {}.", "billing: {}", "next to {}"],
+    "name": ["talk to {} about it", "{} told me so", "I met {} yesterday", "{} and I went home", "regards, {}", "signed {}", "Contact person: {}", "speak with {} first", "my landlord {} complained", "did {} reply yet?", "according to {} it works", "{} wrote the manual", "thank you {}", "a gift from {}", "the talk by {} was great", "{} is on holiday", "we hired {} last month", "call for {}", "name: {}", "my sister {} sings", "I am {}", "hi, I'm {} from support", "{} (accounting) will pay", "lent it to {} in may", "{}'s car is parked outside", "yours, {}", "frag mal {}", "demande à {}", "pregunta a {}", "from {} with love", "patient {} arrived", "{}, please come to the desk", "was it {} who left?", "{}", "{} - done", "next speaker: {}", "{} owes me one", "bought from {} for ten", "says {}", "written by {} in spring", "{} is right"],
+    "author": ["@{} look at this", "hey {}, still there?", "{}: yes", "+1 to {}", "{} said it first", "as {} wrote above", "thanks {}", "(cc {})", "ping {}", "quoting {} here", "what {} means is simple", "{} lol", "hello {}!", "ty {}", "{} posted it", "reported by {}"],
+}
 
 
 class Maker:
     def __init__(self, seed: int):
         self.r = random.Random(seed)
 
-    def word(self, lo: int = 1, hi: int = 3) -> str:
-        return "".join(self.r.choice(SYLLABLES) for _ in range(self.r.randint(lo, hi)))
+    def fill(self, pattern: str) -> str:
+        r = self.r
+        out = re.sub(r"\[(\w+)\]", lambda m: r.choice(m[1]), pattern)
+        some = {"#": "0123456789", "A": "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "X": "0123456789CFGHJKLMNPRTVWXYZ"}
+        return "".join(r.choice(some[c]) if c in some else c for c in out)
 
-    def digits(self, n: int) -> str:
-        return "".join(self.r.choice("0123456789") for _ in range(n))
+    def invented(self, ends: list[str], lo: int = 1, hi: int = 2) -> str:
+        r = self.r
+        body = "".join(r.choice(ONSET) + r.choice(NUCLEUS[: r.choice([5, 5, 5, 14])]) + (r.choice(CODA) if r.random() < 0.4 else "") for _ in range(r.randint(lo, hi)))
+        return (body + (r.choice(ends) if ends else "")).capitalize()
 
     def family(self) -> str:
-        return (self.word(1, 2) + self.r.choice(ENDS)).capitalize()
+        r = self.r
+        x = r.choice(FAMILY) if r.random() < 0.35 else self.invented(r.choice([SURNAME_END, SURNAME_END, []]))
+        k = r.random()
+        return f"{x}-{r.choice(FAMILY)}" if k < 0.04 else f"{r.choice(['von', 'van', 'de', 'del', 'de la', 'van der', 'bin', 'al', 'da'])} {x}" if k < 0.08 else f"{r.choice(['O’', 'Mc', chr(79) + chr(39)])}{x}" if k < 0.12 else x
 
     def given(self) -> str:
-        return self.r.choice(GIVEN)
+        return self.r.choice(GIVEN) if self.r.random() < 0.75 else self.invented(["", "a", "o", "e", "us", "ine", "y"], 1, 2)
 
     def place(self) -> str:
-        return (self.word(1, 2) + self.r.choice(PLACES)).capitalize()
-
-    def machine(self) -> str:
-        return f"{self.word(2, 3).capitalize()} {self.r.randint(1, 99) * 10}"
+        r = self.r
+        return r.choice(CITIES) if r.random() < 0.3 else self.invented(PLACE_END)
 
     def handle(self) -> str:
-        a = self.word(1, 3)
-        return self.r.choice([a, a.capitalize(), f"{a}_{self.word(1, 1)}", f"{a.capitalize()}-{self.word(1, 1)}"]) + self.digits(self.r.choice([2, 3, 4, 4]))
+        a, b = self.invented([], 1, 2), self.invented([], 1, 1)
+        n = "".join(self.r.choice("0123456789") for _ in range(self.r.choice([0, 1, 2, 3, 4])))
+        return self.r.choice([a + n, a.lower() + n, f"{a.lower()}_{b.lower()}{n}", f"{a}-{b.lower()}{n}", f"x{a.lower()}x", f"{a.lower()}.{b.lower()}", f"{a}{b}{n}", f"the_{a.lower()}"])
 
     def name(self) -> str:
-        g, f = self.given(), self.family()
-        i = self.r.choice("ABCDEHIKLMNOPRSTY")
-        x = self.r.choice([f"{g} {f}"] * 4 + [f"{f}, {g}"] * 2 + [f"{g} {i}. {f}", f"{i}. {f}", f"Mr {f}", f"Dr {f}", f"Ms. {g} {f}", f"Mrs {f}", f"Mme {f}", f"Herr {f}", f"Frau {g} {f}", f"Prof. {f}", f"{i} {f}"])
-        return self.r.choice([x, x, x, x.upper(), x.lower()])
+        r, g, f = self.r, self.given(), self.family()
+        i, j = r.choice("ABCDEFGHIJKLMNOPRSTUVWY"), r.choice("ABCDEFGHIJKLMNOPRSTUVWY")
+        t = r.choice(TITLES).capitalize() + r.choice(["", "", "."])
+        x = r.choice([f"{g} {f}"] * 9 + [f"{f}, {g}"] * 3 + [f"{t} {f}"] * 4 + [f"{g} {i}. {f}", f"{g} {i} {f}", f"{i}. {f}", f"{i}. {f}", f"{i} {f}", f"{i}. {j}. {f}", f"{i}.{j}. {f}", f"{t} {f}", f"{t} {f}", f"{t} {f}", f"{t} {g} {f}", f"{t} {i}. {f}", f"{f}, {i}.", f"{g} {self.given()} {f}", f"{g} {f} Jr.", f"{g} {f} {r.choice(FAMILY)}", f"Dr. {r.choice(['med.', 'h.c.', 'Dr.'])} {g} {f}"])
+        return r.choice([x] * 6 + [x.upper(), x.lower(), x.lower()])
 
     def email(self) -> str:
-        r, tld = self.r, self.r.choice(["example", "test", "invalid", "org", "net", "com"])
-        host = self.word(1, 2) + r.choice(["mail", "works", "net", "lab", "-co", "hollab"])
-        g, f = self.given().lower(), self.family().lower().replace("ö", "o")
-        local = r.choice([f"{g}.{f}", f"{g}-{f}", f"{f}_{g}+lists", f"{g[0]}{f}{self.digits(2)}", f"{f}{self.digits(2)}", g, f, f"{g.capitalize()}.{f.capitalize()}"])
-        form = r.randrange(9)
-        if form == 0:
-            return f"{local} @ {host}.{tld}"
-        if form == 1:
-            return f"{local} [at] {host}.{tld}"
-        if form == 2:
-            return f"{local.replace('.', '(dot)')}(at){host}(dot){tld}"
-        if form == 3:
-            return f"{g} at {host} dot {tld}"
-        x = f"{local}@{r.choice(['', '', 'mail.'])}{host}.{tld}"
-        return x.upper() if form == 4 else x
+        r = self.r
+        g, f = self.given().lower(), self.family().lower().replace(" ", "").replace("’", "").replace("'", "")
+        n = str(r.randrange(1, 2000))
+        local = r.choice([f"{g}.{f}", f"{g}_{f}", f"{g}-{f}", f"{g}{f}", f"{g[0]}.{f}", f"{g[0]}{f}", f"{g}{n}", f"{f}{n}", g, f, f"{f}.{g}", f"{f}_{g}", f"{g}.{f}+{r.choice(NOUNS)}", f"{f}+{r.choice(['news', 'lists', 'spam'])}", r.choice(["info", "sales", "support", "no-reply", "kontakt"]), f"{g}.{f}{n}", f"{g[0]}{f}{n}"])
+        host = r.choice([self.invented([]).lower(), f"{r.choice(NOUNS)}{r.choice(['', 's', '-online', 'mail', 'works', 'lab', 'net'])}", f"uni-{self.place().lower()}", f"mail.{self.invented([]).lower()}", f"{self.invented([]).lower()}-{r.choice(['co', 'it', 'web'])}", r.choice(["gmail", "outlook", "web", "gmx", "yahoo", "proton"])])
+        tld = r.choice("com com com org net edu de fr es it nl eu io dev info me ch at pl se co.uk ac.uk com.au gov example test invalid co example.org".split())
+        k = r.randrange(12)
+        if k == 0:
+            return f"{local}{" @ "}{host}.{tld}"
+        if k in (1, 2, 3):
+            at = r.choice([" at ", " AT ", "(at)", " (at) ", "[at]", " [at] ", "{at}", " {at} "])
+            dot = r.choice([".", " dot ", "(dot)", "[dot]", " [dot] ", " DOT "]) if at.strip().lower() != "at" else r.choice([" dot ", " DOT "])
+            return (local.replace(".", dot) if r.random() < 0.5 else local) + at + host.replace(".", dot) + dot + tld.replace(".", dot)
+        x = f"{local}@{host}.{tld}"
+        return x.upper() if k == 4 else f"{local.title()}@{host}.{tld}" if k == 5 else x
 
     def phone(self) -> str:
-        r, d = self.r, self.digits
-        a, n = f"{r.randint(2, 9)}{d(2)}", f"555{{}}01{d(2)}"
-        say = lambda k: " ".join(r.choice(WORD) for _ in range(k))
-        return r.choice([
-            f"{a}-{n.format('-')}", f"({a}){n.format(' ')}", f"{a}.{n.format('.')}", f"{a}.{n.format('.')}", f"1{a}{n.format('')}", f"0049-30-23125{d(3)}", f"+1 ({a}) {n.format('-')}", f"1{a}{n.format('')}", f"+1{a}{n.format('')}", f"07700 900{d(3)}", f"07700900{d(3)}", f"+44 20 7946 0{d(3)}", f"020 7946 0{d(3)}", f"+49 30 23125 {d(3)}", f"0049-30-23125{d(3)}",
-            f"+33199 00{d(4)}", f"01 99 00 {d(2)} {d(2)}", f"+34 {d(3)} {d(3)} {d(3)}", f"five five five, oh one {say(2)}", f"{say(3)}, {say(4)}", f"five five five oh one {say(2)}",
-        ])
+        r = self.r
+        if r.random() < 0.1:
+            say = lambda k: " ".join(r.choice(WORD) for _ in range(k))
+            return r.choice([f"{say(3)} {say(4)}", f"{say(3)}, {say(4)}", f"{say(3)}, {say(3)}, {say(4)}", say(7), say(10), f"{say(3)}, {say(2)} {say(2)}", f"{say(3)} - {say(4)}"])
+        x = self.fill(r.choice(PHONES))
+        return x + r.choice([" ext. ", " x", " ext "]) + str(r.randrange(10, 999)) if r.random() < 0.03 else x
 
     def id_number(self) -> tuple[str, str]:
-        """The words before the number, and the number."""
-        r, d = self.r, self.digits
-        up = lambda k: "".join(r.choice("ABCDEFGHKLMNOPRSTUVZ") for _ in range(k))
-        s = f"666{d(2)}{d(4)}"
-        two = f"QQ{r.choice(['', ' '])}"
-        return r.choice([
-            ("my social is ", f"{s[:3]}-{s[3:5]}-{s[5:]}"), ("SSN ", f"{s[:3]} {s[3:5]} {s[5:]}"), ("ssn:", s), ("social security number ", f"{s[:3]}-{s[3:5]}-{s[5:]}"), ("NI number ", f"{two}{d(2)} {d(2)} {d(2)} {r.choice('ABCD')}"), ("nino ", f"QQ{d(6)}{r.choice('ABCD')}"),
-            ("passport no. ", f"ZZ0{d(6)}"), ("passport ", f"ZZ0 {d(3)} {d(3)}"), ("tax ID ", f"00 000 {d(3)} {d(3)}"), ("id card ", f"00{d(6)}-{r.choice('ABCD')}"), ("driving licence ", f"{self.family()[:5].upper()}9{d(6)}{r.choice(['AA', 'BB', 'CC', 'DD'])}9ZZ"),
-            ("national id ", f"{d(8)}{up(1)}"), ("Personalausweis ", f"{up(1)}{d(8)}"), ("DNI ", f"{d(8)}-{up(1)}"),
-        ])
+        """What stands before the number, and the number."""
+        r = self.r
+        cues, formats = r.choice(list(IDS.items()))
+        cue, number = r.choice(cues.split("|")), self.fill(r.choice(formats.split("|")))
+        cue = r.choice([cue, cue, cue, cue.lower(), cue.upper()])
+        sep = r.choice([" ", " ", " ", ": ", ":", " is ", " # ", " = "])
+        if r.random() < 0.08:
+            number = number.lower()
+        return cue + sep, number
 
     def address(self) -> str:
-        r, d = self.r, self.digits
-        n, p = str(r.randint(1, 240)), self.place()
-        st = (self.word(1, 2) + r.choice(["marsh", "low", "vale", "bank", "hope", "gate", "field", "wood"])).capitalize()
-        return r.choice([
-            f"{n} {st} {r.choice(STREETS)}, {p}", f"Flat {r.randint(1, 40)}, {n} {st} {r.choice(STREETS)}, {p}", f"{st} Close {n}, {p} QQ{d(1)} 0ZZ", f"{st}straße {n}, 00{d(3)} {p}", f"{st}weg {n}b in {p}", f"{n} bis, rue de {st}, {p}", f"Calle {st} {n}, 3º B, {p}", f"PO Box {d(r.choice([2, 3, 4]))}, {p}",
-            f"{n} {st.lower()} avenue in {p}", f"{n}{r.choice('abc')} {st} St., {p}", f"Apt {r.randint(1, 20)}{r.choice('ABC')}, {n} W {st} Blvd, {p}", f"{n} {st} {r.choice(STREETS).lower()} in {p}",
-        ])
+        r, d = self.r, self.fill
+        n, p = str(r.randint(1, 299)) + r.choice(["", "", "", "", "a", "b", "c", "-3"]), self.place()
+        s = r.choice(STREET) if r.random() < 0.5 else self.invented(r.choice([[], ["wood", "field", "well", "dale"]]))
+        x = s.lower()
+        g = r.choice(["straße", "str.", "strasse", "weg", "gasse", "platz", "allee", "ring", "damm", "ufer"])
+        v = r.choice(["rue", "avenue", "boulevard", "place", "allée", "chemin", "impasse", "quai", "cours"])
+        c = r.choice(["Calle", "Avenida", "Plaza", "Paseo", "C/", "Avda.", "Carrer", "Via", "Corso", "Rua"])
+        end = r.choice(["", "", f", {p}", f", {p}", f" in {p}", f", {p} {d('#####')}", f", {p}, {d('AA')} {d('#####')}", f", {p} {d('AA# #AA')}", f", {p}, {d('A# #AA')}"])
+        de, fr = r.choice(["", f", {d('#####')} {p}", f", {d('#####')} {p}", f" in {p}"]), r.choice(["", f", {d('#####')} {p}", f", {p}", f" à {p}"])
+        unit = r.choice([f"Flat {r.randint(1, 60)}", f"Apt {r.randint(1, 40)}{r.choice('ABC')}", f"Apt. {r.randint(1, 40)}", f"Unit {r.randint(1, 99)}", f"Suite {r.randint(100, 900)}", f"Room {r.randint(1, 99)}"])
+        box = r.choice(["PO Box", "P.O. Box", "P.O.Box", "Post Office Box", "Postfach", "BP", "Apartado", "Apdo.", "Box", "po box"])
+        near = r.choice(["", "", "", "N ", "W ", "East ", "S. "])
+        return r.choice(
+            [f"{n} {near}{s} {r.choice(SUFFIX)}{end}"] * 5
+            + [f"{unit}, {n} {near}{s} {r.choice(SUFFIX)}{end}", f"{n} {near}{s} {r.choice(SUFFIX)}, {unit}{end}", f"{n} {near}{s} {r.choice(SUFFIX)} {unit}{end}", *([f"{n} {x} {r.choice(SUFFIX).lower()}{end}"] * 4), f"{s} {r.choice(SUFFIX)} {n}{end}", f"{s} {r.choice(SUFFIX)} {n}{end}"]
+            + [f"{s}{g} {n}{de}"] * 2 + [f"{r.choice(['Am', 'Im', 'An der', 'Auf dem', 'Zum'])} {s} {n}{de}", f"{s.lower()}{g} {n}{de}"]
+            + [f"{n}{r.choice([',', '', ' bis,', ' ter,'])} {v} {r.choice(['', 'de ', 'du ', 'de la ', 'des '])}{s}{fr}"] * 2
+            + [f"{c} {s} {n}{r.choice(['', f', {r.randint(1, 9)}º {r.choice(chr(65) + chr(66) + chr(67))}', f', piso {r.randint(1, 9)}', f', {r.randint(1, 9)}º'])}{fr}"] * 2
+            + [f"{box} {r.randint(10, 9999)}{end}"] * 2
+        )
+
+    def thing(self) -> str:
+        r = self.r
+        return f"{r.choice(NOUNS)} {r.choice(NOUNS)}" if r.random() < 0.35 else r.choice(NOUNS)
 
     def plain(self) -> str:
-        r, n = self.r, self.r.randint(2, 60)
-        a, t, u, p, m, v = r.choice(ADJ), r.choice(THINGS), r.choice(THINGS), self.place(), self.machine(), r.choice(VERB)
+        """A sentence without personal data, often with numbers, places, machines or dates in it."""
+        r, n = self.r, self.r.randint(2, 90)
+        a, b, t, u, v, p = r.choice(ADJECTIVES), r.choice(ADJECTIVES), self.thing(), self.thing(), r.choice(VERBS), self.place()
+        m, q = f"{self.invented([], 1, 3)} {r.choice([n * 10, n, f'{n}x', 'II', 'Pro'])}", self.place()
         x = r.choice([
-            f"Does {t} count as {u} if it was {v}?", f"What {p} calls {t} is only {a} {u} elsewhere.", f"As {t} goes, {u} is {a}.", f"Most {t} questions here are really about {u}.",
-            f"The {t} from {p} works better once the {u} is {v}.", f"According to {m} owners, {t} should stay {a} near any {u}.", f"Keep {n} {a} {t} parts, because {u} gets {a}.", f"My {m} notes say {n} hours before the {t} turns {a}.", "Good morning everyone.", "Lol same here", f"Happy to see {n} new faces today!", f"Why is a {a} {t} cheaper than one {v} {u}?",
-            f"Nobody at {p} expected the {t} to outlast its {u}.", f"Both {t} and {u} were {v} near {p}, around {n} times.", f"Back in {n} minutes.", f"Can anybody near {p} lend me {t} for a {m}, because mine is {v}, {a}, and {n} days overdue?", f"{t.capitalize()}: {a}. {u}: {v}, and {n} weeks late.", f"Wer hat {t} in {p} {a}?", f"Seit {n} Jahren gilt {t} dort als {a}.",
-            f"Half of every {t} lost in {p} was {a}, not {r.choice(ADJ)}.", f"First rule here: {v} {t} goes on the left, {a} stuff to {p}.", f"In {p} wurde {t} mit {u} verglichen, {n} Mal.", f"On a comparé {t} avec {u}, environ {n} fois.", f"Alguien de {p} dejó {t} junto a {u}.", f"If the {t} looks {a}, check its {u} before {n} weeks.", f"See you all in {p}, maybe.", f"A {a} {t} beats a {v} {u} nearly every time.",
+            f"The {a} {t} was {v} before lunch.", f"I {v} the {t} and now the {u} is {a}.", f"why does my {t} need a {a} {u}?", f"anyone selling a {a} {t}?", f"We took the bus from {p} to {q} with {n} people.", f"{p} is lovely in winter.", f"Greetings from {p}!", f"in {p} they {v} every {t}", f"a {m} runs hot with the {a} {t}", f"The {m} has {n} {t}s and a {b} {u}.", f"{m} or an {a} {t}, what would you take?",
+            f"Nothing beats a {a} {t}.", f"good night all", f"Morning everyone, coffee is ready", f"haha no way", f"brb in {n} min", f"Nice one, thanks!", f"It cost {n} euros in {p}, half of that in {q}.", f"After {n} days the {t} finally {v} itself.", f"{t.capitalize()} first, {u} later.", f"Read the {t} chapter, it explains {u} well.", f"Has the {t} been {v}? The {u} looks {a}.", f"No {t}, no {u}. Simple.",
+            f"Der {r.choice(['Motor', 'Drucker', 'Kuchen', 'Film', 'Regler'])} aus {p} ist {r.choice(['laut', 'neu', 'kaputt', 'fertig'])}.", f"Ich habe {n} {r.choice(['Schrauben', 'Bilder', 'Karten', 'Kabel'])} in {p} gekauft.", f"Ohne {r.choice(['Werkzeug', 'Strom', 'Netz'])} geht {r.choice(['Bohrer', 'Lampe', 'Rechner'])} nicht.", f"Nach {n} Wochen war der {r.choice(['Schrank', 'Zug', 'Text'])} aus {p} da.", f"Le {r.choice(['moteur', 'jardin', 'livre', 'train'])} de {p} est {r.choice(['petit', 'vieux', 'lent'])}.", f"On a vu {n} {r.choice(['bateaux', 'films', 'lettres'])} à {p}, c'était bien.", f"Sans {r.choice(['sel', 'lumière', 'clé'])} pas de {r.choice(['pain', 'photo', 'porte'])}.", f"El {r.choice(['motor', 'libro', 'tren', 'vino'])} de {p} es {r.choice(['viejo', 'bueno', 'lento'])}.", f"Compramos {n} {r.choice(['sillas', 'cables', 'fotos'])} en {p} y nada más.", f"Alguien trajo {r.choice(['pan', 'cinta', 'agua'])} desde {p}.", f"Bonjour à tous", f"Guten Morgen zusammen", f"Buenos días a todos",
+            f"The {p} {t} club {v} its {u} again.", f"people from {p} say the {t} is {a}", f"Every {t} in {p} has {n} {u}s.", f"Our {m} {t} came back from {p} {v} and {a}.", f"{p} won {n % 7}:{n % 5} against {q}.", f"Between {p} and {q} the road is {a}.", f"Is the {m} manual online?", f"On {r.choice(DAYS)} {p} opened its {t}.", f"Since {r.choice(DAYS)} {p} is {a}.", f"{r.choice(['Maybe', 'Honestly', 'Actually', 'Sometimes', 'Once', 'Surely', 'Perhaps', 'Still', 'Yes', 'No'])} {p} has a {t}.", f"{r.choice(['Honestly', 'Actually', 'Recently', 'A', 'The', 'Any', 'Most', 'Some', 'My', 'Your', 'This'])} {t} was {v}.",
+            f"Warum ist {r.choice(NOMEN)} so {r.choice(['teuer', 'alt', 'laut'])}?", f"Der {r.choice(NOMEN)} und der {r.choice(NOMEN)} aus {p} sind weg.", f"Jeder {r.choice(NOMEN)} braucht {r.choice(NOMEN)}.", f"Erst {r.choice(NOMEN)}, dann {r.choice(NOMEN)} und {r.choice(NOMEN)}.", f"{r.choice(NOMEN)} in {p}, {n} Euro.", f"Je pars dans {n} jours.", f"Vuelvo en {n} horas.", f"Bin in {n} Minuten da.", f"Take {n} {a} {t}s along.", f"Keep calm and drink {t}.", f"Il reste {n} places à {p}.", f"update: {t} {v}, {u} still {a}", f"half the {t}s I {v} in {p} were {a}", f"{r.choice(['Monday', 'Tuesday', 'Friday', 'Sunday'])} is {t} day in {p}.", f"[edited] {t} {v}", f"They {v} {n} {a} {t}s, then {b} ones.", f"One {r.choice(['summer', 'winter', 'week', 'year'])} in {p} was enough for a {a} {t}.", f"In {p} the {t} is {a}, says everyone.", f"It was {v}.", f"{t}, {u}, {r.choice(NOUNS)}: all {a}",
         ])
-        return x
+        return r.choice([x] * 5 + [x.lower()])
 
     def decoy(self) -> str:
-        r, d = self.r, self.digits
-        return r.choice([
-            f"ticket {d(4)}-{d(2)}-{d(4)}-{d(3)}", f"order {d(12)} shipped", f"error 0x{d(8)}", f"firmware {d(1)}.{d(2)}.{d(3)}", f"part 013-{d(4)}-00{d(1)} rev {r.choice('ABC')}", f"dated 20{d(2)}-0{d(1)}-{d(2)} {d(2)}:{d(2)}", f"address 10.{d(2)}.0.{d(2)} answers", f"block {d(6)} of {d(7)}", f"serial no. K{d(7)}", f"drive {d(1)} in bay {d(1)}",
-            f"mac 08:00:69:{d(2)}:{d(2)}:{d(2)}", f"jumper row {d(2)}, close to the edge", f"lane {d(1)} of {d(1)} is dead", f"price dropped from {d(4)} to {d(3)}.{d(2)}", f"{d(2)} 555 timer chips for {d(1)}.{d(2)}", f"the {self.word(2, 2).capitalize()} {r.choice(['Ridge', 'Canyon', 'Summit', 'Meadow', 'Harbor'])} board", f"root@{self.word(2, 2)}:~# reboot", f"{self.word(2, 2)}@localhost in the log",
-            f"cc -O2 @{self.word(2, 2)}.rsp", "```make all```", f"https://wiki.{self.word(1, 2)}works.example/{self.word(2, 3)}", f"meet at {self.place()} at {d(1)} after six", f"build {d(4)}.{d(1)} of {self.machine()}",
+        """Numbers and names that are nobody's."""
+        r, d = self.r, self.fill
+        w, p = self.invented([], 1, 2), self.place()
+        x = r.choice([
+            *(f"{r.choice([c, c, c.capitalize()])} {r.choice(['', '', 'no. ', 'number ', '# ', 'id ', 'nr '])}{self.fill(r.choice(GROUPS))} {r.choice(['', '', 'is done', 'came back', 'failed', 'arrived', 'please', 'again'])}".strip() for c in [r.choice(COUNTED), r.choice(COUNTED), r.choice(COUNTED), r.choice(COUNTED)] * 5),
+            *(f"{a} {r.choice([r.choice(SUFFIX).lower(), r.choice(NOUNS)])} {b}" for a, b in [("a", f"near {p}"), (str(r.randint(2, 90)), f"of {r.randint(2, 9)}"), ("the", f"{r.randint(1, 9)} of {r.randint(1, 9)}"), ("every", f"has {r.randint(2, 90)} {r.choice(NOUNS)}s"), (f"{w} {r.randint(1, 99)}0 and the {r.choice(NOUNS)}", f"by {p}"), (f"{r.choice(NOUNS)}", f"{r.randint(1, 20)}"), (f"{r.randint(2, 90)} {r.choice([*NOUNS, *ADJECTIVES])}", f"{r.choice(NOUNS)}s"), ("one", f"less than {r.randint(2, 30)} {r.choice(ADJECTIVES)} ones")] * 2),
+            d("order ############ left the depot"), d("ticket #### is closed"), d("invoice no. ########"), d("tracking [12]Z###A##########"), d("tracking number ####-####-####"), d("error 0x########"), d("error code ######"), d("v#.##.###"), d("firmware #.##.### is out"), d("part no. ###-####-###"), d("serial A#######"), d("serial no. AA######"), d("serial number ########## on the back"), d("SKU A##-####"), d("model AA-####X"), d("isbn 978-#-###-#####-#"),
+            f"on 20{d('##')}-{d('[01]#')}-{d('[012]#')} at {d('##:##')}", d("[12]#.[01]#.20## ##:##"), d("log ####-##-## ##:##:##"), d("ip ###.##.#.##"), d("ping 10.#.##.###"), d("the host 192.168.#.## is down"), d("mac ##:##:0A:##:##:##"), d("sector ########"), d("uid #########"), d("commit ########a"), d("GPS ##.#####, -##.#####"), d("price went from #### to ###.##"), d("total ##,###.## eur"), d("##### views, ### likes"), d("population #,###,###"), d("res. ####x####"), d("#### rpm at ## volts"), d("## of ### done"), d("pin ## to ground"), d("pages ###-###"), d("score ##-##"),
+            d("rack ##, second shelf"), d("reference ##-####-####-##"), d("request ####/##/###"), d("crate ## by the north wall"), d("room ### has no window"), d("row ##, seat #"), d("road works on the A##"), d("platform ## today"), d("gate A## is open"), d("court # is wet"), d("box ## of ##"), d("place ## of ###"), d("address 0x####"), d("## way valve"), d("## north, ## west"),
+            f"the {w} {r.choice(GEO)} {r.choice(THING)}", f"our {w} {r.choice(GEO)} {r.choice(THING)} crashed", f"{w} {r.choice(GEO)} is a nice {r.choice(THING)}", f"the {r.choice(STREET)} {r.choice(GEO)} {r.choice(THING)}", f"hiking at {w} {r.choice(GEO)}", f"{w} {r.choice(FIRM)} raised prices", f"works at {w} {r.choice(FIRM)}", f"the {w} {r.choice(FIRM)} logo", f"{p} {r.choice(FIRM)} opens late", f"{p} {r.choice(['Station', 'Airport', 'United', 'City'])}", f"{r.choice(['New', 'Los', 'San', 'Santa', 'Saint', 'El', 'La', 'Las', 'North', 'South', 'East', 'West', 'Great', 'Old', 'Upper'])} {p} is far", f"I like {r.choice(['New', 'San', 'South', 'Le', 'North'])} {w}", f"{w} {r.choice(GEO)}, {r.choice(['anyone?', 'wow', 'nice'])}", f"{r.choice(COLD)} {r.choice(NOUNS).capitalize()} is on tv", f"{r.choice(COLD)} {r.choice(GEO)} level three", f"the {r.choice(COLD)} {r.choice(NOUNS).capitalize()} {r.choice(THING)}", f"{r.choice(NOUNS).capitalize()} {r.choice(NOUNS).capitalize()} {d('#')}", d("git show ") + "".join(r.choice("0123456789abcdef") for _ in range(40)), d("serial number A########AA"), d("checksum ") + "".join(r.choice("0123456789abcdef") for _ in range(16)), f"room {d('##')} please", f"Mount {w}", f"Lake {w}", f"Port {w}", f"the {w} {r.choice(THING)}", f"{w} {r.choice(THING)} {d('##')}", f"Happy New Year {p}!", f"{r.choice(['Red', 'Blue', 'Golden', 'Silent', 'Magic'])} {r.choice(['Dragon', 'Garden', 'Mountain', 'Engine', 'Tiger'])} is a good game",
+            f"root@{w.lower()}:~# ls", f"{r.choice(['root', 'admin', 'pi', w.lower()])}@{w.lower()}:~$ make", f"ssh {w.lower()}@localhost", f"{w.lower()}@{w.lower()} died", f"scp a b@{w.lower()}:/tmp", f"@{r.choice(NOUNS)}.txt", f"https://{w.lower()}.{r.choice(['com', 'example', 'org'])}/{r.choice(NOUNS)}/{d('###')}", f"http://www.{w.lower()}.de/?id={d('########')}", f"/usr/lib/{w.lower()}/{r.choice(NOUNS)}.so", f"C:\\{w}\\{r.choice(NOUNS)}.ini", f"```{r.choice(NOUNS)} --{r.choice(NOUNS)}```", f"`{w.lower()}_{r.choice(NOUNS)}()`", f"#include <{r.choice(NOUNS)}.h>", f"meet at {p} at {d('#')} dot sharp", f"look at the {r.choice(NOUNS)} dot on the {r.choice(NOUNS)}", f"build {d('####')} of {w} {d('##0')}", f"{w} {d('###')} vs {w} {d('##0')}", f"channel #{r.choice(NOUNS)}-{r.choice(NOUNS)}", "one two three testing", f"{r.choice(WORD[2:])} or {r.choice(WORD[2:])} of them", f"passport photos cost {d('##')}", f"my passport expired in {d('20##')}", f"tax went up {d('##')} percent", f"the phone has {d('###')} GB", f"call of duty {d('#')}", "call me maybe", f"email is down since {d('##:##')}",
         ])
+        return r.choice([x] * 6 + [x.lower()])
 
     def find(self) -> tuple[list[tuple[str, str | None]], bool]:
         """A sentence in parts (text, kind or None); whether its name is a known author."""
         r = self.r
-        k = r.randrange(6)
-        if k == 0:
-            e = self.email()
-            e = r.choice([[(e, "email")]] * 3 + [[("<", None), (e, "email"), (">", None)], [("mailto:", None), (e, "email")]])
-            a, b = r.choice([("write to ", ""), ("contact ", " about it"), ("try ", ", or wait"), ("send the scans: ", ""), ("", " reaches me"), ("my mail is ", "")])
-            return [(a, None), *e, (b, None)], False
-        if k == 1:
-            a, b = r.choice([("call ", " after six"), ("ring ", ""), ("tel ", " (evenings)"), ("text me, ", ""), ("my number: ", ""), ("phone ", ", thanks")])
-            return [(a, None), (self.phone(), "phone"), (b, None)], False
-        if k == 2:
-            w, n = self.id_number()
-            a, b = r.choice([("use ", " on the label"), ("the form wants ", ""), ("they asked, so ", ""), ("", " for customs")])
-            return [(a + w, None), (n, "id_number"), (b, None)], False
-        if k == 3:
-            a, b = r.choice([("I live at ", ""), ("pickup at ", ""), ("old shop, ", ""), ("parcel went to ", " again"), ("ship it to ", "")])
-            return [(a, None), (self.address(), "address"), (b, None)], False
-        if k == 4:
-            a, b = r.choice([("ask ", " first"), ("thanks to ", ""), ("as ", " said"), ("this belonged to ", ""), ("", " sold me one"), ("", " knows"), ("met ", " there")])
-            return [(a, None), (self.name(), "name"), (b, None)], False
-        a, b = r.choice([("@", " any news?"), ("thx ", "!"), ("paging ", ""), ("(via ", ")"), ("", ": seen it?"), ("", " knows")])
-        x = r.choice([self.handle(), self.handle(), f"{self.given()} {self.family()}"])
-        return [(a, None), (r.choice([x, x, x.upper(), x.lower()]), "name"), (b, None)], True
+        kind = r.choice([*KINDS, "phone", "phone", "id_number", "name", "name", "name", "author"])
+        # Frames of words that nothing is known of: a find anywhere inside another sentence.
+        words = self.plain().split(" ")
+        at = r.randrange(len(words) + 1)
+        inside = " ".join([*words[:at], "{}", *words[at:]])
+        loose = " ".join(r.choice([*NOUNS, *ADJECTIVES, *VERBS, *LINKS]) for _ in range(r.randint(0, 4)))
+        frame = r.choice([*_FRAMES[kind]] * 2 + [inside] * (2 * len(_FRAMES[kind])) + [f"{loose} {{}} {r.choice(LINKS)} {r.choice(NOUNS)}".strip()] * len(_FRAMES[kind]))
+        if r.random() < 0.2:
+            frame = frame.lower() if r.random() < 0.5 else frame[:1].upper() + frame[1:]
+        a, b = frame.split("{}", 1)
+        b = b.replace("{}", "it")
+        if kind == "id_number":
+            cue, number = self.id_number()
+            return [(a + cue, None), (number, kind), (b, None)], False
+        if kind == "author":
+            x = self.handle() if r.random() < 0.8 else f"{self.given()} {self.family()}"
+            return [(a, None), (r.choice([x, x, x.upper(), x.lower()]), "name"), (b, None)], True
+        return [(a, None), (getattr(self, kind)(), kind), (b, None)], False
 
     def row(self) -> tuple[str, list[tuple[int, int, str]], list[tuple[int, int]]]:
         """A text, its spans (from, to, kind), and the spans that are names of known authors."""
         r = self.r
         parts: list[tuple[list[tuple[str, str | None]], bool]] = []
-        for _ in range(r.choice([1, 1, 1, 2])):
-            parts.append(self.find() if r.random() < 0.75 else ([(self.decoy(), None)], False))
-        parts.insert(r.randrange(len(parts) + 1), ([(self.plain(), None)], False))
+        for _ in range(r.choice([1, 1, 1, 2, 3])):
+            parts.append(self.find() if r.random() < 0.72 else ([(self.decoy(), None)], False))
+        for _ in range(r.choice([0, 1, 1, 2])):
+            parts.insert(r.randrange(len(parts) + 1), ([(self.plain(), None)], False))
         text, spans, known = "", [], []
         for i, (seq, author) in enumerate(parts):
             if i:
-                text += r.choice([" ", " ", ". ", "\n> ", " - "])
+                text += r.choice([" ", " ", ". ", ", ", "\n", "\n> ", " - ", "; ", " / "])
             for s, kind in seq:
                 if kind:
                     spans.append((len(text), len(text) + len(s), kind))
-                    if author or kind == "name" and r.random() < 0.3:
+                    if author or kind == "name" and r.random() < 0.15:
                         known.append((len(text), len(text) + len(s)))
                 text += s
         return text, spans, known
 
 
-def labelled_rows(n: int = 1800, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]], list[tuple[int, int]]]]:
+def labelled_rows(n: int = 12000, seed: int = 11) -> list[tuple[str, list[tuple[int, int, str]], list[tuple[int, int]]]]:
     m = Maker(seed)
     return [m.row() for _ in range(n)]
