@@ -2,6 +2,7 @@
 
 import random
 import re
+import zlib
 from collections import Counter
 from datetime import datetime, timedelta
 from pathlib import Path
@@ -11,6 +12,7 @@ import pytest
 from verify import oracle, rows_of
 
 from threadmill.llm import leaks, packing, pii, subjects, terms, threads, vectors
+from threadmill.llm.bits import FILTER_BITS, term_filter
 from threadmill.llm.pii_table import labelled_rows
 from threadmill.llm.queries import llm
 
@@ -416,30 +418,60 @@ def test_latent_model_learns_accuracies():
     acc, vote = [0.95, 0.8, 0.6, 0.5, 0.4], []
     for y in truth:
         vote.append(tuple(-1 if rng.random() < (0.3 if y < k else 0.95 if j < 2 else 0.5) else y if y < k and rng.random() < acc[j] else rng.randrange(k) for j in range(5)))
-    patterns = sorted(set(vote))
-    counts = np.array([vote.count(p) for p in patterns], float)
-    post = subjects.latent_model(np.array(patterns), counts, k)
-    best = dict(zip(patterns, post.argmax(axis=1)))
-    assert sum(best[v] == y for v, y in zip(vote, truth)) / n > 0.8
+    patterns = sorted({subjects.pattern_of(v) for v in vote})
+    counts = Counter(map(subjects.pattern_of, vote))
+    topic, off = subjects.latent_model(np.array(patterns), np.array([counts[p] for p in patterns], float), k)
+    at, right = {p: i for i, p in enumerate(patterns)}, 0
+    for v, y in zip(vote, truth):
+        i = at[subjects.pattern_of(v)]
+        g = int(topic[i, :5].argmax())
+        best = v[subjects.pattern_of(v).index(g)] if topic[i, g] > max(off[i], topic[i, 5]) else k
+        right += best == y
+    assert right / n > 0.8 and np.allclose(topic.sum(axis=1) + off, 1)
 
 
-def test_subjects(spark):
+def test_patterns_are_bounded():
+    every = {subjects.pattern_of([rng % 7**j // 7 ** (j - 1) - 1 for j in range(1, 6)]) for rng in range(7**5)}
+    assert len(every) == 203 and subjects.pattern_of((4, -1, 9, 4, 9)) == (0, -1, 1, 0, 1)
+
+
+PARTS = {"software": ["The compiler broke.", "A linker error again.", "The debugger and the kernel disagree."], "law": ["The court gave its verdict.", "A tribunal heard the plaintiff.", "The contract has a liability."]}
+ABOUT = "subject string, about string"
+LABELS = "doc_id long, subject string, labeled_by string"
+
+
+def labelled_documents(spark):
     rng = random.Random(9)
-    parts = {"software": ["The compiler broke.", "A linker error again.", "The debugger and the kernel disagree."], "law": ["The court gave its verdict.", "A tribunal heard the plaintiff.", "The contract has a liability."]}
     docs, want = [], set()
     for d in range(300):
         s = rng.choice(["software", "law"])
-        docs.append((d, " ".join(rng.choice(parts[s]) for _ in range(5)) + " Good morning everyone.", "src", None))
+        docs.append((d, " ".join(rng.choice(PARTS[s]) for _ in range(5)) + " Good morning everyone.", "src", None))
         want.add((d, s))
     small = " Good morning everyone." * 9
-    docs += [(900, small, None, None), (901, None, None, None), (902, "", "src", None), (903, parts["law"][0] + small, "src", None), (904, "Good day. " * 20000, None, None)]
-    df = spark.createDataFrame(docs, "doc_id long, text string, source string, subject string")
-    about = spark.createDataFrame([("software", "programs, debugging"), ("law", "courts"), (None, None)], "subject string, about string")
-    labels = spark.createDataFrame([(0, "law", "human"), (None, "law", "rule"), (1, "other", "rule"), (5000, "law", "rule")], "doc_id long, subject string, labeled_by string")
-    got = {(r.doc_id, r.subject) for r in subjects.assign(df, about, labels).collect()}
+    docs += [(900, small, None, None), (901, None, None, None), (902, "", "src", None), (903, PARTS["law"][0] + small, "src", None), (904, "Good day. " * 20000, None, None)]
+    labels = [(d, s, "human") for d, s in sorted(want) if d < 40] + [(40, "law", "human"), (40, "software", "rule"), (None, "law", "rule"), (1, "other", "rule"), (5000, "law", "rule")]
+    return spark.createDataFrame(docs, "doc_id long, text string, source string, subject string"), labels, want
+
+
+def test_subjects(spark):
+    df, labels, want = labelled_documents(spark)
+    about = spark.createDataFrame([("software", "programs, debugging"), ("law", "courts"), (None, None)], ABOUT)
+    found = spark.createDataFrame(labels, LABELS)
+    got = {(r.doc_id, r.subject) for r in subjects.assign(df, about, found).collect()}
     assert len(got ^ want) <= 3 and not any(d >= 900 for d, _ in got)
-    assert subjects.assign(df.limit(0), about, labels.limit(0)).collect() == []
-    assert subjects.assign(df, about.limit(0), labels).collect() == []
+    assert subjects.assign(df.limit(0), about, found.limit(0)).collect() == []
+    assert subjects.assign(df, about.limit(0), found).collect() == []
+    # Other names give the same documents.
+    other = {"software": "law", "law": "zzz"}
+    renamed = subjects.assign(df, about.replace({"law": "zzz", "software": "law"}, subset=["subject"]), spark.createDataFrame([(d, other.get(s, s), b) for d, s, b in labels], LABELS))
+    assert {(r.doc_id, r.subject) for r in renamed.collect()} == {(d, other[s]) for d, s in got}
+
+
+def test_what_subjects_are_about_is_enough_to_begin(spark):
+    df, _, want = labelled_documents(spark)
+    about = spark.createDataFrame([("a", "compilers, kernels and linkers"), ("b", "courts, contracts, tribunals")], ABOUT)
+    got = {(r.doc_id, {"a": "software", "b": "law"}[r.subject]) for r in subjects.assign(df, about, spark.createDataFrame([], LABELS)).collect()}
+    assert len(got & want) >= 0.9 * len(want)
 
 
 def test_learned_lexicon_has_no_bound(spark):
@@ -450,14 +482,13 @@ def test_learned_lexicon_has_no_bound(spark):
     docs += [(1000 + i, "The goalkeeper zorvik quastel. A referee zorvik quastel. The marathon zorvik quastel.", None, None) for i in range(8)]
     docs += [(2000, "Now zorvik quastel. Then zorvik quastel. So zorvik quastel.", None, None)]
     df = spark.createDataFrame(docs, "doc_id long, text string, source string, subject string").repartition(8)
-    about = spark.createDataFrame([("food", ""), ("sport", "")], "subject string, about string")
-    labels = spark.createDataFrame([], "doc_id long, subject string, labeled_by string")
-    got = {(r.doc_id, r.subject) for r in subjects.assign(df, about, labels).collect()}
+    about = spark.createDataFrame([("food", "recipe"), ("sport", "goalkeeper, referee, marathon")], ABOUT)
+    got = {(r.doc_id, r.subject) for r in subjects.assign(df, about, spark.createDataFrame([], LABELS)).collect()}
     assert {(d, "sport") for d in [*range(1000, 1008), 2000]} <= got
 
 
 def test_lexicon_filter_lets_all_terms_pass(spark):
     found = ["", "a", "épée", "lötstelle", "two words", *(f"t{i}" for i in range(3000))]
-    bits = subjects._filter(spark.createDataFrame([(t,) for t in found], "term string").repartition(3))
-    place = [subjects.zlib.crc32(t.encode()) % subjects.FILTER_BITS for t in found]
+    bits = term_filter(spark.createDataFrame([(t,) for t in found], "term string").repartition(3))
+    place = [zlib.crc32(t.encode()) % FILTER_BITS for t in found]
     assert all(bits[h >> 3] >> (h & 7) & 1 for h in place) and np.unpackbits(bits).sum() == len(set(place))

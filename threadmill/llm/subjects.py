@@ -1,18 +1,21 @@
 """Subject areas of documents from weak labelling functions.
 
-Five labelling functions vote on every sentence or abstain: a lexicon of seed
-words, a lexicon learned from the whole corpus, the section that the sentence
-stands in, the document's address (its source), and labels given to the
-document by people or rules.  A latent model learns from the counts of vote
-patterns how accurate each function is and how often it abstains, with and
-without a subject; its posterior says what each pattern means.  A document has
-a subject if at least a fifth of its sentences are about it.
+Five labelling functions vote on every sentence or abstain: a lexicon made from
+what the subjects are said to be about and from the labelled documents, a
+lexicon learned from the whole corpus, the section that the sentence stands in,
+the document's address (its source), and labels given to the document by people
+or rules.  A latent model learns from the counts of vote patterns how accurate
+each function is and how often it abstains, with and without a subject; its
+posterior says what each pattern means.  A document has a subject if at least a
+fifth of its sentences are about it.  Names of subjects mean nothing to any
+function: subjects with other names get the same documents.
 
 Texts are read whole, three times: for term counts, for the learned terms that
 each holds, and for votes.  The learned lexicon has no bound: it stays a table
 that the texts' terms are joined with.  What reaches the driver is bounded: the
-terms of the label sample, a bitmap of fixed size, and the vote patterns
-(subjects + 1 to the power of 5 at most, in practice a few thousand).
+terms of the label sample, a bitmap of fixed size, and the vote patterns.  A
+pattern says which functions abstain and which agree, not on what, so there are
+at most 203 of them whatever the number of subjects.
 """
 
 from __future__ import annotations
@@ -29,37 +32,23 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import settle, spread
+from .bits import FILTER_BITS, term_filter
 
-#: Bits of the filter that terms pass before they are joined with the learned lexicon (a power of two, 4 MB).
-FILTER_BITS = 1 << 25
 #: Label rows used (the bound of what the driver holds).
 MAX_LABELS = 20_000
-#: Subjects that vote patterns are made for; more are an error, none is left out.
+#: Subjects at most (a column of counts each; votes are coded in one long); more are an error, none is left out.
 MAX_SUBJECTS = 200
+#: Least smoothed share of a term's top subject among the labelled documents.
+TAUGHT = 0.65
 #: Least smoothed share of its top subject that makes a term part of the learned lexicon.
 PURITY = 0.75
 SHARE = 0.2
 
-#: Seed words (fixed values): common vocabulary of each subject in four languages.
-SEEDS = {
-    "food": "recipe dough bread oven pie soup stew broth sauce butter cheese custard vinegar sourdough whisk paprika squash noodle pickled roux herb espresso teigtasche brühe sauerteig butter ragoût pâte bouillon épice poêle sartén caldo guiso masa empanada mantequilla horno especia",
-    "hardware": "mainboard motherboard chassis capacitor backplane solder jumper drive disk fan heatsink processor memory-bank graphics keyboard voltage battery lötstelle hauptplatine lüfter kondensator grafikkarte laufwerk netzteil speicherriegel carte-mère barrette ventilateur condensador placa soldadura disco",
-    "law": "court tribunal contract verdict injunction plaintiff notary patent licence copyright liability statute custody damages tenancy trademark appeal jurisdiction settlement urteil vertrag gericht zeuge brevet clause contrat témoignage derecho sentencia cláusula testimonio apelación",
-    "music": "melody chord guitar drum bass piano sonata concert synth sequencer encore reverb accordion quartet setlist oboe vinyl tuning streichquartett bassgitarre chor melodie mélodie chœur guitare sonate sonata melodía coro vinilo cuarteto",
-    "networking": "router gateway subnet packet firewall latency ethernet modem multicast transceiver uplink repeater wireless dial-up cable brandmauer netzmaske glasfaser paketverlust namensdienst netzsegment pare-feu routeur passerelle réseau serveur cortafuegos pasarela enrutador servidor",
-    "photography": "camera lens shutter aperture darkroom viewfinder tripod exposure film enlarger rangefinder bellows fixer focal portrait stativ blende dunkelkammer brennweite entwickler sucher obturateur révélateur diaphragme trépied viseur obturador revelador trípode diafragma visor",
-    "railways": "train tram railcar locomotive signal-box viaduct tunnel junction platform shunter freight gauge timetable marshalling turntable nebenstrecke oberleitung schmalspur güterwagen stellwerk weiche bahnsteig dampflok locomotive aiguillage quai vía andén locomotora",
-    "science": "isotope genome fossil microscope telescope spectrometer hypothesis enzyme catalyst protein orbit wavelength plasma sediment laboratory particle molecule hypothese teilchen hypothèse télescope enzyme isotope orbite hipótesis órbita isótopo enzima cultivo telescopio",
-    "software": "compiler linker debugger kernel makefile toolchain library regression source-tree header-file boot-loader thread-pool script repository übersetzer bibliothek speicherleck compilateur débogueur logiciel bibliothèque noyau compilador depurador código núcleo biblioteca",
-    "sport": "match goalkeeper referee championship tournament league relay hurdle midfielder overtime marathon javelin coach sprint penalty tennis swimming staffellauf schiedsrichter meisterschaft torwart halbzeit elfmeter championnat entraîneur arbitre gardien classement portero árbitro campeonato",
-}
-
 _PREFIX = re.compile(r"(?m)^[ \t]*\[\d\d?:\d\d(?::\d\d)?\] [^\s:]{1,60}: ")
 _HEADING = re.compile(r"(?m)^[ \t]*#{1,6} .*$")
 _SENTENCE = re.compile(r"(?<=[.!?])[\"”'’)]*\s+(?=[^\sa-zà-ÿ])|\n+")
 _SECTION = re.compile(r"\n[ \t]*\n")
 _WORD = re.compile(r"[^\W\d_]+(?:['-][^\W\d_]+)*")
-_STOP = frozenset("about above and the".split())
 #: Function words (fixed values) that no pair of words is made of.
 _LINK = frozenset("a an and as at but by each every for from had if in is it its my no not of on one or our so than that the this to until was were with your aus das der die dort ist mal mit nach nicht noch und war wir wurde au avec ce de des du est et il la le les ne pour que un une al con del el en es las los para por se un una y".split())
 
@@ -81,24 +70,15 @@ def terms(sentence: str) -> set[str]:
     return {*w, *(f"{a} {b}" for a, b in zip(w, w[1:]) if a not in _LINK and b not in _LINK)}
 
 
-def seed_lexicon(subjects: Sequence[tuple[str, str]]) -> dict[str, int]:
-    """Seed term -> number of its subject; terms of several subjects are left out."""
+def about_lexicon(abouts: Sequence[str]) -> dict[str, tuple[int, float]]:
+    """Words (with and without an s at the end) of what each subject is about -> (subject, weight); words of several are left out."""
     owner: dict[str, set[int]] = defaultdict(set)
-    for i, (name, about) in enumerate(subjects):
-        words = [w.replace("-", " ") if w.count("-") and w.split("-")[0] not in ("pare", "carte", "dial") else w for w in SEEDS.get(name, "").split()]
-        for w in [*words, *(x for x in _WORD.findall((about or "").lower()) if len(x) > 4)]:
-            owner[w].add(i)
-            if w.isascii() and not w.endswith("s"):
-                owner[w + "s"].add(i)
-    return {w: next(iter(s)) for w, s in owner.items() if len(s) == 1 and w not in _STOP}
-
-
-def lexicon_vote(hits: set[str], lexicon: dict[str, int]) -> int | None:
-    """The subject that most of a sentence's lexicon terms belong to; none for ties."""
-    if not hits:
-        return None
-    (a, n), *rest = Counter(lexicon[t] for t in hits).most_common(2)
-    return None if rest and rest[0][1] == n else a
+    for i, about in enumerate(abouts):
+        for w in _WORD.findall(about.lower()):
+            if len(w) > 3 and w not in _LINK:
+                for form in (w, w.rstrip("s"), w.rstrip("s") + "s"):
+                    owner[form].add(i)
+    return {w: (next(iter(s)), 1.0) for w, s in owner.items() if len(s) == 1}
 
 
 def weighted_vote(hits: set[str], lexicon: dict[str, tuple[int, float]]) -> int | None:
@@ -121,44 +101,60 @@ def majority(votes: Sequence[int | None], least: float = 0.6, at_least: int = 2)
     return s if n >= at_least and n >= least * sum(c.values()) else None
 
 
-def latent_model(patterns: np.ndarray, counts: np.ndarray, k: int, rounds: int = 40) -> np.ndarray:
-    """Posterior (pattern, class) of vote patterns; class k is no subject, vote -1 an abstention.
+def pattern_of(votes: Sequence[int]) -> tuple[int, ...]:
+    """Which functions abstain (-1) and which agree (same number, in order of appearance)."""
+    seen: dict[int, int] = {}
+    return tuple(-1 if v < 0 else seen.setdefault(v, len(seen)) for v in votes)
+
+
+def latent_model(patterns: np.ndarray, counts: np.ndarray, k: int, rounds: int = 40) -> tuple[np.ndarray, np.ndarray]:
+    """For each pattern the posterior of each of its groups of agreeing functions (pattern, group), and that of no subject.
 
     Each function has an accuracy and a rate of voting, for sentences with a
-    subject and without; all are learned by expectation-maximisation.
+    subject and without; all are learned by expectation-maximisation.  The k
+    subjects are alike beforehand and errors fall on any, so what functions
+    vote for matters only as far as they agree; the last column of the first
+    result is all subjects that nobody voted for.
     """
     n, m = patterns.shape
     votes = patterns >= 0
+    groups = m + 1
     acc = np.array([0.9, 0.9, 0.75, 0.5, 0.7])[:m]
     rate = np.stack([np.where(votes, counts[:, None], 0).sum(0) / counts.sum()] * 2)  # with a subject, without
     rate[0] = np.clip(rate[0] * 1.3, 0.02, 0.98)
     rate[1, :2] *= 0.2  # lexicons rarely speak where there's no subject
     rate = np.clip(rate, 1e-4, 1 - 1e-4)
-    prior = np.append(np.full(k, 0.7 / k), 0.3)
-    post = np.zeros((n, k + 1))
+    none = 0.3
+    n_groups = patterns.max(axis=1) + 1
+    size = np.zeros((n, groups))  # how many subjects a column stands for
+    size[:, :m] = np.arange(m)[None, :] < n_groups[:, None]
+    size[:, m] = np.maximum(k - n_groups, 0)
+    topic = off = None
     for _ in range(rounds):
-        log = np.log(prior)[None, :].repeat(n, axis=0)
+        with np.errstate(divide="ignore"):
+            log = np.log(size * (1 - none) / k)
+        away = np.full(n, math.log(none))
         for j in range(m):
             v = votes[:, j]
-            hit = np.zeros((n, k), bool)
+            hit = np.zeros((n, groups), bool)
             hit[v, patterns[v, j]] = True
-            topic = np.where(v[:, None], np.log(rate[0, j]) + np.where(hit, np.log(acc[j]), np.log((1 - acc[j]) / (k - 1))), np.log(1 - rate[0, j]))
-            log[:, :k] += topic
-            log[:, k] += np.where(v, np.log(rate[1, j] / k), np.log(1 - rate[1, j]))
-        log -= log.max(axis=1, keepdims=True)
-        post = np.exp(log)
-        post /= post.sum(axis=1, keepdims=True)
-        w = post * counts[:, None]
-        prior = np.clip(w.sum(axis=0) / counts.sum(), 1e-4, 1)
-        topical = w[:, :k].sum()
+            log += np.where(v[:, None], np.log(rate[0, j]) + np.where(hit, np.log(acc[j]), np.log((1 - acc[j]) / (k - 1))), np.log(1 - rate[0, j]))
+            away += np.where(v, np.log(rate[1, j] / k), np.log(1 - rate[1, j]))
+        top = np.maximum(log.max(axis=1), away)
+        topic, off = np.exp(log - top[:, None]), np.exp(away - top)
+        total = topic.sum(axis=1) + off
+        topic, off = topic / total[:, None], off / total
+        w, w_off = topic * counts[:, None], off * counts
+        none = float(np.clip(w_off.sum() / counts.sum(), 1e-4, 0.9999))
+        topical = w.sum()
         for j in range(m):
             v = votes[:, j]
             right = w[v, patterns[v, j]].sum()
-            spoke = w[v, :k].sum()
+            spoke = w[v].sum()
             acc[j] = np.clip((right + 2) / (spoke + 3), 0.2, 0.995)
             rate[0, j] = np.clip(spoke / max(topical, 1), 1e-4, 1 - 1e-4)
-            rate[1, j] = np.clip(w[v, k].sum() / max(w[:, k].sum(), 1), 1e-4, 0.999)
-    return post
+            rate[1, j] = np.clip(w_off[v].sum() / max(w_off.sum(), 1), 1e-4, 0.999)
+    return topic, off
 
 
 def _label_votes(labels: DataFrame, names: list[str]) -> DataFrame:
@@ -168,8 +164,8 @@ def _label_votes(labels: DataFrame, names: list[str]) -> DataFrame:
     return known.groupBy("l_id").agg(F.min("s").alias("label"), F.max("s").alias("other")).where("label = other").select("l_id", "label")
 
 
-def _labelled_terms(docs: DataFrame, labels: DataFrame, k: int) -> dict[str, int]:
-    """Terms of documents with one label that hardly occur under others (a bounded sample of labels)."""
+def _labelled_terms(docs: DataFrame, labels: DataFrame) -> dict[str, tuple[int, float]]:
+    """Terms of documents with one label that hardly occur under others -> (subject, weight) (a bounded sample of labels)."""
     sample = labels.orderBy(F.xxhash64("l_id")).limit(MAX_LABELS)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -183,11 +179,11 @@ def _labelled_terms(docs: DataFrame, labels: DataFrame, k: int) -> dict[str, int
 
     counts = docs.join(sample, docs.doc_id == sample.l_id).select("text", "label").where("text IS NOT NULL").mapInPandas(run, "term string, s int, n long")
     by = counts.groupBy("term", "s").agg(F.sum("n").alias("n")).groupBy("term").agg(F.max(F.struct("n", "s")).alias("top"), F.sum("n").alias("all"))
-    good = by.where((F.col("top.n") >= 4) & (F.col("top.n") / (F.col("all") + 0.5) > PURITY))
-    return {r["term"]: r["s"] for r in good.select("term", "top.s").collect()}
+    good = by.where((F.col("top.n") >= 2) & ((F.col("top.n") + 0.3) / (F.col("all") + 1.5) >= TAUGHT))
+    return {r["term"]: (r["s"], math.log(1 + r["n"])) for r in good.select("term", "top.s", "top.n").collect()}
 
 
-def _learned(docs: DataFrame, first: dict[str, int], k: int) -> tuple[DataFrame, DataFrame]:
+def _learned(docs: DataFrame, first: dict[str, tuple[int, float]], k: int) -> tuple[DataFrame, DataFrame]:
     """The lexicon learned from all documents (term, s, share), and how often each source's sentences are about each subject."""
     held = docs.sparkSession.sparkContext.broadcast(first)
 
@@ -211,11 +207,12 @@ def _learned(docs: DataFrame, first: dict[str, int], k: int) -> tuple[DataFrame,
                 if not text:
                     continue
                 found = [terms(s) for b in sentences(text) for s in b]
-                votes = [lexicon_vote(x & known, lexicon) for x in found]
+                hits = [x & known for x in found]
+                votes = [weighted_vote(h, lexicon) for h in hits]
                 main = majority(votes)
-                silent = not any(v is not None for v in votes)
-                for x, v in zip(found, votes):
-                    y = v if v is not None else main if main is not None else k if silent else None
+                silent = not any(hits)
+                for x, h, v in zip(found, hits, votes):
+                    y = v if v is not None else main if main is not None and not h else k if silent else None
                     if y is None:
                         continue
                     c[y].update(x)
@@ -231,29 +228,18 @@ def _learned(docs: DataFrame, first: dict[str, int], k: int) -> tuple[DataFrame,
     every = sum((F.col(f"n{i}") for i in range(1, k + 1)), F.col("n0"))
     top = F.greatest(*(F.struct(F.col(f"n{i}").alias("n"), F.lit(i).alias("s")) for i in range(k)))
     best = total.withColumn("every", every).withColumn("top", top).select("kind", "term", "every", F.col("top.n").alias("n"), F.col("top.s").alias("s"))
-    share = (F.col("n") + 0.3) / (F.col("every") + 3)
+    share = (F.col("n") + 0.3) / (F.col("every") + 1.5)
     lexicon = settle(best.where((F.col("kind") == "term") & (share >= PURITY)).select("term", "s", share.alias("share")), "lexicon")
     address = best.where((F.col("kind") == "source") & (F.col("every") >= 50) & (F.col("n") >= 0.5 * F.col("every"))).select(F.col("term").alias("a_source"), F.col("s").alias("address"))
     return lexicon, address
 
 
-def _filter(lexicon: DataFrame) -> np.ndarray:
-    """A bitmap of the lexicon's hashes; terms of others may pass it, the join decides."""
-    place = F.crc32(F.col("term").cast("binary")) % FILTER_BITS + 1  # buckets count from 1
-    found = lexicon.groupBy(F.bitmap_bucket_number(place).alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place)).alias("bits"))
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    for r in found.toLocalIterator():
-        at = (r["b"] - 1) * 4096
-        bits[at : at + 4096] = np.frombuffer(r["bits"], np.uint8)
-    return bits
-
-
 def _held_terms(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
     """The learned terms that each text holds: h_text (hash of the text), wide (array of term, s, share).
 
     Texts of one hash share a row, which then holds the terms of both.
     """
-    held = docs.sparkSession.sparkContext.broadcast(_filter(lexicon).tobytes())
+    held = docs.sparkSession.sparkContext.broadcast(term_filter(lexicon).tobytes())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bits = held.value
@@ -284,8 +270,8 @@ def subject_shares(documents: DataFrame, subjects: DataFrame, labels: DataFrame)
     result is empty, empty, or made from the other functions.
     """
     spark = documents.sparkSession
-    pairs = sorted({(r["subject"].strip().lower(), r["about"] or "") for r in subjects.select("subject", "about").where("subject IS NOT NULL").limit(MAX_SUBJECTS + 1).collect()})
-    names = [p[0] for p in pairs]
+    pairs = sorted({(r["about"] or "", r["subject"].strip().lower()) for r in subjects.select("subject", "about").where("subject IS NOT NULL").limit(MAX_SUBJECTS + 1).collect()})
+    names = [p[1] for p in pairs]
     k = len(names)
     if k > MAX_SUBJECTS:
         raise ValueError(f"more than {MAX_SUBJECTS} subjects")
@@ -294,9 +280,8 @@ def subject_shares(documents: DataFrame, subjects: DataFrame, labels: DataFrame)
         return spark.createDataFrame([], empty)
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "source")
     label = settle(_label_votes(labels, names), "labels")
-    first = seed_lexicon(pairs)
-    taught = _labelled_terms(docs, label, k)
-    taught.update(first)
+    taught = about_lexicon([p[0] for p in pairs])
+    taught.update(_labelled_terms(docs, label))  # what documents show counts more than what is said
     learned, address = _learned(docs, taught, k)
     held = spark.sparkContext.broadcast(taught)
     base = k + 1
@@ -316,9 +301,9 @@ def subject_shares(documents: DataFrame, subjects: DataFrame, labels: DataFrame)
                 lab = -1 if lab != lab or lab is None else int(lab)
                 wide = {} if learned[0] is None else {t: (int(s), weight(t, share)) for t, s, share in zip(*learned)}
                 widely = wide.keys()
-                c: Counter[int] = Counter()
+                c: Counter[tuple[int, ...]] = Counter()
                 n = 0
-                blocks = [[(lexicon_vote(t & known, lexicon), weighted_vote(t & widely, wide)) for t in map(terms, b)] for b in sentences(text)]
+                blocks = [[(weighted_vote(t & known, lexicon), weighted_vote(t & widely, wide)) for t in map(terms, b)] for b in sentences(text)]
                 for votes in blocks:
                     seconds = Counter(b for _, b in votes if b is not None)
                     for a, b in votes:
@@ -329,28 +314,38 @@ def subject_shares(documents: DataFrame, subjects: DataFrame, labels: DataFrame)
                         total = sum(around.values())
                         s, m = max(around.items(), key=lambda z: (z[1], -z[0])) if total else (-1, 0)
                         section = s if m >= 2 and m >= 0.6 * total else -1
-                        code = 0
-                        for v in (-1 if a is None else a, -1 if b is None else b, section, where, lab):
-                            code = code * base + v + 1
-                        c[code] += 1
-                out.append((doc, n, list(c.keys()), list(c.values())))
+                        c[-1 if a is None else a, -1 if b is None else b, section, where, lab] += 1
+                codes, kinds = [], []
+                for votes in c:
+                    code = kind = 0
+                    for v, g in zip(votes, pattern_of(votes)):
+                        code, kind = code * base + v + 1, kind * 8 + g + 1
+                    codes.append(code)
+                    kinds.append(kind)
+                out.append((doc, n, codes, kinds, list(c.values())))
             if out:
-                yield pd.DataFrame(out, columns=["doc_id", "n", "codes", "counts"])
+                yield pd.DataFrame(out, columns=["doc_id", "n", "codes", "kinds", "counts"])
 
     docs = spread(docs, "doc_id")
     wide = _held_terms(docs, learned)
     joined = docs.withColumn("key", F.xxhash64("text")).join(wide, F.col("key") == F.col("h_text"), "left").join(label, docs.doc_id == label.l_id, "left").join(address, F.col("source") == F.col("a_source"), "left")
-    votes = settle(joined.select("doc_id", "text", "address", "label", "wide.term", "wide.s", "wide.share").mapInPandas(run, "doc_id long, n long, codes array<bigint>, counts array<int>"), "votes")
-    each = votes.select("doc_id", "n", F.explode(F.arrays_zip("codes", "counts")).alias("z")).select("doc_id", "n", F.col("z.codes").alias("code"), F.col("z.counts").alias("c"))
-    seen = each.groupBy("code").agg(F.sum("c").alias("c")).orderBy("code").collect()  # at most base^5 rows
+    votes = joined.select("doc_id", "text", "address", "label", "wide.term", "wide.s", "wide.share").mapInPandas(run, "doc_id long, n long, codes array<bigint>, kinds array<int>, counts array<int>")
+    each = settle(votes, "votes").select("doc_id", "n", F.explode(F.arrays_zip("codes", "kinds", "counts")).alias("z")).select("doc_id", "n", F.col("z.codes").alias("code"), F.col("z.kinds").alias("kind"), F.col("z.counts").alias("c"))
+    seen = each.groupBy("kind").agg(F.sum("c").alias("c")).orderBy("kind").collect()  # at most 203 rows
     if not seen:
         return spark.createDataFrame([], empty)
-    codes = np.array([r["code"] for r in seen], np.int64)
-    patterns = np.stack([codes // base**j % base - 1 for j in range(4, -1, -1)], axis=1)
-    post = latent_model(patterns, np.array([r["c"] for r in seen], float), k)
-    best = post.argmax(axis=1)
-    means = spark.createDataFrame([(int(c), names[b]) for c, b in zip(codes, best) if b < k] or [(-1, names[0])], "code long, subject string")
-    about = each.join(F.broadcast(means), "code").groupBy("doc_id", "subject").agg(F.sum("c").alias("n_about"), F.max("n").alias("n_sentences"))
+    kinds = np.array([r["kind"] for r in seen], np.int64)
+    patterns = np.stack([kinds // 8**j % 8 - 1 for j in range(4, -1, -1)], axis=1)
+    topic, off = latent_model(patterns, np.array([r["c"] for r in seen], float), k)
+    # The function whose vote stands for the best group; none where no subject or one that nobody voted for is likelier.
+    means = []
+    for kind, p, t, o in zip(kinds.tolist(), patterns.tolist(), topic, off):
+        g = int(t[:5].argmax())
+        if t[g] > max(o, t[5]):
+            means.append((kind, base ** (4 - p.index(g))))
+    means = spark.createDataFrame(means or [(-1, 1)], "kind int, unit long")
+    subject = F.element_at(F.array(*(F.lit(x) for x in names)), F.expr(f"(code div unit) % {base}").cast("int"))
+    about = each.join(F.broadcast(means), "kind").groupBy("doc_id", subject.alias("subject")).agg(F.sum("c").alias("n_about"), F.max("n").alias("n_sentences"))
     return about.withColumn("share", F.col("n_about") / F.col("n_sentences"))
 
 
