@@ -13,16 +13,18 @@ window does too, so 5-gram seeds miss nothing.  No shuffle is needed.
 from __future__ import annotations
 
 import html
+import itertools
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import spread
+from ..storage import settle, spread
 
 GRAM = 5
 EXACT, FUZZY, ONE_IN = 14, 24, 8
@@ -30,11 +32,11 @@ EXACT, FUZZY, ONE_IN = 14, 24, 8
 BLOCK_WORDS = 2_000_000
 
 _INVISIBLE = re.compile("[­؜᠎​-‏‪-‮⁠-⁤﻿]")
-_TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)[^<>]{0,200}>|&(?:\w{1,10}|#\d{1,7});")
+_TAG = re.compile(r"</?([a-zA-Z][a-zA-Z0-9]*)[^<>]*>|&(?:\w{1,32}|#\d{1,7});")
 _BLOCK = {"br", "p", "div", "li", "ul", "ol", "td", "tr", "th", "table", "hr", "h1", "h2", "h3", "h4", "h5", "h6"}
-_GAP = re.compile(r"[‐-―/]|\]\([^()\s]{0,500}\)|(?m:^[ \t>*-]*\[\d\d?:\d\d(?::\d\d)?\] [^\s:]{1,60}: )")
+_GAP = re.compile(r"[‐-―/]|\]\([^()\s]*\)|(?m:^[ \t>*-]*\[\d\d?:\d\d(?::\d\d)?\] [^\s:]+: )")
 _PUNCT = re.compile(r"[\W_]+")
-_ENDS = re.compile(r"(?<=[.!?:])\s+|\n+")
+_ENDS = re.compile(r"(?<=[.!?:])\s+")
 
 
 def _mark(m: re.Match) -> str:
@@ -77,8 +79,9 @@ def spans(text: str) -> list[tuple[int, int]]:
 
 
 def passage(text: str) -> list[str]:
-    """Words of an evaluation item without its instruction (its first line or sentence)."""
-    parts = _ENDS.split(text.strip(), maxsplit=1)
+    """Words of an evaluation item without its instruction: its first line, or its first sentence if it is one line."""
+    text = text.strip()
+    parts = text.split("\n", 1) if "\n" in text else _ENDS.split(text, maxsplit=1)
     return words(parts[1]) if len(parts) > 1 else words(text)
 
 
@@ -159,12 +162,12 @@ def stretches(equal: np.ndarray) -> list[tuple[int, int]]:
     return [(int(a), int(b)) for a, b in zip(edges[::2], edges[1::2])]
 
 
-def scan(text: str | None, p: Passages, every: bool = False) -> list[tuple[int, int, int]]:
-    """(item_id, first word, end word) of every item that leaked into a text: its longest stretch, or ``every`` one of every alignment."""
+def scan(text: str | None, p: Passages, every: bool = False, said: list[str] | None = None) -> list[tuple[int, int, int]]:
+    """(item_id, first word, end word) of every item that leaked into a text: its longest stretch, or ``every`` one of every alignment.  ``said``: the text's words if they are known."""
     if not text:
         return []
     number = p.number
-    w = np.array([number.get(x, 0) for x in words(text)], np.int64)
+    w = np.array([number.get(x, 0) for x in (words(text) if said is None else said)], np.int64)
     g = codes(w)
     if not len(g) or not len(p.gram):
         return []
@@ -203,6 +206,43 @@ def _blocks(items: DataFrame, id_col: str, text_col: str) -> Iterator[Passages]:
     yield Passages(block)
 
 
+def _stretches(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, every: bool) -> DataFrame:
+    """key, item_id, first_word, end_word of every hit in ``docs`` (key, text).
+
+    One block of items is in memory at a time.  Where there are several, texts
+    are turned into words once, and each block's hits are written before the
+    next block is sent.
+    """
+    spark = docs.sparkSession
+    kind = dict(docs.dtypes)["key"]
+    schema = f"key {kind}, item_id long, first_word long, end_word long"
+    columns = ["key", "item_id", "first_word", "end_word"]
+
+    def hits(block: Broadcast, known: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for f in frames:
+                rows = [(d, *hit) for d, t in zip(f["key"], f["text"]) for hit in scan(t, block.value, every, t.split(" ") if known else None)]
+                yield pd.DataFrame(rows, columns=columns)
+
+        return run
+
+    def said(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"key": f["key"], "text": [" ".join(words(t)) for t in f["text"]]})
+
+    blocks = _blocks(items, id_col, text_col)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return docs.mapInPandas(hits(spark.sparkContext.broadcast(first), False), schema)
+    plain, found = settle(docs.mapInPandas(said, f"key {kind}, text string"), "words"), None
+    for block in itertools.chain([first, second], blocks):
+        held = spark.sparkContext.broadcast(block)
+        one = settle(plain.mapInPandas(hits(held, True), schema), "leaks")
+        held.destroy()
+        found = one if found is None else found.unionByName(one)
+    return found
+
+
 def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Which item leaked into which document: doc_id, item_id, first_word, end_word.
 
@@ -213,21 +253,8 @@ def leaks(documents: DataFrame, items: DataFrame, doc_id: str = "doc_id", text:
     row and item.  Null and empty texts and items hold nothing; a null doc_id
     stays null; empty tables give no row; texts are read whole.
     """
-    spark = documents.sparkSession
-    docs = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).where(F.col("text").isNotNull())
-    docs = spread(docs, "doc_id")
-    every = None
-    for block in _blocks(items, item_id, item_text):
-        held = spark.sparkContext.broadcast(block)
-
-        def run(frames: Iterator[pd.DataFrame], held=held) -> Iterator[pd.DataFrame]:
-            for f in frames:
-                rows = [(d, *hit) for d, t in zip(f["doc_id"], f["text"]) for hit in scan(t, held.value)]
-                yield pd.DataFrame(rows, columns=["doc_id", "item_id", "first_word", "end_word"])
-
-        found = docs.mapInPandas(run, "doc_id long, item_id long, first_word long, end_word long")
-        every = found if every is None else every.unionByName(found)
-    return every
+    docs = documents.select(F.col(doc_id).cast("long").alias("key"), F.col(text).alias("text")).where(F.col("text").isNotNull())
+    return _stretches(spread(docs, "key"), items, item_id, item_text, False).withColumnRenamed("key", "doc_id")
 
 
 def cut(text: str, ranges: list[tuple[int, int]]) -> str:
@@ -251,25 +278,28 @@ def remove_leaks(documents: DataFrame, items: DataFrame, most: float = 0.5) -> D
     Every leaked stretch counts, also several of one item.  A document more than ``most`` of whose words leaked is dropped (its text
     becomes null); from others the leaked words are cut.
     """
-    spark = documents.sparkSession
-    docs = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), "doc_id")
-    blocks = [spark.sparkContext.broadcast(b) for b in _blocks(items, "item_id", "text")]
-
-    def one(text: str | None) -> tuple[str, str | None, int]:
-        hits = [h for b in blocks for h in scan(text, b.value, every=True)]
-        if not hits:
+    docs = spread(documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.sha2("text", 256).alias("sha")), "doc_id")
+    # Equal texts are read once; what leaked into one text is bounded by its own length.
+    texts = docs.where("text IS NOT NULL").select(F.col("sha").alias("key"), "text")
+    found = _stretches(texts, items, "item_id", "text", True)
+    hits = found.groupBy(F.col("key").alias("h_sha")).agg(F.collect_set(F.struct("item_id", "first_word", "end_word")).alias("hits"))
+
+    def one(text: str | None, hits) -> tuple[str, str | None, int]:
+        if hits is None or not len(hits):
             return "kept", text, 0
-        n_items = len({i for i, _, _ in hits})
+        ranges = sorted({(int(h["first_word"]), int(h["end_word"])) for h in hits})
+        n_items = len({h["item_id"] for h in hits})
         inside = np.zeros(len(words(text)), bool)
-        for _, f, t in hits:
+        for f, t in ranges:
             inside[f:t] = True
         if inside.mean() > most:
             return "dropped", None, n_items
-        return "cut", cut(text, [(f, t) for _, f, t in hits]), n_items
+        return "cut", cut(text, ranges), n_items
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            got = [one(t) for t in f["text"]]
+            got = [one(t, h) for t, h in zip(f["text"], f["hits"])]
             yield pd.DataFrame({"doc_id": f["doc_id"], "action": [x[0] for x in got], "text": [x[1] for x in got], "n_items": [x[2] for x in got]})
 
-    return docs.mapInPandas(run, "doc_id long, action string, text string, n_items long")
+    j = docs.join(hits, F.col("sha") == F.col("h_sha"), "left").select("doc_id", "text", "hits")
+    return j.mapInPandas(run, "doc_id long, action string, text string, n_items long")
