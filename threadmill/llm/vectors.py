@@ -1,8 +1,10 @@
 """Most similar vectors for every vector, by a block matrix join.
 
 Equal directions are folded into classes first, so that a group of copies is
-one row.  Class representatives are dealt into stripes of bounded size; every
-pair of stripes is one tile task that gets just these two stripes.  In a tile,
+one row.  Class representatives are dealt into stripes of bounded size, as large
+as the number of cores allows, since a vector is sent once per stripe; every
+pair of stripes is one tile, and tiles are dealt evenly to a bounded number of
+tasks, which work them off one after the other.  In a tile,
 int8 products give each cosine with an error bound; only pairs whose upper
 bound reaches the row's third best so far are recomputed in double precision,
 and each row keeps a heap of its k best.  Rows' heaps of all tiles are merged
@@ -16,7 +18,7 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..storage import settle
@@ -122,7 +124,18 @@ def comparable(vectors: DataFrame, key: str, vector: str, revision: str | None =
     return d.groupBy("id").agg(F.max("v").alias("v"))
 
 
-def nearest(vectors: DataFrame, k: int = 3, stripe: int = 6144) -> DataFrame:
+def stripes(n: int, cores: int, least: int, most: int) -> int:
+    """How many stripes: enough that tiles keep all cores busy (four for each), of ``least`` to ``most`` rows."""
+    return max(1, math.ceil(n / most), min(math.ceil(n / least), math.ceil(math.sqrt(8 * cores))))
+
+
+def even_keys(spark: SparkSession, n: int) -> list[int]:
+    """A number for each of ``n`` partitions that hash partitioning puts there."""
+    found = spark.range(24 * n + 200).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("p")).agg(F.min("id").alias("id")).collect()
+    return [r["id"] for r in sorted(found, key=lambda r: r["p"])]
+
+
+def nearest(vectors: DataFrame, k: int = 3, least: int = 6144, most: int = 32_768, tasks: int = 4096) -> DataFrame:
     """The ``k`` most similar others of every vector: id, other_id, sim, place (1 = most similar).
 
     ``vectors`` has id (unique) and v, as ``comparable`` gives them; only
@@ -132,19 +145,23 @@ def nearest(vectors: DataFrame, k: int = 3, stripe: int = 6144) -> DataFrame:
     fewer than k+1 vectors every vector gets all others; an empty table gives
     no row.
     """
+    spark = vectors.sparkSession
     classes = vectors.groupBy("v").agg(F.min("id").alias("rep"), F.count("*").alias("size"))
     classes = settle(classes.withColumn("dim", F.size("v")), "vectors")
     sizes = {r["dim"]: r["n"] for r in classes.groupBy("dim").agg(F.count("*").alias("n")).collect()}
-    parts = max((math.ceil(n / stripe) for n in sizes.values()), default=1)
-    rows = classes.select("dim", "rep", "v", F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("int").alias("s"))
-    # Each stripe goes to all tiles that it is part of: (s, t) with s <= t.
-    every = F.sequence(F.lit(0), F.lit(parts - 1))
-    tiles = rows.select("dim", "rep", "v", "s", F.explode(every).alias("o")).select(
-        F.concat_ws("-", "dim", F.least("s", "o"), F.greatest("s", "o")).alias("tile"), "rep", "v", "s"
-    )
+    parts = max((stripes(n, spark.sparkContext.defaultParallelism, least, most) for n in sizes.values()), default=1)
+    rows = classes.select("dim", "rep", "v", F.pmod(F.xxhash64("rep"), F.lit(parts)).cast("long").alias("s"))
+    # Each stripe goes to all tiles that it is part of: (lo, hi) with lo <= hi, numbered along the triangle.
+    every = F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long"))
+    tiles = rows.withColumn("o", F.explode(every)).withColumn("lo", F.least("s", "o")).withColumn("hi", F.greatest("s", "o"))
+    n_tiles = len(sizes) * parts * (parts + 1) // 2
+    slots = even_keys(spark, max(1, min(n_tiles, tasks)))
+    number = F.expr("hi * (hi + 1) div 2 + lo") + F.col("dim")
+    slot = F.element_at(F.array(*(F.lit(x) for x in slots)), (F.pmod(number, F.lit(len(slots))) + 1).cast("int"))
+    tiles = tiles.select(slot.alias("slot"), "dim", "lo", "hi", "rep", "v", "s")
 
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        lo, hi = (int(x) for x in key[0].split("-")[1:])
+        lo, hi = key[2], key[3]
         a = pdf[pdf.s == lo]
         ids_a, ma = a.rep.to_numpy(np.int64), np.stack(a.v.to_numpy()) if len(a) else np.zeros((0, 1))
         if lo == hi:
@@ -164,8 +181,8 @@ def nearest(vectors: DataFrame, k: int = 3, stripe: int = 6144) -> DataFrame:
         good = np.isfinite(sim)
         return pd.DataFrame({"rep": rep[good], "other": other[good], "sim": sim[good]})
 
-    n_tiles = len(sizes) * parts * (parts + 1) // 2
-    found = tiles.repartition(max(1, n_tiles), "tile").groupBy("tile").applyInPandas(run, "rep long, other long, sim double")
+    # Tiles that share a slot come one after the other in one task.
+    found = tiles.repartition(len(slots), "slot").groupBy("slot", "dim", "lo", "hi").applyInPandas(run, "rep long, other long, sim double")
     best = Window.partitionBy("rep").orderBy(F.desc("sim"), "other")
     near = found.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("rep", "other", "sim")
     near = settle(near, "near")
