@@ -3,9 +3,9 @@
 Dynamic programming over the global histogram of lengths chooses bucket
 boundaries that minimise padding (the histogram has at most ``capacity``
 entries, whatever the number of items).  Each bucket's items take slots of the
-bucket's boundary; batches form inside a bucket under the token budget, and
-what room a batch leaves is given to slots of smaller buckets, all worked out
-on bucket counts.  Items find their slot by their rank in their bucket, which
+bucket's boundary; batches form inside a bucket under the token budget.  What
+room a batch leaves may also be given to slots of smaller buckets (``mixed``),
+all worked out on bucket counts.  Items find their slot by their rank in their bucket, which
 is counted in salted parts, so no bucket is ever one task's.
 """
 
@@ -74,6 +74,15 @@ def patterns(counts: Mapping[int, int], capacity: int) -> list[tuple[dict[int, i
     return out
 
 
+def batches(counts: Mapping[int, int], capacity: int) -> list[tuple[dict[int, int], int]]:
+    """Container patterns of one bucket each: as many slots as the capacity holds, and one batch of the rest."""
+    out = []
+    for b, n in sorted(counts.items(), reverse=True):
+        full, rest = divmod(n, capacity // b)
+        out += [({b: capacity // b}, full)] * bool(full) + [({b: rest}, 1)] * bool(rest)
+    return out
+
+
 def segments(found: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, int, int, int, int]]:
     """(boundary, from rank, to rank, first container, slots per container, start of the first slot)."""
     rank: dict[int, int] = {}
@@ -89,14 +98,15 @@ def segments(found: list[tuple[dict[int, int], int]]) -> list[tuple[int, int, in
     return out
 
 
-def pack(items: DataFrame, capacity: int = 2048, buckets: int = 96, part_rows: int = 50_000) -> DataFrame:
+def pack(items: DataFrame, capacity: int = 2048, buckets: int = 96, part_rows: int = 50_000, mixed: bool = True) -> DataFrame:
     """Container of every item: id, piece, n_tokens, bucket, container_id, start.
 
     ``items`` has id and n_tokens.  An item longer than ``capacity`` is split
     into full pieces and a rest; no other is split.  ``bucket`` is the bucket's
     upper bound, ``start`` the slot's first place in its container.  Items of
     no length get no container (nulls).  Repeated ids are items of their own.
-    An empty table gives no row.
+    An empty table gives no row.  ``mixed``: whether room that a batch leaves is
+    given to slots of smaller buckets.
     """
     spark = items.sparkSession
     cap = F.lit(capacity)
@@ -115,7 +125,7 @@ def pack(items: DataFrame, capacity: int = 2048, buckets: int = 96, part_rows: i
     for length, k in histogram.items():
         counts[bucket_of[length]] = counts.get(bucket_of[length], 0) + k
     lookup = spark.createDataFrame(sorted(bucket_of.items()), "n_tokens int, bucket int")
-    plan = spark.createDataFrame(segments(patterns(counts, capacity)), "bucket int, lo long, hi long, first long, per long, base long")
+    plan = spark.createDataFrame(segments((patterns if mixed else batches)(counts, capacity)), "bucket int, lo long, hi long, first long, per long, base long")
     salts = max(1, -(-sum(histogram.values()) // part_rows))
     # At most one row per length (lookup, plan: bounded by the capacity), so both may be broadcast.
     rows = pieces.where("n_tokens > 0").join(F.broadcast(lookup), "n_tokens").withColumn("salt", F.pmod(F.xxhash64("id", "piece"), F.lit(salts)).cast("int"))
@@ -136,6 +146,6 @@ def pack(items: DataFrame, capacity: int = 2048, buckets: int = 96, part_rows: i
     return out.unionByName(none)
 
 
-def pack_documents(documents: DataFrame, capacity: int = 2048, buckets: int = 96, path: str = TOKENIZER) -> DataFrame:
+def pack_documents(documents: DataFrame, capacity: int = 2048, buckets: int = 96, path: str = TOKENIZER, mixed: bool = True) -> DataFrame:
     """``pack`` over the token counts of documents (doc_id, text)."""
-    return pack(token_counts(documents, path=path), capacity, buckets).withColumnRenamed("id", "doc_id")
+    return pack(token_counts(documents, path=path), capacity, buckets, mixed=mixed).withColumnRenamed("id", "doc_id")
