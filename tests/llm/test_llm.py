@@ -9,24 +9,26 @@ from pathlib import Path
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from verify import oracle, rows_of
 
 from threadmill.llm import leaks, packing, pii, subjects, terms, threads, vectors
 from threadmill.llm.bits import FILTER_BITS, term_filter
 from threadmill.llm.pii_table import labelled_rows
 from threadmill.llm.queries import llm
+from threadmill.llm.tokens import token_counts
 
 SF = "/root/testdata/sf0.001"
 T0 = datetime(2024, 1, 1)
 
 
 @pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
-@pytest.mark.parametrize("name", [n for n in llm.queries if n not in ("p6_redacted", "p9_cleaned", "p10_composition", "p8_containers")])
+@pytest.mark.parametrize("name", list(llm.queries))
 def test_query(spark, name):
     got = llm.queries[name](spark, SF)
     rows = [tuple(r.values()) for r in got.toArrow().to_pylist()]
     if name not in llm.oracles:
-        assert len(rows) > 0 and len(set(rows)) == len(rows)
+        assert len(rows) > 0 and (len(set(rows)) == len(rows) or not name.endswith("_found"))
         return
     c = oracle(SF).execute(llm.oracles[name])
     names = [d[0] for d in c.description]
@@ -121,6 +123,27 @@ def test_conversations_random(spark):
     assert got == plain_conversations(rows) and len(got) > 50
 
 
+def test_paths(spark):
+    rng = random.Random(4)
+    rows, parent = [], {}
+    for i in range(1, 220):  # trees, a long chain, a cycle, an orphan, a thread
+        parent[i] = None if i % 25 == 1 and i < 180 else i - 1 if i < 60 or i >= 180 else rng.randrange(i - 1 - (i - 2) % 25, i)
+    parent |= {300: 301, 301: 300, 302: 300, 303: 999, 304: None}
+    rows = [row(i, 1, "x", p) for i, p in parent.items()] + [row(400, 1, "x", thread=400), row(401, 1, "x", 400, thread=400), row(402, 1, "x", 401)]
+    want = set()
+    inner = {p for i, p in parent.items() if p is not None}
+    for i in parent:
+        chain, at = [], i
+        while at in parent and at not in chain:
+            chain.append(at)
+            at = parent[at]
+        if i not in inner and at is None:
+            want |= {(i, chain[-1], n, m) for n, m in enumerate(reversed(chain))}
+    got = threads.root_to_leaf_paths(spark.createDataFrame(rows, MESSAGES)).collect()
+    assert sorted(map(tuple, got)) == sorted(want) and max(r.step for r in got) > 30
+    assert threads.root_to_leaf_paths(spark.createDataFrame([], MESSAGES)).collect() == []
+
+
 # ---- terms
 
 
@@ -154,11 +177,18 @@ def test_nearest(spark):
         vs[1000 + i] = vs[7]
     df = spark.createDataFrame([(i, v.tolist()) for i, v in vs.items()], "id long, v array<float>")
     got: dict = {}
-    for r in vectors.nearest(df, 3, stripe=64).orderBy("id", "place").collect():
+    for r in vectors.nearest(df, 3, 20, 64, 7).orderBy("id", "place").collect():
         got.setdefault(r.id, []).append(r.other_id)
     assert got == plain_nearest(vs, 3)
 
 
+def test_stripes_and_slots(spark):
+    assert [vectors.stripes(n, 6, 6144, 32_768) for n in (0, 10, 50_000, 10**6, 10**7)] == [1, 1, 7, 31, 306]
+    keys = vectors.even_keys(spark, 300)
+    at = {r.p for r in spark.createDataFrame([(k,) for k in keys], "k long").select(F.pmod(F.hash("k"), F.lit(300)).alias("p")).collect()}
+    assert at == set(range(300))
+
+
 def test_unusable_vectors(spark):
     rows = [(1, "r2", [1.0, 0.0]), (1, "r2", [1.0, 0.0]), (2, "r2", [0.9, 0.1]), (3, "r1", [1.0, 0.0]), (4, "r2", None), (5, "r2", [0.0, 0.0]), (6, "r2", []), (7, "r2", [float("nan"), 1.0]), (8, "r2", [None, 1.0]), (9, "r2", [1.0, 2.0, 3.0]), (None, "r2", [1.0, 1.0])]
     df = spark.createDataFrame(rows, "e long, revision string, vec array<float>")
@@ -294,6 +324,33 @@ def test_boundaries_are_optimal():
     assert packing.boundaries({}, 3) == []
 
 
+def test_batches_stay_inside_their_bucket(spark):
+    rng = random.Random(3)
+    items = [(i, rng.randrange(1, 300)) for i in range(800)]
+    out = packing.pack(spark.createDataFrame(items, "id long, n_tokens long"), 256, 12, 100, mixed=False).collect()
+    by: dict = {}
+    for r in out:
+        by.setdefault(r.container_id, []).append(r)
+    for rows in by.values():
+        b = rows[0].bucket
+        assert {r.bucket for r in rows} == {b} and len(rows) * b <= 256
+        assert sorted(r.start for r in rows) == [b * n for n in range(len(rows))]
+    n = Counter(r.bucket for r in out)
+    assert len(by) == sum(-(-c // (256 // b)) for b, c in n.items()) and sum(r.n_tokens for r in out) == sum(n for _, n in items)
+
+
+def test_every_document_is_packed_once(spark):
+    """p8_containers and p8_assignment say the same, and every token is in one container."""
+    if not Path(SF).exists():
+        pytest.skip("no test tables")
+    a, c = llm.queries["p8_assignment"](spark, SF).toPandas(), llm.queries["p8_containers"](spark, SF).toPandas().set_index("container_id")
+    counts = token_counts(spark.read.parquet(f"{SF}/documents.parquet")).toPandas()
+    assert a.groupby("doc_id").n_tokens.sum().sort_index().tolist() == counts.groupby("id").n_tokens.sum().sort_index().tolist()
+    used = a.dropna(subset=["container_id"]).groupby("container_id").n_tokens.agg(["size", "sum"])
+    assert used["size"].to_dict() == c.n_pieces.to_dict() and used["sum"].to_dict() == c.n_tokens.to_dict() and used["sum"].max() <= 2048
+    assert (c.room == 2048 - c.n_tokens).all() and set(a[a.piece > 0].doc_id) == set(counts[counts.n_tokens > 2048].id)
+
+
 def test_pack(spark):
     rng = random.Random(2)
     items = [(i, rng.choice([0, None, rng.randrange(1, 120), 30, 30, 30, rng.randrange(1, 700)])) for i in range(1500)] + [(5, 40), (7, 256)]
@@ -370,6 +427,27 @@ def test_leak_disguises(spark):
     assert cleaned[14][0] == "cut" and "word3" not in cleaned[14][1] and len(cleaned[14][1]) >= 60000
 
 
+def test_leaks_behind_long_markup_and_instructions(spark):
+    p = [f"word{i}" for i in range(30)]
+    items = spark.createDataFrame([(3, "Question 3. Read the text below and answer.\n" + " ".join(p))], "item_id long, text string")
+    texts = [f'<a href="https://x.example/{"q" * 900}">'.join(["", *(w + " " for w in p)]), "".join(f"[{w}](https://x.example/{'q' * 900}) " for w in p), " ".join(p[:13]) + " read the text below and answer", "question 3 read the text below and answer " + " ".join(p[:7])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in leaks.leaks(docs, items).collect()) == [0, 1]
+
+
+def test_blocks_of_items_make_no_difference(spark, monkeypatch):
+    rng = random.Random(2)
+    vocab = [f"w{i}" for i in range(300)]
+    passages = [[rng.choice(vocab) for _ in range(40)] for _ in range(9)]
+    docs = spark.createDataFrame([(d, " ".join([*rng.choices(vocab, k=9), *passages[d % 9][: rng.choice([10, 20, 40])], "und", *passages[(d + 1) % 9][5:25]])) for d in range(40)] + [(40, None), (41, ""), (None, " ".join(passages[0]))], "doc_id long, text string")
+    items = spark.createDataFrame([(i, "Read this.\n" + " ".join(w)) for i, w in enumerate(passages)], "item_id long, text string")
+    both = []
+    for n in (2_000_000, 90):
+        monkeypatch.setattr(leaks, "BLOCK_WORDS", n)
+        both.append((sorted(map(str, leaks.leaks(docs, items).collect())), sorted(map(str, leaks.remove_leaks(docs, items).collect()))))
+    assert both[0] == both[1] and len(both[0][0]) > 40 and len(both[0][1]) == 43
+
+
 def test_every_stretch_of_an_item_is_cut(spark):
     p = [f"word{i}" for i in range(40)]
     own = lambda n, x: [f"{x}{i}" for i in range(n)]

@@ -58,6 +58,19 @@ def p1_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("id").alias("message_id"), "conversation_id", state.alias("state"))
 
 
+@llm.query(
+    "p1_paths",
+    _PLACED
+    + """, node AS (SELECT id, root, depth FROM walk), up AS (SELECT n.id, c.reply_to_id AS parent FROM node n JOIN cur c ON c.id = n.id WHERE n.depth > 0),
+leaf AS (SELECT * FROM node WHERE id NOT IN (SELECT parent FROM up)),
+path AS (SELECT id AS leaf_id, root AS conversation_id, depth AS step, id AS message_id FROM leaf
+  UNION ALL SELECT leaf_id, conversation_id, step - 1, up.parent FROM path JOIN up ON up.id = path.message_id)
+SELECT * FROM path""",
+)
+def p1_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return threads.root_to_leaf_paths(table(spark, sf_dir, "messages"))
+
+
 # ---- 4: terms
 
 _TERMS = r"""WITH seen AS (SELECT DISTINCT lower(regexp_replace(term, '^[\s\p{Z}]+|[\s\p{Z}]+$', '', 'g')) AS term, exchange_id, term AS spelled, coalesce(tech, 0) AS tech, coalesce("off", 0) AS off_
@@ -115,6 +128,12 @@ def p8_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
 
+@llm.query("p8_buckets")
+def p8_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Batches strictly inside each bucket."""
+    return packing.pack_documents(table(spark, sf_dir, "documents"), mixed=False)
+
+
 @llm.query("p8_containers")
 def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = packing.pack_documents(table(spark, sf_dir, "documents")).where(F.col("container_id").isNotNull())

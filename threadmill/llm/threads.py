@@ -57,7 +57,7 @@ def resolve_roots(nodes: DataFrame, max_rounds: int = 64) -> DataFrame:
     work = settle(first.select("id", "ptr", state.alias("state"), F.lit(1).cast("long").alias("depth")), "roots")
     done, left = [work.where(F.col("state").isNotNull())], work.where(F.col("state").isNull())
     n = left.count()
-    for _ in range(max_rounds):
+    for _ in range(max_rounds):  # 3^64 is beyond any chain: it is cycles that end the loop
         if not n:
             break
         known = left
@@ -136,3 +136,27 @@ def conversations(messages: DataFrame) -> DataFrame:
     ).select(F.col("conversation_id").alias("kept_id"), "opener")
     role = F.when(F.col("bot"), "bot").when(F.col("author_id") == F.col("opener"), "opener").otherwise("replier")
     return placed.join(kept, F.col("conversation_id") == F.col("kept_id")).select("conversation_id", F.col("id").alias("message_id"), F.col("position").cast("long").alias("turn"), role.alias("speaker_role"))
+
+
+def root_to_leaf_paths(messages: DataFrame) -> DataFrame:
+    """Every path from a root to a leaf outside threads, in order: leaf_id, conversation_id, step, message_id.
+
+    A leaf is a message with a root that no other message of its conversation
+    replies to; step counts from 0 at the root.  Ancestors are found by binary
+    lifting over the reply pointers: a place n steps up is reached in as many
+    joins as n has bits, whatever the depth.  Broken chains and cycles have no
+    path; a root that nobody answered is a path of one.  Empty tables give no row.
+    """
+    placed = settle(placed_messages(messages), "placed")
+    nodes = placed.where(F.col("thread_id").isNull() & F.col("conversation_id").isNotNull()).select("id", "conversation_id", "depth", "reply_to_id")
+    parents = nodes.where(F.col("depth") > 0).select(F.col("id").alias("u_id"), F.col("reply_to_id").alias("up"))
+    leaves = nodes.join(parents.select(F.col("up").alias("p_id")).distinct(), F.col("id") == F.col("p_id"), "left_anti")
+    deepest = leaves.agg(F.max("depth").alias("d")).first()["d"] or 0
+    rows = leaves.select(F.col("id").alias("leaf_id"), "conversation_id", F.explode(F.sequence(F.lit(0).cast("long"), "depth")).alias("back"), "depth", F.col("id").alias("at"))
+    lift = settle(parents, "lift")
+    for bit in range(int(deepest).bit_length()):
+        j = rows.join(lift, (F.col("at") == F.col("u_id")) & (F.expr(f"(back >> {bit}) & 1") == 1), "left")
+        rows = settle(j.select("leaf_id", "conversation_id", "back", "depth", F.coalesce("up", "at").alias("at")), "paths")
+        further = lift.select(F.col("u_id").alias("w_id"), F.col("up").alias("w_up"))
+        lift = settle(lift.join(further, F.col("up") == F.col("w_id")).select("u_id", F.col("w_up").alias("up")), "lift")
+    return rows.select("leaf_id", "conversation_id", (F.col("depth") - F.col("back")).alias("step"), F.col("at").alias("message_id"))
