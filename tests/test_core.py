@@ -8,6 +8,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from threadmill.functions import facts as FA
 from threadmill.functions import stats
 from threadmill.functions import text as T
 from threadmill.operators import classify as C
@@ -379,17 +380,53 @@ def test_as_of_ties(spark):
 # ---- statements
 
 
-def test_facts():
-    assert K.facts("It has two GB of RAM, r10k and 1,024 MB in 1996; see `a.conf` v6.5.22m") == [("file", "a.conf"), ("quantity", "2 gb"), ("quantity", "1024 mb"), ("cpu", "r10000"), ("year", "1996")] or ("version", "6.5.22") in K.facts("v 6.5.22m")
-    assert K.check("It has 512 MB", ["mine has 512 megabytes"])[0] == "supported"
-    assert K.check("It has 256 MB", ["mine has 512 megabytes"])[0] == "unsupported_fact"
-    assert K.check("It works", [""])[0] == "uncheckable"
+def facts_in(spark, text, models=None):
+    df = spark.createDataFrame([(text,)], "t string")
+    return {(f.kind, f.value) for f in df.select(FA.facts_of(FA.tokens(F.col("t"), models), models).alias("f")).first().f}
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("It has two GB of RAM", {("quantity", "2 gb")}),
+        ("1,024 MB, 2.50GHz, one gig and 007 kb", {("quantity", "1024 mb"), ("quantity", "2.5 ghz"), ("quantity", "1 gb"), ("quantity", "7 kb")}),
+        ("an r10k in 1996, not 1812", {("cpu", "r10000"), ("year", "1996"), ("number", "1812")}),
+        ("see `a.conf` and \u201cold boot rom\u201d, v 6.5.22m", {("file", "a.conf"), ("quote", "old boot rom"), ("version", "6.5.22")}),
+        ("part 030-0087-003 costs 4k", {("part", "030-0087-003"), ("number", "4000")}),
+        ("two of them, three more, four boards", {("number", "4")}),
+        ("my o200 and <@123> user-ab12 said 10-20", {("model", "origin 200"), ("number", "10"), ("number", "20")}),
+        ("the Lorzan 100 has 3 fans", {("model", "lorzan 100"), ("number", "3")}),
+        ("", set()),
+    ],
+)
+def test_facts(spark, text, want):
+    assert facts_in(spark, text, r"\blorzan [0-9]{3}\b") == want
+
+
+def test_fact_verdicts(spark):
+    rows = [
+        (1, "It has 512 MB", "mine has 512 megabytes"),
+        (2, "It has 256 MB", "mine has 512 megabytes"),
+        (3, "It works", ""),
+        (4, "version 6.5 boots", "version 6.5.22 boots"),
+        (5, "version 6.5.22 boots", "version 6.5 boots"),
+        (6, "seven sockets", "sockets 7 and 8"),
+        (7, "The yellow bicycle costs 20", "it was 20"),
+        (8, "edit `x.ini`", "in x.ini somewhere edit"),
+        (9, None, None),
+        (10, "works nicely", "works nicely indeed"),
+    ]
+    got = {r.id: r.verdict for r in K.check_facts(spark.createDataFrame(rows, "id long, statement string, source string")).collect()}
+    assert got == {1: "supported", 2: "unsupported_fact", 3: "low_overlap", 4: "supported", 5: "unsupported_fact", 6: "supported", 7: "low_overlap", 8: "supported", 9: "uncheckable", 10: "uncheckable"}
 
 
 def test_canonical_and_merge(spark):
-    assert K.canonical("SGI O2®") == "o2" and K.canonical("ＳＧＩ  Indy") == "indy" and K.canonical("IRIX 6.5.22") == "irix6.5.22"
-    tags = spark.createDataFrame([("Octanes",), ("Octane",), ("octane",), ("the Octane machine",), (None,), ("",)], "t string")
-    assert {r.key: r.target for r in K.merge_map(tags, "t").collect()} == {"octanes": "octane", "theoctanemachine": "octane"}
+    forms = {"SGI O2®": "o2", "ＳＧＩ  Indy": "indy", "IRIX 6.5.22": "irix6.5.22", "SGI": "sgi", "$PATH_x": "pathx", "a. b": "ab", "": ""}
+    d = K.compatible(spark.createDataFrame([(t,) for t in forms] + [(None,)], "t string"), "t")
+    assert {r.tag: r.key for r in d.select("tag", K.canonical(F.col("form")).alias("key")).collect()} == forms
+    tags = spark.createDataFrame([("Octanes",), ("Octane",), ("octane",), ("the Octane machine",), ("the Octanes",), (None,), ("",)], "t string")
+    assert {r.key: r.target for r in K.merge_map(tags, "t").collect()} == {"octanes": "octane", "theoctanemachine": "octane", "theoctanes": "octane"}
+    assert K.merge_map(tags.limit(0), "t").collect() == []
 
 
 def test_near_duplicates_random(spark):
@@ -412,6 +449,14 @@ def test_near_duplicates_random(spark):
         assert got[i].n_links == sum(sim(sets[i], sets[j]) and sets[i] != sets[j] for j in sets if j != i)
 
 
+def test_leaders_along_a_chain(spark):
+    n = spark.createDataFrame([(i,) for i in range(1, 30)], "node long")
+    chain = spark.createDataFrame([(i, i + 1) for i in range(1, 20)] + [(3, 28), (2, 28), (20, 21)], "a long, b long")
+    got = {r.node: r.lead for r in K.elect(n, chain).collect()}
+    assert got == {**{i: i if i % 2 else i - 1 for i in range(1, 22)}, **{i: i for i in range(22, 30)}, 28: 3}
+    assert {r.node for r in K.elect(n, chain.limit(0)).collect()} == set(range(1, 30))
+
+
 def test_greedy_groups_random(spark):
     rng = random.Random(4)
     rows = [(rng.choice("ab"), i, sorted({f"w{rng.randrange(9)}" for _ in range(rng.randrange(0, 5))})) for i in range(120)]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import facts as FA
 from ..functions import text as T
 from ..functions.stats import cosine
 from ..operators import claims as K
@@ -39,9 +40,63 @@ def claim_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _replies(spark, sf_dir).select("id", F.round(K.overlap(F.col("statement"), F.col("source"), ("linker", "kernel")), 9).alias("overlap"))
 
 
-@CORE.query("fact_checks")
+#: Stand-in for a list of machine names: a word and three digits.
+MODELS = r"\b[a-z]{4,} [0-9]{3}\b"
+_PLAIN = """translate(lower({}), '“”’', '""''')"""
+
+
+def _sql_map(table: dict) -> str:
+    return "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in table.items()) + "}"
+
+
+def _sql_in(values) -> str:
+    return ", ".join(f"'{v}'" for v in values)
+
+
+def _sql_tokens(col: str) -> str:
+    """The tokens of a text in SQL, numbers in one form."""
+    token = FA.TOKEN.replace("\\x27", "''")
+    raw = f"regexp_extract_all({_PLAIN.format(col)}, '(?:{MODELS})|{token}')"
+    return f"""list_transform({raw}, lambda t, i: CASE WHEN regexp_full_match(t, '[0-9]{{1,3}}(,[0-9]{{3}})+') THEN replace(t, ',', '')
+  WHEN t IN ({_sql_in(FA.NUMBERS)}) AND coalesce({raw}[i + 1] NOT IN ({_sql_in(FA.VAGUE)}), true) THEN {_sql_map(FA.NUMBERS)}[t] WHEN t = 'one' AND {raw}[i + 1] IN ({_sql_in(FA.UNITS)}) THEN '1'
+  WHEN regexp_full_match(t, '[0-9]{{1,15}}k') THEN (CAST(left(t, -1) AS BIGINT) * 1000)::VARCHAR WHEN regexp_full_match(t, 'r[0-9]{{1,2}}k') THEN 'r' || (CAST(substring(t, 2, length(t) - 2) AS BIGINT) * 1000)
+  WHEN regexp_full_match(t, 'o[0-9]{{3,4}}') THEN 'origin ' || substring(t, 2) ELSE t END)"""
+
+
+def _sql_amount(x: str) -> str:
+    """A decimal without zeros that say nothing."""
+    return rf"(CASE WHEN contains({x}, '.') THEN regexp_replace(regexp_replace({x}, '^0+([0-9])', '\1'), '\.?0+$', '') ELSE regexp_replace({x}, '^0+([0-9])', '\1') END)"
+
+
+def _sql_facts(col: str) -> str:
+    """The facts of a list of tokens in SQL."""
+    unit, joined = _sql_map(FA.UNITS), r"regexp_extract(t, '^[0-9]+(?:\.[0-9]+)?([a-z]+)$', 1)"
+    fact = lambda kind, value: f"{{'kind': '{kind}', 'value': {value}}}"
+    return rf"""list_distinct(list_filter(list_transform({col}, lambda t, i: CASE
+  WHEN t LIKE '`_%' THEN {fact('file', 'substring(t, 2, length(t) - 2)')} WHEN t LIKE '"_%' THEN {fact('quote', 'substring(t, 2, length(t) - 2)')}
+  WHEN regexp_full_match(t, '[0-9]{{3}}-[0-9]{{4}}-[0-9]{{3}}') THEN {fact('part', 't')}
+  WHEN regexp_full_match(t, '{MODELS}') OR regexp_full_match(t, 'origin [0-9]{{3,4}}') THEN {fact('model', "regexp_replace(t, '[ ]+', ' ', 'g')")}
+  WHEN regexp_full_match(t, '[0-9]+(\.[0-9]+)?') AND {unit}[{col}[i + 1]] IS NOT NULL THEN {fact('quantity', _sql_amount('t') + f" || ' ' || {unit}[{col}[i + 1]]")}
+  WHEN {unit}[{joined}] IS NOT NULL THEN {fact('quantity', _sql_amount("regexp_extract(t, '^[0-9.]+')") + f" || ' ' || {unit}[{joined}]")}
+  WHEN regexp_full_match(t, '[0-9]+(\.[0-9]+)+[mf]?') THEN {fact('version', "regexp_replace(t, '[mf]$', '')")}
+  WHEN regexp_full_match(t, 'r[0-9]{{3,5}}') THEN {fact('cpu', 't')} WHEN regexp_full_match(t, '19[6-9][0-9]|20[0-2][0-9]') THEN {fact('year', 't')}
+  WHEN regexp_full_match(t, '[0-9]+') THEN {fact('number', 't')} END), lambda x: x IS NOT NULL))"""
+
+
+@CORE.query(
+    "fact_checks",
+    _REPLIES
+    + f""", tok AS (SELECT id, statement, source, {_sql_tokens('statement')} AS a, {_sql_tokens('source')} AS b FROM r),
+fac AS (SELECT id, statement, {_PLAIN.format('source')} AS src, {_sql_facts('a')} AS mine, {_sql_facts('b')} AS known, flatten(list_transform(b, lambda t: regexp_extract_all(t, '[0-9]+'))) AS digits FROM tok),
+lost AS (SELECT id, len(mine) AS n_facts, len(list_filter(mine, lambda f: NOT CASE WHEN f.kind IN ('file', 'quote') THEN contains(src, f.value) WHEN f.kind = 'number' THEN list_contains(digits, f.value)
+  ELSE len(list_filter(known, lambda k: k.kind = f.kind AND (k.value = f.value OR f.kind = 'version' AND starts_with(k.value, f.value || '.') OR f.kind = 'model' AND (starts_with(k.value, f.value) OR starts_with(f.value, k.value))))) > 0 END)) AS n_missing FROM fac),
+m AS (SELECT id, unnest(list_filter(regexp_extract_all(lower(statement), '[a-z][a-z0-9]{{2,}}'), lambda t: t NOT IN ({_STOP}))) AS w FROM r),
+s AS (SELECT DISTINCT id, {_STEM} AS st FROM (SELECT id, unnest(regexp_extract_all(lower(source), '[a-z][a-z0-9]{{2,}}')) AS w FROM r)),
+g AS (SELECT m.id, count(*) AS total, count(s.id) AS got FROM (SELECT id, w, {_STEM} AS st FROM m) m LEFT JOIN s ON s.id = m.id AND s.st = m.st GROUP BY m.id)
+SELECT lost.id, CASE WHEN n_missing > 0 THEN 'unsupported_fact' WHEN coalesce(got / total, 1) < 0.25 THEN 'low_overlap' WHEN n_facts > 0 THEN 'supported' ELSE 'uncheckable' END AS verdict, n_facts, n_missing, round(coalesce(got / total, 1), 9)::DOUBLE AS overlap FROM lost LEFT JOIN g USING (id)""",
+)
 def fact_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return K.check_facts(_replies(spark, sf_dir))
+    return K.check_facts(_replies(spark, sf_dir), models=MODELS).withColumn("overlap", F.round("overlap", 9))
 
 
 @CORE.query(
@@ -95,6 +150,13 @@ def near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CORE.query(
     "claim_groups",
+    f"""WITH RECURSIVE {SQL_EM}, c AS (SELECT CAST(channel_id AS VARCHAR) AS topic, id AS claim, {SQL_CLAIM.replace('@c', 'content')} AS w, row_number() OVER (PARTITION BY channel_id ORDER BY id) AS no FROM em),
+walk AS (
+  SELECT topic, no, claim, claim AS lead, [{{'id': claim, 'w': w}}] AS leads FROM c WHERE no = 1
+  UNION ALL SELECT topic, no, claim, coalesce(hit, claim), CASE WHEN hit IS NULL THEN list_append(leads, {{'id': claim, 'w': w}}) ELSE leads END
+  FROM (SELECT c.topic, c.no, c.claim, c.w, walk.leads, list_filter(walk.leads, lambda l: len(c.w) > 0 AND len(l.w) > 0 AND len(list_intersect(l.w, c.w)) / (len(l.w) + len(c.w) - len(list_intersect(l.w, c.w))) >= 0.5)[1].id AS hit
+    FROM walk JOIN c ON c.topic = walk.topic AND c.no = walk.no + 1))
+SELECT topic, claim, lead FROM walk""",
 )
 def claim_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = exchange_messages(spark, sf_dir).select(F.col("channel_id").cast("string").alias("topic"), F.col("id").alias("claim"), T.claim_tokens(F.col("content")).alias("words"))
@@ -147,7 +209,32 @@ def display_names(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.display_names(t, "key", "term")
 
 
-@CORE.query("tag_merges")
+def _sql_key(c: str) -> str:
+    """A tag's key in SQL; points between digits are kept by way of a sign that no tag holds."""
+    low = rf"""ltrim(trim(lower(regexp_replace({c}, '[®™©*"''`‘’“”]|\(\)', '', 'g'))), '$')"""
+    own = rf"regexp_replace({low}, '^(?:{'|'.join(K.VENDORS)})\s+(\S)', '\1')"
+    packed = rf"regexp_replace({own}, '[\s_/–—-]+', '', 'g')"
+    kept = rf"regexp_replace(regexp_replace({packed}, '([0-9])\.([0-9])', '\1§\2', 'g'), '([0-9])\.([0-9])', '\1§\2', 'g')"
+    return f"replace(replace({kept}, '.', ''), '§', '.')"
+
+
+_PLURAL = "length(s) >= 3 AND regexp_matches(s, '[^ s]s$')"
+
+
+@CORE.query(
+    "tag_merges",
+    rf"""WITH RECURSIVE f AS (SELECT trim(term) AS tag, {_sql_key('trim(term)')} AS key, count(*) AS n FROM mined_terms WHERE trim(term) <> '' GROUP BY 1, 2),
+k AS (SELECT key, CAST(sum(n) AS BIGINT) AS n, arg_min(tag, (-n, tag)) AS s FROM f WHERE key <> '' GROUP BY key),
+v AS (SELECT key, n, 0 AS place, regexp_replace(key, '[^\x00-\x7f]', '', 'g') AS w FROM k
+  UNION ALL SELECT key, n, 1, regexp_extract(s, '(?i)^(?:the\s+)?(.+?)\s+(?:{'|'.join(K.GENERIC)})s?$', 1) FROM k
+  UNION ALL SELECT key, n, 2, regexp_extract(s, '(?i)^the\s+(.+)$', 1) FROM k
+  UNION ALL SELECT key, n, 3, left(s, -1) FROM k WHERE {_PLURAL}
+  UNION ALL SELECT key, n, 4, CASE WHEN suffix(s, 'ies') THEN left(s, -3) || 'y' WHEN suffix(s, 'es') THEN left(s, -2) END FROM k WHERE {_PLURAL}),
+c AS (SELECT key, n, place, {_sql_key('w')} AS target FROM v WHERE w <> ''),
+step AS (SELECT c.key, arg_min(c.target, place) AS target FROM c JOIN k t ON t.key = c.target WHERE c.target <> c.key AND t.n >= 0.25 * c.n GROUP BY c.key),
+chain AS (SELECT key, target, 1 AS d FROM step UNION ALL SELECT chain.key, step.target, d + 1 FROM chain JOIN step ON step.key = chain.target)
+SELECT key, arg_max(target, d) AS target FROM chain GROUP BY key""",
+)
 def tag_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.merge_map(table(spark, sf_dir, "mined_terms").where("trim(term) <> ''").select(F.trim("term").alias("term")), "term")
 
