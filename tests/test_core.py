@@ -264,67 +264,103 @@ def test_ledger_entries_are_exclusive(spark, ledger):
 # ---- grouping
 
 
-def plain_groups(ms, gap, fold, small, most):
-    """Groups by the book: threads, reply components, quiet gaps, folding, splitting."""
-    parent = {}
-
-    def root(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
-
+def plain_groups(ms, gap, fold, small, most, overlap=2):
+    """Groups by the book, one channel after the other: threads, reply components, quiet gaps, folding, splitting."""
     out = []
-    by_channel = {}
-    for m in ms:
-        by_channel.setdefault(m["channel_id"], []).append(m)
-    for c, rows in by_channel.items():
-        rows = sorted(rows, key=lambda m: (m["us"], m["id"]))
-        groups, pool = {}, []
+    for c in sorted({m["channel_id"] for m in ms}):
+        rows = sorted((m for m in ms if m["channel_id"] == c), key=lambda m: (m["us"], m["id"]))
+        label = {m["id"]: ("t", m["thread_id"]) if m["thread_id"] is not None else ("r", m["id"]) for m in rows}
+        pool = [m for m in rows if m["thread_id"] is None]
+        ids = {m["id"] for m in pool}
+        changed = True
+        while changed:  # labels flow along replies until nothing moves
+            changed = False
+            for m in pool:
+                if m["reply_to_id"] in ids:
+                    low = min(label[m["id"]], label[m["reply_to_id"]])
+                    if {label[m["id"]], label[m["reply_to_id"]]} != {low}:
+                        label[m["id"]] = label[m["reply_to_id"]] = low
+                        changed = True
+        sizes = pd.Series([label[m["id"]] for m in rows]).value_counts()
+        n, last = 0, None
+        for m in pool:
+            if sizes[label[m["id"]]] == 1:
+                n += last is not None and m["us"] - last > gap
+                last = m["us"]
+                label[m["id"]] = ("q", n)
+        line = []  # [kind, messages] in order of the first message
         for m in rows:
-            if m["thread_id"] is not None:
-                groups.setdefault(("thread", m["thread_id"]), []).append(m)
+            held = next((g for g in line if g[0] == label[m["id"]]), None)
+            held[1].append(m) if held else line.append([label[m["id"]], [m]])
+        done = []
+        while line:
+            kind, mine = line.pop(0)
+            best = None
+            if fold is not None and len(mine) <= small and kind[0] != "t":
+                for side, other in ((0, done[-1] if done else None), (1, line[0] if line else None)):
+                    if other is None or len(other[1]) <= small or len(other[1]) + len(mine) > most:
+                        continue
+                    away = mine[0]["us"] - max(m["us"] for m in other[1]) if side == 0 else other[1][0]["us"] - max(m["us"] for m in mine)
+                    a, b = {m["id"] for m in mine}, {m["id"] for m in other[1]}
+                    kin = any(m["reply_to_id"] in b for m in mine) or any(m["reply_to_id"] in a for m in other[1])
+                    if away <= fold and (kin or other[0][0] != "t"):
+                        best = min(filter(None, [best, (not kin, max(away, 0), side, other)]), key=lambda x: x[:3])
+            if best:
+                best[3][1].extend(mine)
+                best[3][1].sort(key=lambda m: (m["us"], m["id"]))
             else:
-                pool.append(m)
-        parent = {m["id"]: m["id"] for m in pool}
-        for m in pool:
-            if m["reply_to_id"] in parent and m["reply_to_id"] != m["id"]:
-                parent[root(m["id"])] = root(m["reply_to_id"])
-        comp = {}
-        for m in pool:
-            comp.setdefault(root(m["id"]), []).append(m)
-        rest = sorted((m for g in comp.values() if len(g) == 1 for m in g), key=lambda m: (m["us"], m["id"]))
-        groups.update({("reply_chain", k): g for k, g in comp.items() if len(g) > 1})
-        n = 0
-        for i, m in enumerate(rest):
-            n += i > 0 and m["us"] - rest[i - 1]["us"] > gap
-            groups.setdefault(("quiet_gap", n), []).append(m)
-        table = pd.DataFrame([{"id": m["id"], "us": m["us"], "reply_to_id": m["reply_to_id"], "rule": k[0], "key": str(k)} for k, g in groups.items() for m in g])
-        f = G.fold_and_split(table, fold, small, most, 2)
-        out += [(c, *r) for r in f.itertuples(index=False, name=None)]
-    return out
-
-
-def test_groups_random(spark):
-    rng = random.Random(5)
+                done.append([kind, mine])
+        for _, g in done:
+            before = []
+            while g:
+                cut = len(g) if len(g) <= most else max(range(1, most + 1), key=lambda i: (g[i]["us"] - g[i - 1]["us"], i))
+                part, g = g[:cut], g[cut:]
+                out += [(c, m["id"], part[0]["id"], i, False) for i, m in enumerate(part)]
+                out += [(c, m["id"], part[0]["id"], i - len(before), True) for i, m in enumerate(before)]
+                before = part[-overlap:]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed, fold, small, most, chunk", [(1, 120, 1, 12, 50_000), (2, 120, 1, 4, 7), (3, 400, 2, 9, 5), (4, 30, 1, 3, 50_000), (5, 2000, 1, 5, 11), (6, 90, 3, 6, 3), (7, 60, 1, 2, 50_000)])
+def test_final_groups_random(spark, monkeypatch, seed, fold, small, most, chunk):
+    monkeypatch.setattr(G, "CHUNK_ROWS", chunk)
+    rng = random.Random(seed)
     ms = []
-    for i in range(1, 260):
-        ms.append({"id": i, "channel_id": rng.choice([1, 1, 2]), "us": int(rng.randrange(0, 3000) * 60e6), "author_id": rng.randrange(4), "reply_to_id": rng.choice([None, None, 999, rng.randrange(1, i + 1)]), "thread_id": rng.choice([None] * 6 + [1001])})
+    for i in range(1, 320):
+        ms.append({"id": i, "channel_id": rng.choice([1, 1, 2, 3]), "us": int(rng.randrange(0, 6000) * 60e6), "author_id": rng.randrange(4), "reply_to_id": rng.choice([None, None, None, 999, rng.randrange(1, i + 1), i + 1]), "thread_id": rng.choice([None] * 6 + [1001, 1002 + i % 40])})
     df = spark.createDataFrame([tuple(m.values()) for m in ms], "id long, channel_id long, us long, author_id long, reply_to_id long, thread_id long")
     keys = G.exchange_keys(df, int(30 * 60e6))
-    got = G.final_groups(df, keys, int(120 * 60e6), 1, 12, 2).collect()
-    want = plain_groups(ms, 30 * 60e6, 120 * 60e6, 1, 12)
-    assert sorted(map(tuple, got), key=repr) == sorted(((c, int(i), int(p), int(k), bool(x)) for c, i, p, k, x in want), key=repr)
-    own = [r for r in got if not r.is_context]
-    assert sorted(r.id for r in own) == [m["id"] for m in ms]  # every message in exactly one group
-    sizes = pd.Series([(r.channel_id, r.part) for r in own]).value_counts()
-    assert sizes.max() <= 12
-
-
-def test_split_takes_the_latest_of_equal_gaps():
-    rows = pd.DataFrame({"id": range(6), "us": [i * 10 for i in range(6)], "reply_to_id": None, "rule": "quiet_gap", "key": "k"})
-    f = G.fold_and_split(rows, None, 1, 3, 1)
-    assert f[~f.is_context].groupby("part").id.apply(list).tolist() == [[0, 1, 2], [3, 4, 5]]
-    assert f[f.is_context].values.tolist() == [[2, 3, -1, True]]
+    got = sorted(tuple(r) for r in G.final_groups(df, keys, int(fold * 60e6), small, most, 2).collect())
+    assert got == plain_groups(ms, 30 * 60e6, fold * 60e6, small, most)
+    own = [r for r in got if not r[4]]
+    assert sorted(r[1] for r in own) == [m["id"] for m in ms]  # every message in exactly one group
+    assert pd.Series([r[2] for r in own]).value_counts().max() <= most
+
+
+def test_groups_of_one_large_channel(spark):
+    """One group of 3,000 messages, cut across blocks; equal gaps: the latest counts."""
+    rng = random.Random(3)
+    us, rows = 0, []
+    for i in range(3000):
+        us += rng.choice([1, 1, 2, 5])
+        rows.append((0, us, i))
+    got = {r.id: (r.part, r.position) for r in G.split(spark.createDataFrame(rows, "key int, us long, id long"), 50, 0, rows=64).collect()}
+    want, rest = {}, rows
+    while rest:
+        cut = len(rest) if len(rest) <= 50 else max(range(1, 51), key=lambda i: (rest[i][1] - rest[i - 1][1], i))
+        want |= {r[2]: (rest[0][2], n) for n, r in enumerate(rest[:cut])}
+        rest = rest[cut:]
+    assert got == want
+
+
+def test_long_groups_are_hashed_in_parts(spark, monkeypatch):
+    import hashlib
+
+    sha = lambda x: hashlib.sha256(x.encode()).hexdigest()
+    monkeypatch.setattr(G, "HASH_ROWS", 4)
+    df = spark.createDataFrame([("a", 3, 1), ("a", 2, 9), ("a", 2, 5), *(("b", i, i) for i in range(6))], "key string, us long, id long")
+    got = {r["key"]: (r.n, r.content_hash) for r in G.content_hash(df, "key").collect()}
+    assert got == {"a": (3, sha("5,9,1")), "b": (6, sha(sha("0,1,2,3") + "," + sha("4,5")))}
 
 
 def test_reply_cycles(spark):

@@ -137,12 +137,13 @@ def head_score(v: Column, mean: np.ndarray, scale: np.ndarray, w: np.ndarray, b:
     return 1 / (1 + F.exp(-z))
 
 
-def rule_score(messages: DataFrame, patterns: dict[str, tuple[str, float]], terms: str) -> DataFrame:
+def rule_score(messages: DataFrame, patterns: dict[str, tuple[str, float]], terms: str, agreed: Column | None = None) -> DataFrame:
     """A score from 0 to 1 of every exchange with the reasons that made it: xid, score, reasons.
 
     Weights are fixed values: terms 0.15 each up to 0.45, the given patterns,
-    0.2 for an answered question, 0.05 for a thread, 0.1 from 400 characters,
-    -0.2 for mostly tiny messages, -0.1 for laughter.
+    0.2 for an answered question, 0.05 where a message is ``agreed`` to, 0.05
+    for a thread, 0.1 from 400 characters, -0.2 for mostly tiny messages, then
+    patterns of negative weight, -0.1 for laughter.
     """
     from .relational import answered
 
@@ -156,16 +157,19 @@ def rule_score(messages: DataFrame, patterns: dict[str, tuple[str, float]], term
         F.count_if(tiny).alias("tiny"),
         F.count_if(laugh).alias("laugh"),
         F.max(F.col("thread_id").isNotNull()).alias("thread"),
+        F.max(F.lit(False) if agreed is None else agreed).alias("agreed"),
         *(F.max(c.rlike(p)).alias(f"p_{name}") for name, (p, _) in patterns.items()),
     )
     g = g.join(answered(messages).withColumn("answered", F.lit(True)), "xid", "left")
     signals = [
         (F.col("terms") > 0, "domain_terms", F.least(F.lit(0.45), F.col("terms") * 0.15)),
-        *((F.col(f"p_{name}"), name, F.lit(w)) for name, (_, w) in patterns.items()),
+        *((F.col(f"p_{name}"), name, F.lit(w)) for name, (_, w) in patterns.items() if w >= 0),
         (F.coalesce("answered", F.lit(False)), "answered_question", F.lit(0.2)),
+        (F.col("agreed"), "agreed_answer", F.lit(0.05)),
         (F.col("thread"), "thread", F.lit(0.05)),
         (F.col("chars") + F.col("n") - 1 >= 400, "substantial", F.lit(0.1)),
         ((F.col("n") > 1) & (F.col("tiny") / F.col("n") > 0.7), "mostly_tiny_messages", F.lit(-0.2)),
+        *((F.col(f"p_{name}"), name, F.lit(w)) for name, (_, w) in patterns.items() if w < 0),
         (F.col("laugh") / F.col("n") > 0.3, "laughter", F.lit(-0.1)),
     ]
     reasons = F.array_compact(F.array(*(F.when(test, F.struct(F.lit(name).alias("name"), w.alias("weight"))) for test, name, w in signals)))

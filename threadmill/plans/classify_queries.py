@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions import text as T
 from ..operators import classify as C
+from ..operators.lexicon import load_rules
 from ..operators.relational import round_robin
 from ..storage import settle, table
 from .base import SQL_CUR, SQL_EM, current, exchange_messages
@@ -16,22 +17,30 @@ from .text_queries import SQL_WORDS
 
 #: Stand-in rules for this archive's invented content (a parameter of the operators).
 TERMS = r"\b(?:compiler|linker|kernel|router|firewall|capacitor|mainboard|debugger|makefile|gateway)\b"
-PATTERNS = {"version": (r"\d+\.\d+\.\d+", 0.2), "part_number": (r"\d{3}-\d{4}-\d{3}", 0.3), "code": (r"`", 0.15), "link": (r"https?://", 0.15)}
-
+PATTERNS = {
+    "version": (r"[0-9]+\.[0-9]+\.[0-9]+", 0.2), "part_number": (r"[0-9]{3}-[0-9]{4}-[0-9]{3}", 0.3), "unix_path": (r"(^|\s)/[a-zA-Z0-9._-]+/[a-zA-Z0-9._/-]+", 0.15), "code": (r"`", 0.15),
+    "archive_link": (r"https?://(wiki|archive)\.", 0.15), "pdf_attachment": (r"\.pdf\b", 0.15), "gif_links": (r"https?://\S+\.gif\b", -0.1),
+}
+#: Stand-in for agreeing reactions: a sign in a message that isn't an exchange's first.
+AGREED = "🙂"
+
+_ORDER = ["version", "part_number", "unix_path", "code", "archive_link", "pdf_attachment"]
+_REASONS = [
+    ("terms > 0", "domain_terms", "least(0.45, terms * 0.15)"), *((f"p_{n}", n, str(PATTERNS[n][1])) for n in _ORDER), ("xid IN (SELECT xid FROM ans)", "answered_question", "0.2"), ("agreed", "agreed_answer", "0.05"), ("thread", "thread", "0.05"),
+    ("chars + n - 1 >= 400", "substantial", "0.1"), ("n > 1 AND tiny / n > 0.7", "mostly_tiny_messages", "-0.2"), ("p_gif_links", "gif_links", "-0.1"), ("laugh / n > 0.3", "laughter", "-0.1"),
+]
 _SCORE = f"""WITH {SQL_EM}, f AS (SELECT *, regexp_extract_all(lower(content), '{TERMS}') AS t FROM em),
 g AS (SELECT xid, count(*) AS n, len(list_distinct(flatten(list(t)))) AS terms, sum(length(content)) AS chars, count_if(length(trim(content)) < 20) AS tiny,
-  count_if(regexp_matches(lower(trim(content)), '^[^\\p{{L}}\\p{{N}}_]*(?:lol+|lmao+|rofl|ha(?:ha)+|hehe+|xd+|kek)[^\\p{{L}}\\p{{N}}_]*$')) AS laugh, bool_or(thread_id IS NOT NULL) AS thread,
-  bool_or(regexp_matches(content, '\\d+\\.\\d+\\.\\d+')) AS version, bool_or(regexp_matches(content, '\\d{{3}}-\\d{{4}}-\\d{{3}}')) AS part, bool_or(contains(content, '`')) AS code, bool_or(regexp_matches(content, 'https?://')) AS link FROM f GROUP BY xid),
+  count_if(regexp_matches(lower(trim(content)), '^[^\\p{{L}}\\p{{N}}_]*(?:lol+|lmao+|rofl|ha(?:ha)+|hehe+|xd+|kek)[^\\p{{L}}\\p{{N}}_]*$')) AS laugh, bool_or(thread_id IS NOT NULL) AS thread, bool_or(position > 0 AND contains(content, '{AGREED}')) AS agreed,
+  {", ".join(f"bool_or(regexp_matches(content, '{p}')) AS p_{n}" for n, (p, _) in PATTERNS.items())} FROM f GROUP BY xid),
 ans AS (SELECT DISTINCT q.xid FROM em q JOIN em a ON a.xid = q.xid AND a.position > q.position AND a.author_id <> q.author_id WHERE contains(q.content, '?') AND length(trim(a.content)) >= 40),
-s AS (SELECT xid, CASE WHEN terms > 0 THEN least(0.45, terms * 0.15) ELSE 0 END + CASE WHEN version THEN 0.2 ELSE 0 END + CASE WHEN part THEN 0.3 ELSE 0 END + CASE WHEN code THEN 0.15 ELSE 0 END + CASE WHEN link THEN 0.15 ELSE 0 END
-  + CASE WHEN xid IN (SELECT xid FROM ans) THEN 0.2 ELSE 0 END + CASE WHEN thread THEN 0.05 ELSE 0 END + CASE WHEN chars + n - 1 >= 400 THEN 0.1 ELSE 0 END + CASE WHEN n > 1 AND tiny / n > 0.7 THEN -0.2 ELSE 0 END + CASE WHEN laugh / n > 0.3 THEN -0.1 ELSE 0 END AS raw,
-  concat_ws(' ', CASE WHEN terms > 0 THEN 'domain_terms' END, CASE WHEN version THEN 'version' END, CASE WHEN part THEN 'part_number' END, CASE WHEN code THEN 'code' END, CASE WHEN link THEN 'link' END, CASE WHEN xid IN (SELECT xid FROM ans) THEN 'answered_question' END,
-  CASE WHEN thread THEN 'thread' END, CASE WHEN chars + n - 1 >= 400 THEN 'substantial' END, CASE WHEN n > 1 AND tiny / n > 0.7 THEN 'mostly_tiny_messages' END, CASE WHEN laugh / n > 0.3 THEN 'laughter' END) AS reasons FROM g),
+s AS (SELECT xid, {" + ".join(f"CASE WHEN {test} THEN {w} ELSE 0 END" for test, _, w in _REASONS)} AS raw, concat_ws(' ', {", ".join(f"CASE WHEN {test} THEN '{name}' END" for test, name, _ in _REASONS)}) AS reasons FROM g),
 scored AS (SELECT xid, round(greatest(0, least(1, raw)), 4)::DOUBLE AS score, reasons FROM s)"""
 
 
 def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return C.rule_score(settle(exchange_messages(spark, sf_dir), "em"), PATTERNS, TERMS)
+    agreed = (F.col("position") > 0) & F.col("content").contains(AGREED)
+    return C.rule_score(exchange_messages(spark, sf_dir), load_rules(PATTERNS)[0], TERMS, agreed)
 
 
 @CORE.query("rule_score", _SCORE + " SELECT xid, score, reasons FROM scored")

@@ -6,56 +6,25 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import bucket
-from ..functions.times import micros
 from ..operators import grouping as G
 from ..storage import settle
-from .base import SQL_CUR, current
+from .base import MIN, SQL_EVERY, SQL_PARTS, SQL_POOL, SQL_ROOTS, exchange_parts, pool, sql_quiet
 from .registry import CORE
 
-MIN = 60_000_000
-_POOL = SQL_CUR + """,
-pool AS (SELECT id, channel_id, thread_id, author_id, reply_to_id, epoch_us(created_at) AS us FROM cur WHERE deleted_at IS NULL AND NOT author_is_bot AND created_at IS NOT NULL)"""
-
-
-def pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages that can be grouped: current, not deleted, by humans, with a time."""
-    m = current(spark, sf_dir, "channel_id", "author_id", "author_is_bot", "created_at", "reply_to_id", "thread_id", "deleted_at")
-    m = m.withColumn("us", micros(m, "created_at")).where("deleted_at IS NULL AND NOT author_is_bot AND us IS NOT NULL")
-    return m.select("id", "channel_id", "thread_id", "author_id", "reply_to_id", "us")
-
-
-_ROOTS = """rest AS (SELECT * FROM pool WHERE thread_id IS NULL),
-up AS (SELECT r.id, t.id AS parent FROM rest r LEFT JOIN rest t ON t.id = r.reply_to_id AND t.channel_id = r.channel_id AND t.id <> r.id),
-walked AS (SELECT id, id AS root FROM up WHERE parent IS NULL UNION ALL SELECT u.id, w.root FROM walked w JOIN up u ON u.parent = w.id),
-stuck AS (SELECT id, parent FROM up WHERE id NOT IN (SELECT id FROM walked)),
-reach(id, cur) AS (SELECT id, parent FROM stuck UNION SELECT r.id, s.parent FROM reach r JOIN stuck s ON s.id = r.cur),
-walk AS (SELECT id, root FROM walked UNION ALL SELECT id, min(cur) FROM reach WHERE cur IN (SELECT id FROM reach WHERE id = cur) GROUP BY id)"""
-
-
-def _quiet(minutes: int, source: str = "pool", keys: str = "channel_id") -> str:
-    return f"""(SELECT *, sum(fresh) OVER (PARTITION BY {keys} ORDER BY us, id) AS group_no FROM
-  (SELECT *, CASE WHEN us - lag(us) OVER (PARTITION BY {keys} ORDER BY us, id) > {minutes * MIN} THEN 1 ELSE 0 END AS fresh FROM {source}))"""
-
-
-@CORE.query("thread_groups", f"WITH {_POOL} SELECT thread_id, count(*) AS n, arg_min(id, (us, id)) AS first_id, arg_max(id, (us, id)) AS last_id FROM pool WHERE thread_id IS NOT NULL GROUP BY thread_id")
+@CORE.query("thread_groups", f"WITH {SQL_POOL} SELECT thread_id, count(*) AS n, arg_min(id, (us, id)) AS first_id, arg_max(id, (us, id)) AS last_id FROM pool WHERE thread_id IS NOT NULL GROUP BY thread_id")
 def thread_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     at = F.struct("us", "id")
     return pool(spark, sf_dir).where("thread_id IS NOT NULL").groupBy("thread_id").agg(F.count("*").alias("n"), F.min(at)["id"].alias("first_id"), F.max(at)["id"].alias("last_id"))
 
 
-@CORE.query("reply_components", f"WITH RECURSIVE {_POOL}, {_ROOTS} SELECT id, root FROM walk")
+@CORE.query("reply_components", f"WITH RECURSIVE {SQL_POOL}, {SQL_ROOTS} SELECT id, root FROM walk")
 def reply_components(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.reply_components(pool(spark, sf_dir).where("thread_id IS NULL"))
 
 
 @CORE.query(
     "exchange_groups",
-    f"""WITH RECURSIVE {_POOL}, {_ROOTS}, big AS (SELECT root FROM walk GROUP BY root HAVING count(*) > 1),
-chained AS (SELECT w.id, w.root FROM walk w JOIN big USING (root)), left_over AS (SELECT * FROM rest WHERE id NOT IN (SELECT id FROM chained)),
-every AS (SELECT id, us, 'thread' AS rule, 't:' || channel_id || ':' || thread_id AS key FROM pool WHERE thread_id IS NOT NULL
-  UNION ALL SELECT c.id, p.us, 'reply_chain', 'r:' || root FROM chained c JOIN pool p ON p.id = c.id
-  UNION ALL SELECT id, us, 'quiet_gap', 'q:' || channel_id || ':' || group_no FROM {_quiet(30, 'left_over')})
-SELECT rule, arg_min(id, (us, id)) AS first_id, count(*) AS n, sha256(string_agg(CAST(id AS VARCHAR), ',' ORDER BY us, id)) AS content_hash FROM every GROUP BY rule, key""",
+    f"WITH RECURSIVE {SQL_EVERY} SELECT rule, arg_min(id, (us, id)) AS first_id, count(*) AS n, sha256(string_agg(CAST(id AS VARCHAR), ',' ORDER BY us, id)) AS content_hash FROM every GROUP BY rule, key",
 )
 def exchange_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = settle(pool(spark, sf_dir), "pool")
@@ -67,7 +36,7 @@ def exchange_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CORE.query(
     "adaptive_channel_gap",
-    f"""WITH {_POOL}, g AS (SELECT channel_id, us - lag(us) OVER (PARTITION BY channel_id ORDER BY us, id) AS gap FROM pool)
+    f"""WITH {SQL_POOL}, g AS (SELECT channel_id, us - lag(us) OVER (PARTITION BY channel_id ORDER BY us, id) AS gap FROM pool)
 SELECT channel_id, greatest(coalesce(quantile_disc(CASE WHEN gap <= 21600000000 THEN gap END, 0.95) / 1e6, 0), 1800.0) AS gap_s FROM g GROUP BY channel_id""",
 )
 def adaptive_channel_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,7 +45,7 @@ def adaptive_channel_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CORE.query(
     "adaptive_groups",
-    f"""WITH {_POOL}, g AS (SELECT *, us - lag(us) OVER (PARTITION BY channel_id ORDER BY us, id) AS gap FROM pool),
+    f"""WITH {SQL_POOL}, g AS (SELECT *, us - lag(us) OVER (PARTITION BY channel_id ORDER BY us, id) AS gap FROM pool),
 lim AS (SELECT channel_id, greatest(coalesce(quantile_disc(CASE WHEN gap <= 21600000000 THEN gap END, 0.95) / 1e6, 0), 1800.0) * 1e6 AS lim FROM g GROUP BY channel_id),
 f AS (SELECT g.*, CASE WHEN gap > lim THEN 1 ELSE 0 END AS fresh FROM g JOIN lim USING (channel_id)),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY channel_id ORDER BY us, id) AS no FROM f)
@@ -92,7 +61,7 @@ def adaptive_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CORE.query(
     "closed_groups",
-    f"""WITH {_POOL}, s AS {_quiet(30)}, now AS (SELECT max(us) - {24 * 60 * MIN} AS t FROM pool)
+    f"""WITH {SQL_POOL}, s AS {sql_quiet(30)}, now AS (SELECT max(us) - {24 * 60 * MIN} AS t FROM pool)
 SELECT channel_id, min(us) AS start_us, max(us) AS end_us, count(*) AS n FROM s, now GROUP BY channel_id, group_no, t HAVING t - max(us) > {30 * MIN}""",
 )
 def closed_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,7 +77,7 @@ _CASE = "CASE WHEN n <= 1 THEN '1' WHEN n <= 2 THEN '2' WHEN n <= 5 THEN '3-5' W
 
 @CORE.query(
     "measure_gaps",
-    f"WITH {_POOL}, " + ", ".join(f"s{m} AS (SELECT {m} AS minutes, channel_id, group_no, count(*) AS n FROM {_quiet(m)} GROUP BY channel_id, group_no)" for m in (30, 60, 120, 240))
+    f"WITH {SQL_POOL}, " + ", ".join(f"s{m} AS (SELECT {m} AS minutes, channel_id, group_no, count(*) AS n FROM {sql_quiet(m)} GROUP BY channel_id, group_no)" for m in (30, 60, 120, 240))
     + f" SELECT CAST(minutes AS BIGINT) AS minutes, {_CASE} AS size, count(*) AS groups, CAST(sum(n) AS BIGINT) AS messages FROM (" + " UNION ALL ".join(f"SELECT * FROM s{m}" for m in (30, 60, 120, 240)) + ") GROUP BY 1, 2",
 )
 def measure_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -126,8 +95,8 @@ def _grouped(p: DataFrame, minutes: int) -> DataFrame:
     return settle(s.join(first, ["channel_id", "group_no"]).select("group_id", "id"), "grouped")
 
 
-_REMAP = f"""WITH {_POOL}, a AS (SELECT id, first_value(id) OVER (PARTITION BY channel_id, group_no ORDER BY us, id) AS old_id FROM {_quiet(60)}),
-b AS (SELECT id, first_value(id) OVER (PARTITION BY channel_id, group_no ORDER BY us, id) AS new_id FROM {_quiet(20)}),
+_REMAP = f"""WITH {SQL_POOL}, a AS (SELECT id, first_value(id) OVER (PARTITION BY channel_id, group_no ORDER BY us, id) AS old_id FROM {sql_quiet(60)}),
+b AS (SELECT id, first_value(id) OVER (PARTITION BY channel_id, group_no ORDER BY us, id) AS new_id FROM {sql_quiet(20)}),
 sh AS (SELECT old_id, new_id, count(*) AS shared FROM a JOIN b USING (id) GROUP BY ALL), o AS (SELECT old_id, count(*) AS old_n FROM a GROUP BY ALL), n AS (SELECT new_id, count(*) AS new_n FROM b GROUP BY ALL),
 best AS (SELECT old_id, arg_max(new_id, (shared, new_id)) AS new_id, max(shared) AS shared FROM sh GROUP BY old_id),
 moved AS (SELECT old_id, CASE WHEN shared * 2 > old_n THEN new_id END AS new_id,
@@ -155,7 +124,7 @@ def label_carry_over(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CORE.query(
     "group_parents",
-    f"""WITH {_POOL}, b AS (SELECT *, first_value(id) OVER (PARTITION BY channel_id, group_no ORDER BY us, id) AS gid FROM {_quiet(30)}),
+    f"""WITH {SQL_POOL}, b AS (SELECT *, first_value(id) OVER (PARTITION BY channel_id, group_no ORDER BY us, id) AS gid FROM {sql_quiet(30)}),
 h AS (SELECT gid, arg_min(reply_to_id, (us, id)) FILTER (WHERE id = gid) AS target FROM b GROUP BY gid)
 SELECT h.gid AS group_id, t.gid AS parent_id FROM h JOIN b t ON t.id = h.target WHERE t.gid <> h.gid""",
 )
@@ -167,16 +136,20 @@ def group_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return heads.join(g.select(F.col("group_id").alias("parent_id"), F.col("id").alias("t_id")), F.col("target") == F.col("t_id")).where("parent_id <> group_id").select("group_id", "parent_id")
 
 
-@CORE.query("final_groups")
+@CORE.query(
+    "final_groups",
+    f"""WITH RECURSIVE {SQL_PARTS}
+SELECT channel_id, id, part, CAST(p - head AS BIGINT) AS position, false AS is_context FROM h
+UNION ALL SELECT b.channel_id, b.id, a.part, CAST(b.p - a.p AS BIGINT), true FROM h a JOIN h b ON b.key = a.key AND b.p BETWEEN a.p - 3 AND a.p - 1 JOIN h z ON z.key = a.key AND z.p = a.p - 1 AND z.head = b.head WHERE a.p = a.head AND a.p > 0""",
+)
 def final_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Folded and split groups: order-dependent, tested against a plain version."""
-    p = settle(pool(spark, sf_dir), "pool")
-    return G.final_groups(p, G.exchange_keys(p, 30 * MIN), fold_us=120 * MIN, small=1, most=50, overlap=3)
+    """Exchanges as they are stored: small groups folded into a neighbour, large ones split."""
+    return exchange_parts(spark, sf_dir)
 
 
 @CORE.query(
     "session_hours",
-    f"WITH {_POOL}, s AS {_quiet(30)} SELECT channel_id, min(us) // 3600000000 AS hour, count(*) AS n FROM s GROUP BY channel_id, group_no",
+    f"WITH {SQL_POOL}, s AS {sql_quiet(30)} SELECT channel_id, min(us) // 3600000000 AS hour, count(*) AS n FROM s GROUP BY channel_id, group_no",
 )
 def session_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same sessions by Spark's session_window, as streams use it."""

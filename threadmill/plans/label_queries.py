@@ -93,7 +93,14 @@ def value_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.groupBy("source").agg(F.count_if(F.col("half") == 1).alias("first_half"), F.count_if(F.col("half") == 2).alias("second_half"))
 
 
-@CORE.query("char_windows")
+@CORE.query(
+    "char_windows",
+    """WITH RECURSIVE l AS (SELECT doc_id, no, line, greatest(1, ceil(length(line) / 600.0))::BIGINT AS k FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS no FROM documents)),
+p AS (SELECT doc_id, length(substring(line, CAST(600 * i + 1 AS BIGINT), 600)) AS n, row_number() OVER (PARTITION BY doc_id ORDER BY no, i) AS seq FROM (SELECT *, unnest(range(0, k)) AS i FROM l)),
+w AS (SELECT doc_id, seq, n, CAST(0 AS BIGINT) AS window_no, n + 1 AS used FROM p WHERE seq = 1
+  UNION ALL SELECT p.doc_id, p.seq, p.n, CASE WHEN used + p.n + 1 > 600 THEN window_no + 1 ELSE window_no END, CASE WHEN used + p.n + 1 > 600 THEN 0 ELSE used END + p.n + 1 FROM w JOIN p ON p.doc_id = w.doc_id AND p.seq = w.seq + 1)
+SELECT doc_id, window_no, count(*) AS n_lines, CAST(sum(n) AS BIGINT) AS chars FROM w GROUP BY doc_id, window_no""",
+)
 def char_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of each text packed into windows of 600 characters, longer lines cut: doc_id, window_no, n_lines, chars."""
 

@@ -47,6 +47,13 @@ def delete(spark: SparkSession, path: str) -> None:
     fs.delete(at, True)
 
 
+def stamp(spark: SparkSession, path: str) -> tuple[int, int]:
+    """Size and time of the latest change of a file or folder."""
+    fs, at = _filesystem(spark, path)
+    times = [s.getModificationTime() for s in fs.listStatus(at)]
+    return fs.getContentSummary(at).getLength(), max([fs.getFileStatus(at).getModificationTime(), *times])
+
+
 def scratch(spark: SparkSession, what: str) -> str:
     """A new path in the shared folder, deleted when this process ends."""
     path = f"{shared_dir(spark)}/threadmill/{what}-{uuid.uuid4().hex}"
