@@ -14,6 +14,7 @@ from threadmill.functions import text as T
 from threadmill.operators import classify as C
 from threadmill.operators import claims as K
 from threadmill.operators import grouping as G
+from threadmill.operators import order as O
 from threadmill.operators import relational as R
 from threadmill.operators import search as S
 from threadmill.operators import similar
@@ -323,7 +324,7 @@ def plain_groups(ms, gap, fold, small, most, overlap=2):
 
 @pytest.mark.parametrize("seed, fold, small, most, chunk", [(1, 120, 1, 12, 50_000), (2, 120, 1, 4, 7), (3, 400, 2, 9, 5), (4, 30, 1, 3, 50_000), (5, 2000, 1, 5, 11), (6, 90, 3, 6, 3), (7, 60, 1, 2, 50_000)])
 def test_final_groups_random(spark, monkeypatch, seed, fold, small, most, chunk):
-    monkeypatch.setattr(G, "CHUNK_ROWS", chunk)
+    monkeypatch.setattr(O, "CHUNK_ROWS", chunk)
     rng = random.Random(seed)
     ms = []
     for i in range(1, 320):

@@ -138,17 +138,26 @@ def fact_shapes(c: Column) -> Column:
     return F.array_compact(F.array(*(F.when(test, F.lit(name)) for test, name in named)))
 
 
-#: Who can be a claim's grammatical subject, and what they do as its source.
-PERSONS = ("community member", "member", "user", "poster", "author", "someone", "somebody", "contributor", "maintainer", "participant", "commenter", "owners", "people", "nobody")
-SPEECH = ("reported", "said", "says", "stated", "noted", "notes", "observed", "mentioned", "claimed", "explained", "confirmed", "asked", "wondered", "suggested", "recalled", "described")
+#: Who can be a claim's source, and what they do as such.
+PERSONS = ("community member", "a member", "one member", "another member", "a user", "one user", "a poster", "the poster", "the author", "someone", "somebody", "a contributor", "a maintainer", "a participant", "a commenter")
+SPEECH = (
+    "reported", "reports", "said", "says", "stated", "states", "noted", "notes", "observed", "observes", "mentioned", "mentions", "claimed", "claims", "explained", "explains", "confirmed", "confirms", "asked", "asks", "wondered",
+    "speculated", "suggested", "recalled", "described", "describes", "plans to", "intends to", "hopes to",
+)
+#: The nouns of PERSONS, which may begin a statement with or without an article.
+NOUNS = tuple(dict.fromkeys(p.removeprefix("a ").removeprefix("one ").removeprefix("another ").removeprefix("the ") for p in PERSONS))
 
 
 def person_subject(c: Column) -> Column:
     """Does a statement begin with a person?"""
-    return c.rlike(r"(?i)^\s*(?:(?:a|an|the|one|another)\s+)?(?:" + "|".join(PERSONS) + r")\b")
+    return c.rlike(r"(?i)^\s*(?:a|an|the|one|another)?\s*(?:" + "|".join(NOUNS) + r")\b")
 
 
 def attributed(c: Column) -> Column:
-    """Does a statement name a person as its source?"""
+    """Does a statement name a person as its source: what they do follows within 40 characters?"""
     low = F.lower(c)
-    return low.contains("according to") | low.rlike("(?:" + "|".join(PERSONS) + r")[\s\S]{0,40}(?:" + "|".join(SPEECH) + ")")
+    near = [rf"(?s)(?:{'|'.join(PERSONS)}).{{0,{40 - n}}}(?:{'|'.join(v for v in SPEECH if len(v) == n)})" for n in sorted({len(v) for v in SPEECH})]
+    hit = low.rlike(r"\baccording to\b")
+    for p in near:
+        hit = hit | low.rlike(p)
+    return hit

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import chi2_survival
+from .order import numbered, prefix_sums
 
 
 def nb_counts(examples: DataFrame) -> DataFrame:
@@ -52,9 +53,8 @@ def fisher_scores(docs: DataFrame, probabilities: DataFrame, clues: int = 150) -
 
 def curve(scored: DataFrame) -> DataFrame:
     """Counts per distinct score with those at or above it: score, pos, neg, pos_above, neg_above."""
-    c = scored.groupBy("score").agg(F.count_if("label").alias("pos"), F.count_if(~F.col("label")).alias("neg"))
-    w = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    return c.withColumn("pos_above", F.sum("pos").over(w)).withColumn("neg_above", F.sum("neg").over(w))
+    c = scored.where("score IS NOT NULL").groupBy("score").agg(F.count_if("label").alias("pos"), F.count_if(~F.col("label")).alias("neg"))
+    return prefix_sums(c, [], "score", ["pos", "neg"], descending=True).withColumnsRenamed({"pos_upto": "pos_above", "neg_upto": "neg_above"})
 
 
 def auc(scored: DataFrame) -> DataFrame:
@@ -91,16 +91,16 @@ def tune_high(scored: DataFrame, target: float) -> DataFrame:
 def best_cutoff(rows: DataFrame, precision: float, least: int) -> DataFrame:
     """The largest limit (size + 1) below which enough rows are negative with the wanted precision: cutoff, n."""
     c = rows.groupBy("size").agg(F.count_if("label").alias("pos"), F.count_if(~F.col("label")).alias("neg"))
-    w = Window.orderBy("size").rowsBetween(Window.unboundedPreceding, 0)
-    c = c.withColumn("p", F.sum("pos").over(w)).withColumn("n", F.sum("neg").over(w))
+    c = prefix_sums(c.where("size IS NOT NULL"), [], "size", ["pos", "neg"]).withColumnsRenamed({"pos_upto": "p", "neg_upto": "n"})
     ok = (F.col("p") + F.col("n") >= least) & (F.col("n") / (F.col("p") + F.col("n")) >= precision)
     return c.where(ok).agg(F.max(F.struct((F.col("size") + 1).alias("cutoff"), (F.col("p") + F.col("n")).alias("n"))).alias("b")).select("b.cutoff", "b.n").where("cutoff IS NOT NULL")
 
 
 def stratified_folds(labels: DataFrame, folds: int, seed: str) -> DataFrame:
     """Folds of equal class mix by hash order: id, label, fold."""
-    w = Window.partitionBy("label").orderBy(F.sha2(F.concat(F.lit(seed + ":"), F.col("id").cast("string")), 256))
-    return labels.withColumn("fold", F.pmod(F.row_number().over(w) - 1, F.lit(folds)).cast("int"))
+    h = F.sha2(F.concat(F.lit(seed + ":"), F.col("id").cast("string")), 256)
+    d = labels.withColumn("__h", h).withColumn("__n", F.conv(F.substring("__h", 1, 14), 16, 10).cast("long"))
+    return numbered(d, ["label"], ["__n", "__h"]).withColumn("fold", F.pmod("no", F.lit(folds)).cast("int")).select(*labels.columns, "fold")
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 200, rate: float = 0.1, l2: float | None = None) -> tuple[np.ndarray, float]:
@@ -114,7 +114,7 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 200, rate: float =
     return w, b
 
 
-def fit_head(vectors: DataFrame, most: int = 20_000, rounds: int = 300, rate: float = 0.1) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def fit_head(vectors: DataFrame, most: int = 20_000, rounds: int = 300, rate: float = 0.01) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Mean, scale, weights and intercept of a logistic head on z-scored vectors (id, label, v).
 
     Fitted on at most ``most`` labelled rows, taken by hash (a documented
@@ -137,6 +137,108 @@ def head_score(v: Column, mean: np.ndarray, scale: np.ndarray, w: np.ndarray, b:
     return 1 / (1 + F.exp(-z))
 
 
+def summarize(scored: DataFrame, floor: float = 0.95) -> DataFrame:
+    """One row: n_pos, n_neg, best_threshold (greatest F1; the smallest of equal ones), f1, and at the greatest threshold with recall >= ``floor``: floor_threshold, negative_recall.
+
+    Null and zero where a class is empty.
+    """
+    c = curve(scored)
+    n = F.broadcast(c.agg(F.coalesce(F.sum("pos"), F.lit(0)).alias("n_pos"), F.coalesce(F.sum("neg"), F.lit(0)).alias("n_neg")))  # one row
+    j = c.join(n, F.lit(True))
+    recall = F.col("pos_above") / F.nullif(F.col("n_pos"), F.lit(0))
+    f1 = 2 * F.col("pos_above") / (F.col("pos_above") + F.col("neg_above") + F.col("n_pos"))
+    ok = recall >= floor
+    g = j.agg(F.max(F.struct(F.round(f1, 12).alias("f1"), (-F.col("score")).alias("m"))).alias("b"), F.max(F.when(ok, F.struct("score", (1 - F.col("neg_above") / F.nullif(F.col("n_neg"), F.lit(0))).alias("r")))).alias("f"))
+    both = (F.col("n_pos") > 0) & (F.col("n_neg") > 0)
+    return n.join(g, F.lit(True)).select("n_pos", "n_neg", F.when(both, -F.col("b.m")).alias("best_threshold"), F.when(both, F.col("b.f1")).otherwise(0.0).alias("f1"), F.when(both, F.col("f.score")).alias("floor_threshold"), F.when(both, F.col("f.r")).alias("negative_recall"))
+
+
+def irrelevant_threshold(scored: DataFrame, recall: float) -> DataFrame:
+    """The positives' score below which at most 1 - ``recall`` of them lie: threshold (no row without positives)."""
+    from .relational import index_quantile
+
+    p = scored.where("label AND score IS NOT NULL").select(F.lit(0).alias("one"), "score")
+    return index_quantile(p, ["one"], "score", F.floor((1 - recall) * F.col("n") + 1e-9)).select(F.col("quantile").alias("threshold"))
+
+
+def side_stats(scored: DataFrame, low: float, high: float) -> DataFrame:
+    """Count, precision and recall of what lies below ``low`` (as negatives) and from ``high`` on (as positives): side, n, precision, recall."""
+    a = scored.agg(F.count_if("label").alias("p"), F.count_if(~F.col("label")).alias("q"), F.count_if(F.col("score") < low).alias("ln"), F.count_if((F.col("score") < low) & ~F.col("label")).alias("lh"), F.count_if(F.col("score") >= high).alias("hn"), F.count_if((F.col("score") >= high) & F.col("label")).alias("hh"))
+    part = lambda x, y: F.when(y > 0, x / y).otherwise(0.0)
+    side = lambda s, n, h, t: F.struct(F.lit(s).alias("side"), F.col(n).alias("n"), part(F.col(h), F.col(n)).alias("precision"), part(F.col(h), F.col(t)).alias("recall"))
+    return a.select(F.explode(F.array(side("irrelevant", "ln", "lh", "q"), side("relevant", "hn", "hh", "p"))).alias("r")).select("r.*")
+
+
+def discard_pile(scored: DataFrame, thresholds: tuple[float, ...] = (0.5, 0.7, 0.9)) -> DataFrame:
+    """Which share of the good (label) and of the bad lies at or above each threshold: threshold, keep_lost, trash_caught."""
+    share = lambda t, y: F.count_if((F.col("score") >= t) & y) / F.nullif(F.count_if(y), F.lit(0))
+    cells = [F.struct(F.lit(t).alias("threshold"), share(t, F.col("label")).alias("keep_lost"), share(t, ~F.col("label")).alias("trash_caught")) for t in thresholds]
+    return scored.agg(*(c.alias(f"c{i}") for i, c in enumerate(cells))).select(F.explode(F.array(*(F.col(f"c{i}") for i in range(len(cells))))).alias("r")).select("r.*")
+
+
+def tune_check(items: DataFrame, grid: list[float]) -> DataFrame:
+    """The threshold of least overlap at which flags fit reviews best: threshold, caught, positives, false_alarms, negatives, f1.
+
+    ``items``: overlap, has_missing, bad (boolean).  Flagged is what misses a
+    fact or overlaps less than the threshold; the greatest F1 counts, among
+    equal ones the smallest threshold.
+    """
+    cells = []
+    for t in grid:
+        hit = F.col("has_missing") | (F.col("overlap") < t)
+        cells.append(F.struct(F.lit(float(t)).alias("threshold"), F.count_if(hit & F.col("bad")).alias("caught"), F.count_if("bad").alias("positives"), F.count_if(hit & ~F.col("bad")).alias("false_alarms"), F.count_if(~F.col("bad")).alias("negatives")))
+    r = items.agg(*(c.alias(f"c{i}") for i, c in enumerate(cells))).select(F.explode(F.array(*(F.col(f"c{i}") for i in range(len(cells))))).alias("r")).select("r.*")
+    f1 = F.when(F.col("caught") > 0, 2 * F.col("caught") / (F.col("caught") + F.col("false_alarms") + F.col("positives"))).otherwise(0.0)
+    return r.withColumn("f1", f1).orderBy(F.desc(F.round("f1", 12)), "threshold").limit(1)
+
+
+def bucket_table(rows: DataFrame, edges: list[tuple[int, str]], over: str) -> DataFrame:
+    """Labelled exchanges by size and tech: bucket, tech, n, and counts of positives and negatives inside and outside the held-out part.
+
+    ``rows``: chars, hits, held (boolean), label (boolean, null: not labelled).
+    """
+    b = F.when(F.col("chars") < edges[0][0], edges[0][1])
+    for limit, name in edges[1:]:
+        b = b.when(F.col("chars") < limit, name)
+    yes, no, held = F.coalesce("label", F.lit(False)), F.coalesce(~F.col("label"), F.lit(False)), F.col("held")
+    return rows.groupBy(b.otherwise(over).alias("bucket"), (F.col("hits") > 0).alias("tech")).agg(
+        F.count("*").alias("n"), F.count_if(yes & ~held).alias("pos"), F.count_if(no & ~held).alias("neg"), F.count_if(yes & held).alias("held_pos"), F.count_if(no & held).alias("held_neg")
+    )
+
+
+def top_tokens(probabilities: DataFrame, n: int) -> DataFrame:
+    """The tokens furthest from a half: token, p (ties by token)."""
+    return probabilities.orderBy(F.desc(F.round(F.abs(F.col("p") - 0.5), 9)), "token").limit(n).select("token", "p")
+
+
+def out_of_fold_bayes(docs: DataFrame, labels: DataFrame, folds: int = 2) -> DataFrame:
+    """Every document scored by the model of the other folds: id, p.  ``docs``: id, tokens; ``labels``: id, label."""
+    from ..functions.stats import fold
+
+    f = docs.withColumn("fold", fold(F.col("id"), folds))
+    known = f.join(labels.select(F.col("id").alias("l_id"), "label"), F.col("id") == F.col("l_id")).select("id", "label", "tokens", "fold")
+    every = None
+    for k in range(folds):
+        rest = known.where(F.col("fold") != k)
+        one = fisher_scores(f.where(F.col("fold") == k), token_probability(nb_counts(rest), class_totals(rest))).select("id", "p")
+        every = one if every is None else every.unionByName(one)
+    return every
+
+
+def logit(p: Column, bound: float = 10.0) -> Column:
+    return F.greatest(F.lit(-bound), F.least(F.lit(bound), F.log(F.greatest(F.lit(1e-9), p) / F.greatest(F.lit(1e-9), 1 - p))))
+
+
+def outcomes(decided: DataFrame, version: int) -> DataFrame:
+    """The rows that a cascade run writes: xid, scorer, label, version; one for the stage that decided, and a lexicon row for all that reached it."""
+    stage = F.col("stage")
+    late = stage.isin("lexicon", "short_no_tech", "embed", "residue")
+    lexicon = F.when(late, F.struct(F.lit("lexicon").alias("scorer"), F.when(stage == "lexicon", F.col("decision")).alias("label")))
+    own = F.when(stage != "lexicon", F.struct(stage.alias("scorer"), F.when(F.col("decision") != "undecided", F.col("decision")).alias("label")))
+    r = decided.select(F.col("id").alias("xid"), F.explode(F.array_compact(F.array(lexicon, own))).alias("r"))
+    return r.select("xid", "r.scorer", "r.label", F.lit(version).cast("long").alias("version"))
+
+
 def rule_score(messages: DataFrame, patterns: dict[str, tuple[str, float]], terms: str, agreed: Column | None = None) -> DataFrame:
     """A score from 0 to 1 of every exchange with the reasons that made it: xid, score, reasons.
 

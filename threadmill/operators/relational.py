@@ -5,20 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..storage import settle
+from .order import carried, numbered, prefix_sums, same_keys
+
 
 def as_of(probes: DataFrame, versions: DataFrame, keys: list[str], at: str, since: str, value: str, tie: str) -> DataFrame:
     """``probes`` with ``value``: that of the latest version of their keys with since <= at (ties: greatest ``tie``).
 
     Probes and versions are laid into one sequence per key, where the last
-    version seen is carried on; no pair of rows is built.  ``at`` and
-    ``since`` are whole numbers.  Null where no version is old enough.
+    version seen is carried on; no pair of rows is built and no window holds a
+    whole key.  ``at`` and ``since`` are whole numbers.  Null where no version
+    is old enough, and for probes without a time.
     """
     null = lambda c, f: F.lit(None).cast(dict(f.dtypes)[c])
     v = versions.select(*keys, F.col(since).alias("__at"), F.lit(0).alias("__probe"), F.col(tie).cast("long").alias("__tie"), F.struct(F.col(value).alias("v")).alias("__v"), *(null(c, probes).alias(c) for c in probes.columns if c not in keys))
     p = probes.select(*keys, F.col(at).alias("__at"), F.lit(1).alias("__probe"), F.lit(None).cast("long").alias("__tie"), F.lit(None).cast(v.schema["__v"].dataType).alias("__v"), *(c for c in probes.columns if c not in keys))
-    w = Window.partitionBy(*keys).orderBy("__at", "__probe", "__tie").rowsBetween(Window.unboundedPreceding, 0)
-    j = v.unionByName(p).withColumn("__last", F.last("__v", ignorenulls=True).over(w))
-    return j.where("__probe = 1").select(*probes.columns, F.col("__last.v").alias(value))
+    j = numbered(settle(v.unionByName(p).where("__at IS NOT NULL"), "asof"), keys, ["__at", "__probe", "__tie"])
+    j = carried(settle(j, "asof"), keys, F.col("__probe") == 0, "__since")
+    last = j.where("__probe = 0").select(*(F.col(k).alias(f"v_{k}") for k in keys), F.col("no").alias("v___since"), F.col("__v.v").alias("v_value"))
+    out = j.where("__probe = 1").join(last, same_keys([*keys, "__since"], "v_") & F.col("__since").isNotNull(), "left").select(*probes.columns, F.col("v_value").alias(value))
+    lost = probes.where(F.col(at).isNull()).select(*probes.columns, F.lit(None).cast(dict(out.dtypes)[value]).alias(value))
+    return out.unionByName(lost)
 
 
 def top_per_key(df: DataFrame, keys: list[str], order: list[Column], n: int) -> DataFrame:
@@ -39,8 +46,9 @@ def index_quantile(df: DataFrame, keys: list[str], value: str, index: Column) ->
     as a whole.
     """
     c = df.groupBy(*keys, value).agg(F.count("*").alias("c"))
-    w = Window.partitionBy(*keys).orderBy(value)
-    c = c.withColumn("upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("n", F.sum("c").over(Window.partitionBy(*keys)))
+    c = prefix_sums(c.where(F.col(value).isNotNull()), keys, value, ["c"]).withColumnRenamed("c_upto", "upto")
+    n = df.where(F.col(value).isNotNull()).groupBy(*(F.col(k).alias(f"o_{k}") for k in keys)).agg(F.count("*").alias("n"))
+    c = c.join(n, same_keys(keys))
     i = index
     return c.where((F.col("upto") > i) & (F.col("upto") - F.col("c") <= i)).select(*keys, F.col(value).alias("quantile"))
 
@@ -48,8 +56,7 @@ def index_quantile(df: DataFrame, keys: list[str], value: str, index: Column) ->
 def exclusive_quantiles(df: DataFrame, value: str, n: int) -> DataFrame:
     """The n-1 cut points of n equal parts, interpolated at ranks (m+1)*i/n: i, cut."""
     c = df.groupBy(value).agg(F.count("*").alias("c"))
-    w = Window.orderBy(value)
-    c = c.withColumn("upto", F.sum("c").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    c = settle(prefix_sums(c.where(F.col(value).isNotNull()), [], value, ["c"]).withColumnRenamed("c_upto", "upto"), "quantiles")
     m = F.broadcast(df.agg(F.count(value).alias("m")))
     cuts = m.select("m", F.explode(F.sequence(F.lit(1), F.lit(n - 1))).alias("i")).withColumn("r", (F.col("m") + 1) * F.col("i") / n)
     cuts = cuts.withColumn("j", F.greatest(F.lit(1), F.least(F.floor("r"), F.col("m") - 1))).withColumn("f", F.col("r") - F.col("j"))
@@ -73,7 +80,8 @@ def largest_remainder(strata: DataFrame, key: str, size: str, n: int) -> DataFra
 def round_robin(rows: DataFrame, stratum: str, order: list[Column], n: int) -> DataFrame:
     """n rows dealt one per stratum and pass, in the strata's order: the rows with ``pass``."""
     w = Window.partitionBy(stratum).orderBy(*order)
-    return rows.withColumn("pass", F.row_number().over(w)).orderBy("pass", stratum).limit(n)
+    # No stratum gives more than n rows: the limit applies before the shuffle.
+    return rows.withColumn("pass", F.row_number().over(w)).where(F.col("pass") <= n).orderBy("pass", stratum).limit(n)
 
 
 def neighbours(messages: DataFrame) -> DataFrame:
@@ -121,8 +129,18 @@ def answered(messages: DataFrame, least: int = 40) -> DataFrame:
 def growth(rows: DataFrame, topic: str, order: list[str], least: int) -> DataFrame:
     """Per topic the order values of its first and its ``least``-th row: topic, first, reached, n."""
     w = Window.partitionBy(topic).orderBy(*order)
-    r = rows.withColumn("rn", F.row_number().over(w))
-    return r.groupBy(topic).agg(F.min(F.when(F.col("rn") == 1, F.col(order[0]))).alias("first"), F.min(F.when(F.col("rn") == least, F.col(order[0]))).alias("reached"), F.count("*").alias("n"))
+    # Only the first rows of a topic are sorted; all are counted.
+    r = rows.select(topic, *order).withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= least)
+    reached = r.where(F.col("rn") == least).select(F.col(topic).alias("o_topic"), F.col(order[0]).alias("reached"))
+    g = rows.groupBy(topic).agg(F.count("*").alias("n"), F.min(order[0]).alias("first"))
+    return g.join(reached, F.col(topic).eqNullSafe(F.col("o_topic")), "left").select(topic, "first", "reached", "n")
+
+
+def halves(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """``rows`` with half: 1 for the first half of a key's rows along ``order`` (the larger one if they are odd), else 2."""
+    n = rows.groupBy(F.col(key).alias("o_key")).agg(F.count("*").alias("__n"))
+    j = numbered(rows, [key], [order]).join(n, F.col(key).eqNullSafe(F.col("o_key")))
+    return j.select(*rows.columns, F.when(F.col("no") < F.ceil(F.col("__n") / 2), 1).otherwise(2).alias("half"))
 
 
 def universal(rows: DataFrame, key: str, test: Column) -> DataFrame:

@@ -53,23 +53,6 @@ def search_groups(messages: DataFrame, query: str, limit: int) -> DataFrame:
     return g.orderBy(F.desc("score"), F.desc("latest")).limit(limit).withColumn("score", F.round("score", 6))
 
 
-def context(messages: DataFrame, hit: Column, size: int) -> DataFrame:
-    """Messages up to ``size`` places around each hit, in one channel and day: hit_id, id, distance.
-
-    Neighbours of other days are left out; ``channel_context`` has them.
-    A frame of neighbours instead of a band join: every hit carries the ids
-    around it, so no pair is ever built that isn't in the result.
-    """
-    w = Window.partitionBy("channel_id", F.expr("us div 86400000000")).orderBy("us", "id")
-    around = messages.withColumn("hit", hit)
-    cells = []
-    for k in range(-size, size + 1):
-        other = F.lag("id", -k).over(w) if k < 0 else F.lead("id", k).over(w) if k else F.col("id")
-        cells.append(F.struct(other.alias("id"), F.lit(k).cast("long").alias("distance")))
-    near = around.withColumn("cells", F.array(*cells)).where("hit").select(F.col("id").alias("hit_id"), F.explode("cells").alias("c"))
-    return near.select("hit_id", "c.id", "c.distance").where("id IS NOT NULL")
-
-
 #: Messages that a window of ``channel_context`` holds on average if all are of one channel.
 CHUNK_ROWS = 50_000
 
@@ -147,8 +130,25 @@ def collisions(mined: DataFrame, least_off: int = 10, ratio: float = 10.0) -> Da
 
 
 def token_windows(messages: DataFrame, size: int) -> DataFrame:
-    """Messages of an exchange cut into windows by the tokens before them: xid, window_no, n, tokens."""
-    t = T.prompt_tokens(F.col("content"))
-    before = F.sum(t).over(Window.partitionBy("xid").orderBy("position")) - t
-    m = messages.withColumn("t", t).withColumn("window_no", F.floor(before / size).cast("long"))
-    return m.groupBy("xid", "window_no").agg(F.count("*").alias("n"), F.sum("t").alias("tokens"))
+    """Messages of an exchange packed into windows of at most ``size`` tokens: xid, window_no, n (pieces), tokens.
+
+    Messages are taken in order; a new window begins where the next one
+    doesn't fit, and a message longer than a window is cut into pieces first.
+    Exchanges are of bounded size, so one is folded in one row.
+    """
+    c = F.col("content")
+    chars = size * 4
+    pieces = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.length(c) / chars)).cast("int") - 1), lambda i: F.ceil(F.least(F.lit(chars), F.length(c) - i * chars) / 4).cast("long"))
+    g = messages.groupBy("xid").agg(F.sort_array(F.collect_list(F.struct("position", pieces.alias("t")))).alias("m"))
+    g = g.select("xid", F.flatten(F.transform("m", lambda x: x["t"])).alias("t"))
+    start = F.array().cast("array<struct<n:bigint,tokens:bigint>>")
+
+    def add(windows: Column, t: Column) -> Column:
+        last = F.element_at(windows, -1)
+        fits = (F.size(windows) > 0) & (F.coalesce(last["tokens"], F.lit(0)) + t <= size)
+        one = F.array(F.struct(F.lit(1).cast("long").alias("n"), t.alias("tokens")))
+        more = F.concat(F.slice(windows, F.lit(1), F.greatest(F.lit(0), F.size(windows) - 1)), F.array(F.struct((last["n"] + 1).alias("n"), (last["tokens"] + t).alias("tokens"))))
+        return F.when(fits, more).otherwise(F.concat(windows, one))
+
+    w = g.select("xid", F.posexplode(F.aggregate("t", start, add)).alias("window_no", "w"))
+    return w.select("xid", F.col("window_no").cast("long").alias("window_no"), "w.n", "w.tokens")

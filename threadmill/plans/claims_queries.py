@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import facts as FA
 from ..functions import text as T
-from ..functions.stats import cosine
 from ..operators import claims as K
 from ..operators import similar
 from ..operators.current import latest_by
@@ -287,18 +286,6 @@ def reference_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- vectors
 
 
-@CORE.query(
-    "vector_novelty",
-    "WITH r AS (SELECT vec_id AS ref, label, embedding AS e FROM embeddings WHERE vec_id % 25 = 0), j AS (SELECT v.vec_id, ref, list_cosine_similarity(list_transform(v.embedding, lambda x: x::DOUBLE), list_transform(e, lambda x: x::DOUBLE)) AS c FROM embeddings v JOIN r ON r.label = v.label WHERE v.vec_id % 25 <> 0) SELECT vec_id, arg_max(ref, (round(c, 9), -ref)) AS nearest, round(max(c), 5) AS similarity FROM j GROUP BY vec_id",
-)
-def vector_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The most similar reference vector of the same topic."""
-    v = table(spark, sf_dir, "embeddings")
-    r = v.where("vec_id % 25 = 0").select(F.col("vec_id").alias("ref"), "label", F.col("embedding").alias("e"))
-    j = v.where("vec_id % 25 <> 0").join(r, "label").select("vec_id", "ref", cosine(F.col("embedding"), F.col("e")).alias("c"))
-    return j.groupBy("vec_id").agg(F.max_by("ref", F.struct(F.round("c", 9), -F.col("ref"))).alias("nearest"), F.round(F.max("c"), 5).alias("similarity"))
-
-
 @CORE.query(
     "pooled_vectors",
     "WITH u AS (SELECT label, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings) SELECT label, i AS dim, round(avg(x), 5) AS mean, round(max(x), 5) AS top FROM u GROUP BY label, i",

@@ -206,7 +206,7 @@ def out_of_fold(spark: SparkSession, sf_dir: str) -> DataFrame:
     f = settle(C.stratified_folds(v, 5, "cv"), "folds")
     every = None
     for k in range(5):
-        mean, scale, w, b = C.fit_head(f.where(F.col("fold") != k), rounds=100)
+        mean, scale, w, b = C.fit_head(f.where(F.col("fold") != k))
         one = f.where(F.col("fold") == k).select("id", "label", "fold", F.round(C.head_score(F.col("v"), mean, scale, w, b), 6).alias("p"))
         every = one if every is None else every.unionByName(one)
     return every

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.stats import bucket
 from ..operators import grouping as G
+from ..operators.order import numbered
 from ..storage import settle
 from .base import MIN, SQL_EVERY, SQL_PARTS, SQL_POOL, SQL_ROOTS, exchange_parts, pool, sql_quiet
 from .registry import CORE
@@ -124,16 +125,76 @@ def label_carry_over(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CORE.query(
     "group_parents",
-    f"""WITH {SQL_POOL}, b AS (SELECT *, first_value(id) OVER (PARTITION BY channel_id, group_no ORDER BY us, id) AS gid FROM {sql_quiet(30)}),
-h AS (SELECT gid, arg_min(reply_to_id, (us, id)) FILTER (WHERE id = gid) AS target FROM b GROUP BY gid)
-SELECT h.gid AS group_id, t.gid AS parent_id FROM h JOIN b t ON t.id = h.target WHERE t.gid <> h.gid""",
+    f"""WITH RECURSIVE {SQL_PARTS},
+cx AS (SELECT a.part, b.id, b.p - a.p AS position FROM h a JOIN h b ON b.key = a.key AND b.p BETWEEN a.p - 3 AND a.p - 1 JOIN h z ON z.key = a.key AND z.p = a.p - 1 AND z.head = b.head WHERE a.p = a.head AND a.p > 0),
+c1 AS (SELECT cx.part, arg_min(h.part, position) AS p1 FROM cx JOIN h ON h.id = cx.id GROUP BY cx.part),
+hd AS (SELECT h.part, pool.us, pool.reply_to_id, pool.thread_id FROM h JOIN pool ON pool.id = h.part WHERE h.id = h.part),
+c2 AS (SELECT hd.part, h.part AS p2 FROM hd JOIN h ON h.id = hd.reply_to_id WHERE h.part <> hd.part),
+c3 AS (SELECT part, lag(part) OVER (PARTITION BY thread_id ORDER BY us, part) AS p3 FROM hd WHERE thread_id IS NOT NULL)
+SELECT hd.part, coalesce(p1, p2, p3) AS parent FROM hd LEFT JOIN c1 USING (part) LEFT JOIN c2 USING (part) LEFT JOIN c3 USING (part) WHERE coalesce(p1, p2, p3) <> hd.part""",
 )
 def group_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The exchange that each one continues."""
+    return G.parents(settle(exchange_parts(spark, sf_dir), "parts"), pool(spark, sf_dir))
+
+
+_GAPS = "SELECT channel_id, greatest(coalesce(quantile_disc(CASE WHEN gap <= 21600000000 THEN gap END, 0.95) / 1e6, 0), 1800.0) AS gap_s FROM (SELECT channel_id, us - lag(us) OVER (PARTITION BY channel_id ORDER BY us, id) AS gap FROM {}) GROUP BY channel_id"
+
+
+@CORE.query(
+    "frozen_gaps",
+    f"WITH {SQL_POOL}, mid AS (SELECT (min(us) + max(us)) // 2 AS t FROM pool), early AS (SELECT pool.* FROM pool, mid WHERE us < t), a AS ({_GAPS.format('early')}), b AS ({_GAPS.format('pool')})"
+    " SELECT channel_id, CAST(floor(gap_s) AS BIGINT) AS gap_s FROM a UNION ALL SELECT channel_id, CAST(floor(gap_s) AS BIGINT) FROM b WHERE channel_id NOT IN (SELECT channel_id FROM a)",
+)
+def frozen_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gaps that the first half of the time gave stay; channels of the second half are added."""
+    p = settle(pool(spark, sf_dir), "pool")
+    mid = F.broadcast(p.agg(F.expr("(min(us) + max(us)) div 2").alias("t")))  # one row
+    early = p.join(mid, F.col("us") < F.col("t")).drop("t")
+    recorded = G.adaptive_gap(early, 95, 1800, 21600).select("channel_id", F.floor("gap_s").cast("long").alias("gap_s"))
+    return G.frozen_gaps(recorded, G.adaptive_gap(p, 95, 1800, 21600))
+
+
+@CORE.query(
+    "measure_adaptive",
+    f"""WITH {SQL_POOL}, g AS (SELECT *, us - lag(us) OVER (PARTITION BY channel_id ORDER BY us, id) AS gap FROM pool), lim AS (SELECT channel_id, gap_s * 1e6 AS lim FROM ({_GAPS.format('pool')})),
+s AS (SELECT channel_id, sum(CASE WHEN gap > lim THEN 1 ELSE 0 END) OVER (PARTITION BY channel_id ORDER BY us, id) AS no FROM g JOIN lim USING (channel_id)), z AS (SELECT channel_id, no, count(*) AS n FROM s GROUP BY ALL)
+SELECT channel_id, {_CASE} AS size, count(*) AS groups, CAST(sum(n) AS BIGINT) AS messages FROM z GROUP BY 1, 2""",
+)
+def measure_adaptive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the groups that each channel's own gap makes."""
+    p = settle(pool(spark, sf_dir), "pool")
+    lim = G.adaptive_gap(p, 95, 1800, 21600).select(F.col("channel_id").alias("l_channel"), (F.col("gap_s") * 1e6).alias("lim"))
+    s = G.by_quiet_gap(p.join(lim, F.col("channel_id") == F.col("l_channel")).drop("l_channel"), ["channel_id"], F.col("lim"), 1800 * 1_000_000)
+    z = s.groupBy("channel_id", "group_no").agg(F.count("*").alias("n"))
+    return z.groupBy("channel_id", bucket(F.col("n"), _SIZES, "cap").alias("size")).agg(F.count("*").alias("groups"), F.sum("n").alias("messages"))
+
+
+@CORE.query(
+    "rechunk_slices",
+    _REMAP + ", sl AS (SELECT CASE WHEN old_id % 2 = 0 THEN 'build' ELSE 'holdout' END AS slice, old_id, row_number() OVER (ORDER BY old_id) AS no FROM o), j AS (SELECT slice, new_id, min(no) AS first FROM sl JOIN moved USING (old_id) WHERE new_id IS NOT NULL GROUP BY ALL) SELECT slice || '@r2' AS slice, row_number() OVER (PARTITION BY slice ORDER BY first) - 1 AS no, new_id AS group_id FROM j",
+)
+def rechunk_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two slices of the old groups under the new recipe, in order."""
+    p = settle(pool(spark, sf_dir), "pool")
+    old = _grouped(p, 60)
+    ids = numbered(old.select(F.col("group_id").alias("old_id")).distinct(), [], ["old_id"])
+    slices = ids.select(F.when(F.col("old_id") % 2 == 0, "build").otherwise("holdout").alias("slice"), (F.col("no") + 1).alias("no"), F.col("old_id").alias("group_id"))
+    return G.carry_slices(slices, G.remap(old, _grouped(p, 20)), "r2")
+
+
+@CORE.query(
+    "rechunk_applied",
+    _REMAP + ", hit AS (SELECT DISTINCT old_id FROM a WHERE id % 10 = 0) SELECT old_id AS group_id, id, 1 AS version, CASE WHEN old_id IN (SELECT old_id FROM hit) THEN 2 ELSE 0 END AS superseded_by FROM a UNION ALL SELECT new_id, id, 2, 0 FROM b WHERE id IN (SELECT id FROM a WHERE old_id IN (SELECT old_id FROM hit))",
+)
+def rechunk_applied(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Membership after every group with an id divisible by ten was regrouped."""
     p = settle(pool(spark, sf_dir), "pool")
-    g = _grouped(p, 30)
-    head = p.select(F.col("id").alias("h_id"), F.col("reply_to_id").alias("target")).where("target IS NOT NULL")
-    heads = g.where("group_id = id").join(head, F.col("id") == F.col("h_id")).select("group_id", "target")
-    return heads.join(g.select(F.col("group_id").alias("parent_id"), F.col("id").alias("t_id")), F.col("target") == F.col("t_id")).where("parent_id <> group_id").select("group_id", "parent_id")
+    old, new = _grouped(p, 60), _grouped(p, 20)
+    members = old.select("group_id", "id", F.lit(1).alias("version"), F.lit(None).cast("int").alias("superseded_by"))
+    hit = old.where("id % 10 = 0").select("group_id").distinct()
+    places = settle(old.join(hit, "group_id", "left_semi").select("id"), "places")
+    return G.apply_recipe(members, new.join(places, "id", "left_semi"), places, 2).withColumn("superseded_by", F.coalesce("superseded_by", F.lit(0)))
 
 
 @CORE.query(

@@ -10,6 +10,7 @@ from ..functions import stats
 from ..functions import text as T
 from ..operators import classify as C
 from ..operators.grouping import windows_of
+from ..operators.relational import halves
 from ..storage import settle, table
 from .base import SQL_EM, exchange_messages
 from .claims_queries import _REPLIES, _replies
@@ -87,7 +88,7 @@ def kept_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
 def value_halves(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words each half of a source brings for the first time."""
     d = table(spark, sf_dir, "documents").where("source IS NOT NULL AND text IS NOT NULL")
-    half = d.select("source", "doc_id").withColumn("half", F.ntile(2).over(Window.partitionBy("source").orderBy("doc_id"))).select(F.col("doc_id").alias("h_id"), "half")
+    half = halves(d.select("source", "doc_id"), "source", "doc_id").select(F.col("doc_id").alias("h_id"), "half")
     w = d.join(half, F.col("doc_id") == F.col("h_id")).select("source", "half", F.explode(T.claim_tokens(F.col("text"))).alias("word"))
     f = w.groupBy("source", "word").agg(F.min("half").alias("half"))
     return f.groupBy("source").agg(F.count_if(F.col("half") == 1).alias("first_half"), F.count_if(F.col("half") == 2).alias("second_half"))
@@ -116,26 +117,25 @@ def char_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CORE.query("message_ensemble")
 def message_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two naive Bayes models (cited or not; relevant exchange or not) joined by a logistic combiner: id, p.
+    """Two naive Bayes models joined by a logistic combiner: id, p.
 
-    The combiner is fitted on at most 20,000 messages taken by hash; scores of
-    both models are logits clipped to +-10.
+    One learns which messages are cited, the other which stand in relevant
+    exchanges.  Every message is scored by models that didn't learn from its
+    half, and the combiner is fitted to citations on such scores (logits
+    clipped to +-10) of at most 20,000 messages taken by hash.
     """
-    em = exchange_messages(spark, sf_dir).select("id", "content")
+    em = exchange_messages(spark, sf_dir)
     m = settle(em.select("id", T.word_tokens(F.col("content")).alias("tokens")), "tokens")
-    cited = citation_labels(spark, sf_dir).select(F.col("id").alias("l_id"), (F.col("label") == "keep").alias("label"))
-    even = settle(m.join(cited, F.col("id") == F.col("l_id")).select("id", "label", "tokens"), "labelled")
-    scores = []
-    for k in (0, 1):  # each model learns from one half
-        half = even.where(F.pmod(stats.hash_byte(F.col("id")), F.lit(2)) == k)
-        p = C.fisher_scores(m, C.token_probability(C.nb_counts(half), C.class_totals(half))).select("id", F.col("p").alias(f"p{k}"))
-        logit = F.log(F.greatest(F.lit(1e-9), F.col(f"p{k}")) / F.greatest(F.lit(1e-9), 1 - F.col(f"p{k}")))
-        scores.append(p.select("id", stats.clip(logit, -10.0, 10.0).alias(f"z{k}")))
-    both = settle(scores[0].join(scores[1], "id"), "scores")
-    rows = both.join(cited, F.col("id") == F.col("l_id")).orderBy(F.xxhash64("id"), "id").limit(20_000).select("id", "z0", "z1", "label").collect()
+    cited = settle(citation_labels(spark, sf_dir).select("id", (F.col("label") == "keep").alias("label")), "cited")
+    relevant = em.select("id", "xid").join(derived_labels(spark, sf_dir).select("xid", (F.col("label") == "relevant").alias("label")), "xid").select("id", "label")
+    a, b = (C.out_of_fold_bayes(m, labels).select("id", C.logit(F.col("p")).alias(n)) for labels, n in ((cited, "z0"), (relevant, "z1")))
+    both = settle(a.join(b, "id"), "scores")
+    rows = both.join(cited, "id").orderBy(F.xxhash64("id"), "id").limit(20_000).select("id", "z0", "z1", "label").collect()
     rows.sort(key=lambda r: r["id"])
-    w, b = C.fit_logistic(np.array([(r["z0"], r["z1"]) for r in rows], float).reshape(-1, 2), np.array([r["label"] for r in rows], float))
-    z = F.col("z0") * float(w[0]) + F.col("z1") * float(w[1]) + float(b)
+    if not rows:
+        return both.select("id", F.lit(0.5).alias("p"))
+    w, k = C.fit_logistic(np.array([(r["z0"], r["z1"]) for r in rows], float).reshape(-1, 2), np.array([r["label"] for r in rows], float))
+    z = F.col("z0") * float(w[0]) + F.col("z1") * float(w[1]) + float(k)
     return both.select("id", F.round(1 / (1 + F.exp(-z)), 6).alias("p"))
 
 

@@ -114,14 +114,14 @@ def permalinks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return current(spark, sf_dir, "channel_id", "guild_id").select("id", T.permalink(F.col("guild_id"), F.col("channel_id"), F.col("id")).alias("link"))
 
 
-_PEOPLE, _SPEECH = "|".join(T.PERSONS), "|".join(T.SPEECH)
+_NEAR = " OR ".join(f"regexp_matches(lower(content), '(?s)(?:{'|'.join(T.PERSONS)}).{{0,{40 - n}}}(?:{'|'.join(v for v in T.SPEECH if len(v) == n)})')" for n in sorted({len(v) for v in T.SPEECH}))
 
 
 @CORE.query(
     "claim_shapes",
     _LIVE
-    + rf""" SELECT channel_id, count(*) AS total, count_if(regexp_matches(content, '(?i)^\s*(?:(?:a|an|the|one|another)\s+)?(?:{_PEOPLE})\b')) AS person_subject,
-  count_if(contains(lower(content), 'according to') OR regexp_matches(lower(content), '(?s)(?:{_PEOPLE}).{{0,40}}(?:{_SPEECH})')) AS attributed FROM live GROUP BY channel_id""",
+    + rf""" SELECT channel_id, count(*) AS total, count_if(regexp_matches(content, '(?i)^\s*(?:a|an|the|one|another)?\s*(?:{'|'.join(T.NOUNS)})\b')) AS person_subject,
+  count_if(regexp_matches(lower(content), '\baccording to\b') OR {_NEAR}) AS attributed FROM live GROUP BY channel_id""",
 )
 def claim_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = F.col("content")
@@ -131,7 +131,7 @@ def claim_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
 @CORE.query(
     "pseudonyms",
     f"WITH {SQL_EM}, f AS (SELECT xid, author_id, min(position) AS first FROM em GROUP BY xid, author_id), r AS (SELECT *, row_number() OVER (PARTITION BY xid ORDER BY first) - 1 AS no FROM f)"
-    + " SELECT xid, author_id, 'user-' || left(sha256('salt:' || author_id), 4) AS pseudonym, CASE WHEN no < 26 THEN chr(CAST(65 + no AS INTEGER)) ELSE chr(CAST(64 + no // 26 AS INTEGER)) || chr(CAST(65 + no % 26 AS INTEGER)) END AS member FROM r WHERE no < 700",
+    + " SELECT xid, author_id, 'user-' || left(sha256('salt:' || author_id), 4) AS pseudonym, CASE WHEN no < 26 THEN chr(CAST(65 + no AS INTEGER)) ELSE chr(CAST(64 + no // 26 AS INTEGER)) || chr(CAST(65 + no % 26 AS INTEGER)) END AS member FROM r",
 )
 def pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.members(exchange_messages(spark, sf_dir), "salt").select("xid", "author_id", "pseudonym", "member")
@@ -206,28 +206,21 @@ def related_any(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @CORE.query(
     "context_window",
-    f"""WITH {SQL_EM}, r AS (SELECT *, row_number() OVER (PARTITION BY channel_id, us // 86400000000 ORDER BY us, id) AS rn FROM em),
-hits AS (SELECT * FROM r WHERE contains(content, 'overdue?'))
-SELECT DISTINCT h.id AS hit_id, r.id, r.rn - h.rn AS distance FROM hits h JOIN r ON r.channel_id = h.channel_id AND r.us // 86400000000 = h.us // 86400000000 AND r.rn BETWEEN h.rn - 2 AND h.rn + 2""",
-)
-def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.context(exchange_messages(spark, sf_dir), F.col("content").contains("overdue?"), 2)
-
-
-@CORE.query(
-    "channel_context",
     f"""WITH {SQL_EM}, r AS (SELECT channel_id, id, content, row_number() OVER (PARTITION BY channel_id ORDER BY id) AS rn FROM em),
 hits AS (SELECT * FROM r WHERE contains(content, 'overdue?'))
 SELECT h.id AS hit_id, r.id, r.rn - h.rn AS distance FROM hits h JOIN r ON r.channel_id = h.channel_id AND r.rn BETWEEN h.rn - 2 AND h.rn + 2""",
 )
-def channel_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+def context_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.channel_context(exchange_messages(spark, sf_dir), F.col("content").contains("overdue?"), 2)
 
 
 @CORE.query(
     "embedding_windows",
-    f"""WITH {SQL_EM} SELECT xid, window_no, count(*) AS n, sum(ceil(length(content) / 4.0))::BIGINT AS tokens FROM
-(SELECT *, CAST(floor((sum(ceil(length(content) / 4.0)) OVER (PARTITION BY xid ORDER BY position) - ceil(length(content) / 4.0)) / 128) AS BIGINT) AS window_no FROM em) GROUP BY xid, window_no""",
+    f"""WITH {SQL_EM}, pc AS (SELECT xid, position, i, least(512, length(content) - 512 * i) AS chars FROM (SELECT *, unnest(range(0, greatest(1, CAST(ceil(length(content) / 512.0) AS BIGINT)))) AS i FROM em)),
+sq AS (SELECT xid, CAST(ceil(chars / 4.0) AS BIGINT) AS t, row_number() OVER (PARTITION BY xid ORDER BY position, i) AS seq FROM pc),
+ww AS (WITH RECURSIVE w AS (SELECT xid, seq, t, CAST(0 AS BIGINT) AS window_no, t AS used FROM sq WHERE seq = 1
+  UNION ALL SELECT s.xid, s.seq, s.t, CASE WHEN used + s.t > 128 THEN window_no + 1 ELSE window_no END, CASE WHEN used + s.t > 128 THEN 0 ELSE used END + s.t FROM w JOIN sq s ON s.xid = w.xid AND s.seq = w.seq + 1) SELECT * FROM w)
+SELECT xid, window_no, count(*) AS n, CAST(sum(t) AS BIGINT) AS tokens FROM ww GROUP BY xid, window_no""",
 )
 def embedding_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.token_windows(exchange_messages(spark, sf_dir), 128)
