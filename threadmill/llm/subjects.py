@@ -10,10 +10,9 @@ posterior says what each pattern means.  A document has a subject if at least a
 fifth of its sentences are about it.  Names of subjects mean nothing to any
 function: subjects with other names get the same documents.
 
-Texts are read whole, twice: for term counts, and for what each sentence holds
-of the terms that may be learned ones.  The learned lexicon has no bound: it
-stays a table that these terms are joined with; votes are then counted without
-the texts.  What reaches the driver is bounded: the
+Texts are read whole, three times: for term counts, for the learned terms that
+each holds, and for votes.  The learned lexicon has no bound: it stays a table
+that the texts' terms are joined with.  What reaches the driver is bounded: the
 terms of the label sample, a bitmap of fixed size, and the vote patterns.  A
 pattern says which functions abstain and which agree, not on what, so there are
 at most 203 of them whatever the number of subjects.
@@ -235,63 +234,29 @@ def _learned(docs: DataFrame, first: dict[str, tuple[int, float]], k: int) -> tu
     return lexicon, address
 
 
-def _read(docs: DataFrame, lexicon: DataFrame, taught: dict[str, tuple[int, float]]) -> DataFrame:
-    """What each text holds: doc_id, h_text (hash of the text), source, first (vote of the taught lexicon per sentence, -1: none), section (per sentence), terms that may be learned, and the sentences of each."""
-    held = docs.sparkSession.sparkContext.broadcast((term_filter(lexicon).tobytes(), taught))
+def _held_terms(docs: DataFrame, lexicon: DataFrame) -> DataFrame:
+    """The learned terms that each text holds: h_text (hash of the text), wide (array of term, s, share).
+
+    Texts of one hash share a row, which then holds the terms of both.
+    """
+    held = docs.sparkSession.sparkContext.broadcast(term_filter(lexicon).tobytes())
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bits, first = held.value
-        known = frozenset(first)
-        passes: dict[str, bool] = {}
+        bits = held.value
         for f in frames:
-            votes, sections, found, places = [], [], [], []
-            for text in f["text"]:
-                at: dict[str, list[int]] = {}
-                vote, section = [], []
-                for n, block in enumerate(sentences(text)):
-                    for one in block:
-                        t = terms(one)
-                        v = weighted_vote(t & known, first)
-                        for x in t:
-                            ok = passes.get(x)
-                            if ok is None:
-                                if len(passes) > 500_000:
-                                    passes.clear()
-                                h = zlib.crc32(x.encode()) % FILTER_BITS
-                                ok = passes[x] = bool(bits[h >> 3] >> (h & 7) & 1)
-                            if ok:
-                                at.setdefault(x, []).append(len(vote))
-                        vote.append(-1 if v is None else v)
-                        section.append(n)
-                votes.append(vote)
-                sections.append(section)
-                found.append(list(at))
-                places.append(list(at.values()))
-            yield pd.DataFrame({"doc_id": f["doc_id"], "h_text": f["h_text"], "source": f["source"], "first": votes, "section": sections, "terms": found, "at": places})
-
-    d = docs.where("text IS NOT NULL").select("doc_id", F.xxhash64("text").alias("h_text"), "source", "text")
-    return settle(d.mapInPandas(run, "doc_id long, h_text long, source string, first array<int>, section array<int>, terms array<string>, at array<array<int>>"), "read")
-
-
-def learned_votes(n: int, hits: Sequence[tuple[int, float, Sequence[int]]]) -> list[int]:
-    """The vote of the learned lexicon for each of ``n`` sentences (-1: none), from its terms' (subject, weight, sentences)."""
-    sums: list[dict[int, float] | None] = [None] * n
-    for s, w, at in hits:
-        for i in at:
-            c = sums[i]
-            if c is None:
-                c = sums[i] = {}
-            c[s] = c.get(s, 0.0) + w
-    out = []
-    for c in sums:
-        if c is None:
-            out.append(-1)
-        elif len(c) == 1:
-            out.append(next(iter(c)))
-        else:
-            ranked = sorted(c.items(), key=lambda x: (-x[1], x[0]))
-            out.append(-1 if ranked[1][1] > 0.9 * ranked[0][1] else ranked[0][0])
-    return out
+            keys, found = [], []
+            for key, text in zip(f["h_text"], f["text"]):
+                for t in set().union(*(terms(s) for b in sentences(text) for s in b)):
+                    h = zlib.crc32(t.encode()) % FILTER_BITS
+                    if bits[h >> 3] >> (h & 7) & 1:
+                        keys.append(key)
+                        found.append(t)
+            if keys:
+                yield pd.DataFrame({"h_text": keys, "term": found})
+
+    said = docs.where("text IS NOT NULL").select(F.xxhash64("text").alias("h_text"), "text")
+    said = said.mapInPandas(run, "h_text long, term string")
+    return said.join(lexicon, "term").groupBy("h_text").agg(F.collect_set(F.struct("term", "s", "share")).alias("wide"))
 
 
 def subject_shares(documents: DataFrame, subjects: DataFrame, labels: DataFrame) -> DataFrame:
@@ -318,32 +283,38 @@ def subject_shares(documents: DataFrame, subjects: DataFrame, labels: DataFrame)
     taught = about_lexicon([p[0] for p in pairs])
     taught.update(_labelled_terms(docs, label))  # what documents show counts more than what is said
     learned, address = _learned(docs, taught, k)
+    held = spark.sparkContext.broadcast(taught)
     base = k + 1
-    read = _read(spread(docs, "doc_id"), learned, taught)
+
+    def weight(term: str, share: float) -> float:
+        return math.log(share * k / (1 - share + 0.02)) * (0.5 if " " in term else 1.0)
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        lexicon = held.value
+        known = frozenset(lexicon)
         for f in frames:
             out = []
-            for doc, first, section, wide, where, lab in zip(f["doc_id"], f["first"], f["section"], f["wide"], f["address"], f["label"]):
-                n = len(first)
-                if not n:
+            for doc, text, where, lab, *learned in zip(f["doc_id"], f["text"], f["address"], f["label"], f["term"], f["s"], f["share"]):
+                if not text:
                     continue
                 where = -1 if where != where or where is None else int(where)
                 lab = -1 if lab != lab or lab is None else int(lab)
-                second = learned_votes(n, [] if wide is None else [(int(h["s"]), h["w"], h["at"]) for h in wide])
-                seconds: dict[int, Counter[int]] = defaultdict(Counter)
-                for v, b in zip(section, second):
-                    if b >= 0:
-                        seconds[v][b] += 1
+                wide = {} if learned[0] is None else {t: (int(s), weight(t, share)) for t, s, share in zip(*learned)}
+                widely = wide.keys()
                 c: Counter[tuple[int, ...]] = Counter()
-                for a, b, v in zip(first, second, section):
-                    around = seconds.get(v)
-                    near = -1
-                    if around:  # the other sentences of the section
-                        total = sum(around.values()) - (b >= 0)
-                        s, m = max(((x, y - (x == b)) for x, y in around.items()), key=lambda z: (z[1], -z[0]))
-                        near = s if m >= 2 and m >= 0.6 * total else -1
-                    c[int(a), b, near, where, lab] += 1
+                n = 0
+                blocks = [[(weighted_vote(t & known, lexicon), weighted_vote(t & widely, wide)) for t in map(terms, b)] for b in sentences(text)]
+                for votes in blocks:
+                    seconds = Counter(b for _, b in votes if b is not None)
+                    for a, b in votes:
+                        n += 1
+                        around = seconds.copy()
+                        if b is not None:
+                            around[b] -= 1
+                        total = sum(around.values())
+                        s, m = max(around.items(), key=lambda z: (z[1], -z[0])) if total else (-1, 0)
+                        section = s if m >= 2 and m >= 0.6 * total else -1
+                        c[-1 if a is None else a, -1 if b is None else b, section, where, lab] += 1
                 codes, kinds = [], []
                 for votes in c:
                     code = kind = 0
@@ -355,13 +326,10 @@ def subject_shares(documents: DataFrame, subjects: DataFrame, labels: DataFrame)
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "n", "codes", "kinds", "counts"])
 
-    said = read.select("h_text", F.explode(F.arrays_zip("terms", "at")).alias("z")).select("h_text", F.col("z.terms").alias("term"), F.col("z.at").alias("at"))
-    weight = F.log(F.col("share") * k / (1 - F.col("share") + 0.02)) * F.when(F.col("term").contains(" "), 0.5).otherwise(1.0)
-    wide = said.join(learned, "term").groupBy("h_text").agg(F.sort_array(F.collect_set(F.struct("term", "s", weight.alias("w"), "at"))).alias("wide"))
-    wide = wide.select(F.col("h_text").alias("w_text"), F.transform("wide", lambda x: F.struct(x["s"].alias("s"), x["w"].alias("w"), x["at"].alias("at"))).alias("wide"))
-    joined = read.select("doc_id", "h_text", "source", "first", "section").join(wide, F.col("h_text") == F.col("w_text"), "left")
-    joined = joined.join(label, F.col("doc_id") == F.col("l_id"), "left").join(address, F.col("source") == F.col("a_source"), "left")
-    votes = joined.select("doc_id", "first", "section", "wide", "address", "label").mapInPandas(run, "doc_id long, n long, codes array<bigint>, kinds array<int>, counts array<int>")
+    docs = spread(docs, "doc_id")
+    wide = _held_terms(docs, learned)
+    joined = docs.withColumn("key", F.xxhash64("text")).join(wide, F.col("key") == F.col("h_text"), "left").join(label, docs.doc_id == label.l_id, "left").join(address, F.col("source") == F.col("a_source"), "left")
+    votes = joined.select("doc_id", "text", "address", "label", "wide.term", "wide.s", "wide.share").mapInPandas(run, "doc_id long, n long, codes array<bigint>, kinds array<int>, counts array<int>")
     each = settle(votes, "votes").select("doc_id", "n", F.explode(F.arrays_zip("codes", "kinds", "counts")).alias("z")).select("doc_id", "n", F.col("z.codes").alias("code"), F.col("z.kinds").alias("kind"), F.col("z.counts").alias("c"))
     seen = each.groupBy("kind").agg(F.sum("c").alias("c")).orderBy("kind").collect()  # at most 203 rows
     if not seen:
