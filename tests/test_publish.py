@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from threadmill.functions import text as T
+from threadmill.operators import claims as K
 from threadmill.operators import classify as C
 from threadmill.operators import grouping as G
 from threadmill.operators import lexicon as L
@@ -14,6 +15,7 @@ from threadmill.operators import order as O
 from threadmill.operators import publish as P
 from threadmill.operators import relational as R
 from threadmill.operators import search as S
+from threadmill.operators import stores as ST
 from threadmill.operators.vectors import best_match
 
 
@@ -188,3 +190,37 @@ def test_attribution(spark):
     rows = ["According to nobody", "accordingly to plan", "X, which a member confirmed", "a user of the old box with a very long tail that goes on said so", "Someone plans to", "members said", "The author", None]
     got = [tuple(r) for r in spark.createDataFrame([(t,) for t in rows], "t string").select(T.attributed(F.col("t")), T.person_subject(F.col("t"))).collect()]
     assert got == [(True, False), (False, False), (True, False), (False, True), (True, True), (False, False), (False, True), (None, None)]
+
+
+def test_parents_and_kinds(spark):
+    n = spark.createDataFrame([("irix 6.5", 5), ("irix 6", 9), ("irix", 50), ("IRIX", 60), ("o2 case", 3), ("o2", 2), ("r10000", 4), ("R", 7), ("alone", 1), ("big", 1)], "name string, size long")
+    p = K.parents(n, "name", "size")
+    assert {r.name: r.parent for r in p.collect()} == {"irix 6.5": "irix 6", "irix 6": "IRIX", "r10000": "R"}
+    d = n.select("name", F.when(F.col("name") == "alone", "a disk").otherwise(F.lit(None)).alias("description"))
+    hand = spark.createDataFrame([("IRIX", "os")], "name string, kind string")
+    got = {r.name: r.kind for r in K.assign_kinds(d, p, hand, [("part", "disk")], [("cpu", "^r[0-9]")]).collect()}
+    assert got == {"irix 6.5": "os", "irix 6": "os", "irix": "other", "IRIX": "os", "o2 case": "other", "o2": "other", "r10000": "cpu", "R": "other", "alone": "part", "big": "other"}
+    assert K.assign_kinds(d.limit(0), p, hand, [], []).collect() == []
+
+
+def test_annotations_are_only_appended(spark):
+    schema = "subject long, scorer string, version string, derived boolean, recipe string, score double, label string, at long"
+    frame = lambda *rows: spark.createDataFrame(list(rows), schema)
+    one = (1, "a", "v1", True, "{}", 0.5, None, 1)
+    store = ST.append_annotations(frame(), frame(one, (1, "human", None, False, None, None, "x", 1), (1, "human", None, False, None, None, "x", 1)))
+    assert store.count() == 3
+    for bad in ((2, "a", "v1", True, None, 0.5, None, 1), one):
+        with pytest.raises(ST.Conflict):
+            ST.append_annotations(store, frame(bad))
+    with pytest.raises(ST.Conflict):
+        ST.append_annotations(frame(), frame(one, one))
+    store = ST.append_annotations(store, frame((1, "a", "v2", True, "{}", 0.9, None, 2)))
+    act = spark.createDataFrame([("a", "v2", 5, 1), ("a", "v1", 5, 2)], "scorer string, version string, at long, no long")
+    assert [(r.subject, r.version, r.score) for r in ST.active_scores(store, act).collect()] == [(1, "v1", 0.5)]
+    assert [r.subject for r in ST.stale_subjects(spark.createDataFrame([(1,), (2,)], "subject long"), store, "a", "v1").collect()] == [2]
+
+
+def test_labels_of_runs(spark):
+    runs = spark.createDataFrame([(1, 10, False), (2, 20, False), (3, 30, True), (4, 40, None), (5, 50, False)], "run long, xid long, failed boolean")
+    claims = spark.createDataFrame([(1, "known"), (1, "partial"), (2, "known"), (3, "unknown"), (4, "known"), (4, None)], "run long, novelty string")
+    assert {r.run: (r.label, r.reason) for r in ST.labels_of_runs(runs, claims).collect()} == {1: ("relevant", None), 2: ("irrelevant", None), 3: (None, "failed run"), 4: (None, "unprobed claims"), 5: ("irrelevant", None)}

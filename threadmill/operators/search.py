@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..storage import settle
 
 TERM = r"[\p{L}\p{N}_./-]*[\p{L}\p{N}]"
 K1, B = 1.2, 0.75
@@ -53,6 +54,19 @@ def search_groups(messages: DataFrame, query: str, limit: int) -> DataFrame:
     return g.orderBy(F.desc("score"), F.desc("latest")).limit(limit).withColumn("score", F.round("score", 6))
 
 
+def group_hits(messages: DataFrame, query: str, limit: int, opted_out: DataFrame) -> DataFrame:
+    """``search_groups`` with participants (distinct authors that didn't opt out) and the two best messages' snippets."""
+    s, n = scores(messages, query, ("xid",))
+    s = settle(s.where(F.col("terms") == n), "hits")
+    g = s.groupBy("xid").agg(F.sum("score").alias("score"), F.count("*").alias("n_hits"), F.max("id").alias("latest"))
+    top = settle(g.orderBy(F.desc("score"), F.desc("latest")).limit(limit).select("xid", F.round("score", 6).alias("score"), "n_hits"), "top")
+    best = s.join(top.select("xid"), "xid", "left_semi").withColumn("rn", F.row_number().over(Window.partitionBy("xid").orderBy(F.desc(F.round("score", 6)), "id"))).where("rn <= 2").select("id", "rn")
+    mine = messages.join(top.select("xid"), "xid", "left_semi")
+    text = mine.join(best, "id").groupBy("xid").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rn", T.snippet(F.col("content")).alias("t")))), lambda x: x["t"]), " | ").alias("snippets"))
+    people = mine.join(opted_out.select("author_id").distinct(), "author_id", "left_anti").groupBy("xid").agg(F.count_distinct("author_id").alias("participants"))
+    return top.join(text, "xid").join(people, "xid", "left").select("xid", "score", "n_hits", F.coalesce("participants", F.lit(0)).alias("participants"), "snippets")
+
+
 #: Messages that a window of ``channel_context`` holds on average if all are of one channel.
 CHUNK_ROWS = 50_000
 

@@ -238,25 +238,43 @@ def tag_merges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return K.merge_map(table(spark, sf_dir, "mined_terms").where("trim(term) <> ''").select(F.trim("term").alias("term")), "term")
 
 
-@CORE.query(
-    "name_parents",
-    "WITH n AS (SELECT split_part(content, ' ', 1) AS a, array_to_string(string_split(content, ' ')[1:2], ' ') AS b FROM messages WHERE content LIKE '% % %'), s AS (SELECT name, count(*) AS size FROM (SELECT a AS name FROM n UNION ALL SELECT b FROM n) GROUP BY name)"
-    " SELECT c.name, arg_max(p.name, (p.size, p.name)) AS parent FROM s c JOIN s p ON lower(p.name) = lower(split_part(c.name, ' ', 1)) AND contains(c.name, ' ') AND p.size > c.size AND NOT contains(p.name, ' ') GROUP BY c.name",
-)
+_WORDS3 = "SELECT lower(trim(term)) AS term FROM mined_terms WHERE trim(term) <> ''"
+_NAMES = f"""ts AS ({_WORDS3}), ws AS (SELECT unnest(list_distinct([split_part(term, ' ', 1), term, split_part(term, ' ', 1)])) AS name FROM ts), nm AS (SELECT name, count(*) AS size FROM ws GROUP BY name),
+cd AS (SELECT name, size, 0 AS place, regexp_replace(name, '\\.[0-9]+[a-z]*$', '') AS form FROM nm
+  UNION ALL SELECT name, size, k, array_to_string(string_split(name, ' ')[1:len(string_split(name, ' ')) - k], ' ') FROM (SELECT name, size, unnest(range(1, len(string_split(name, ' ')))) AS k FROM nm)
+  UNION ALL SELECT name, size, 1000000, regexp_extract(name, '^([A-Za-z]+)[0-9]', 1) FROM nm),
+pa AS (SELECT cd.name, arg_min(p.name, (place, -p.size, p.name)) AS parent FROM cd JOIN nm p ON lower(p.name) = lower(form) AND p.size > cd.size WHERE form <> '' AND form <> cd.name GROUP BY cd.name)"""
+
+
+def _names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms and their first words, with how many rows hold them."""
+    t = table(spark, sf_dir, "mined_terms").where("trim(term) <> ''").select(F.lower(F.trim("term")).alias("term"))
+    w = t.select(F.explode(F.array_distinct(F.array("term", F.split_part("term", F.lit(" "), F.lit(1))))).alias("name"))
+    return settle(w.groupBy("name").agg(F.count("*").alias("size")), "names")
+
+
+@CORE.query("name_parents", f"WITH {_NAMES} SELECT name, parent FROM pa")
 def name_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    w = F.split("content", " ", -1)
-    m = table(spark, sf_dir, "messages").where(F.col("content").like("% % %"))
-    names = m.select(F.explode(F.array(w[0], F.array_join(F.slice(w, 1, 2), " "))).alias("name")).groupBy("name").agg(F.count("*").alias("size"))
-    return K.parents(settle(names, "names"), "name", "size")
+    return K.parents(_names(spark, sf_dir), "name", "size")
+
+
+#: Stand-in rules: the second word describes, the first names.
+_BY_TEXT, _BY_NAME = [("software", "script|code|log"), ("part", "drive|board|card|lens")], [("machine", "^(server|camera|train|guitar)"), ("part", "cable|disk|film")]
+_BY_HAND = [("router", "machine"), ("compiler", "software"), ("court", "place")]
 
 
 @CORE.query(
     "kinds",
-    r"SELECT p_partkey, CASE WHEN regexp_matches(lower(p_type), 'steel|tin') THEN 'part' WHEN regexp_matches(lower(p_type), 'brass|copper|nickel') THEN 'machine' ELSE 'other' END AS kind FROM part",
+    f"""WITH RECURSIVE {_NAMES}, ow AS (SELECT nm.name, coalesce(h.kind, {", ".join(f"CASE WHEN regexp_matches(split_part(nm.name, ' ', 2), '(?i){p}') THEN '{k}' END" for k, p in _BY_TEXT)}, {", ".join(f"CASE WHEN regexp_matches(nm.name, '(?i){p}') THEN '{k}' END" for k, p in _BY_NAME)}) AS kind
+  FROM nm LEFT JOIN (VALUES {", ".join(str(x) for x in _BY_HAND)}) h(name, kind) USING (name)),
+up AS (SELECT name, name AS at, 0 AS d FROM nm UNION ALL SELECT up.name, pa.parent, d + 1 FROM up JOIN pa ON pa.name = up.at),
+fd AS (SELECT up.name, arg_min(kind, d) AS kind FROM up JOIN ow ON ow.name = up.at WHERE kind IS NOT NULL GROUP BY up.name)
+SELECT nm.name, coalesce(kind, 'other') AS kind FROM nm LEFT JOIN fd USING (name)""",
 )
 def kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    low = F.lower("p_type")
-    return table(spark, sf_dir, "part").select("p_partkey", F.when(low.rlike("steel|tin"), "part").when(low.rlike("brass|copper|nickel"), "machine").otherwise("other").alias("kind"))
+    n = _names(spark, sf_dir)
+    d = n.select("name", F.split_part("name", F.lit(" "), F.lit(2)).alias("description"))
+    return K.assign_kinds(d, K.parents(n, "name", "size"), spark.createDataFrame(_BY_HAND, "name string, kind string"), _BY_TEXT, _BY_NAME)
 
 
 @CORE.query(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import stats
 from ..functions import text as T
 from ..operators import classify as C
+from ..operators import stores
 from ..operators.grouping import windows_of
 from ..operators.relational import halves
 from ..storage import settle, table
@@ -23,22 +24,47 @@ from .text_queries import SQL_CLAIM
     f"WITH {SQL_EM}, cited AS (SELECT DISTINCT reply_to_id FROM em WHERE reply_to_id IS NOT NULL), live AS (SELECT xid FROM em GROUP BY xid HAVING count(*) >= 3) SELECT id, CASE WHEN id IN (SELECT reply_to_id FROM cited) THEN 'keep' ELSE 'trash' END AS label FROM em WHERE xid IN (SELECT xid FROM live)",
 )
 def citation_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages of worked-off exchanges: keep if something cites them, else trash."""
-    em = settle(exchange_messages(spark, sf_dir).select("xid", "id", "reply_to_id"), "em")
-    cited = em.where("reply_to_id IS NOT NULL").select(F.col("reply_to_id").alias("c_id")).distinct()
-    live = em.groupBy("xid").agg(F.count("*").alias("n")).where("n >= 3").select("xid")
-    return em.join(live, "xid", "left_semi").join(cited, F.col("id") == F.col("c_id"), "left").select("id", F.when(F.col("c_id").isNotNull(), "keep").otherwise("trash").alias("label"))
+    """Exchanges of three or more messages count as worked off, replies as citations."""
+    em = exchange_messages(spark, sf_dir).select("xid", "id", "reply_to_id")
+    return stores.citation_labels(em, em.groupBy("xid").agg(F.count("*").alias("n")).where("n >= 3"), em.select(F.col("reply_to_id").alias("id")))
+
+
+_NOVELTY = "CASE {0} % 5 WHEN 0 THEN 'unknown' WHEN 1 THEN 'partial' WHEN 4 THEN NULL ELSE 'known' END"
 
 
 @CORE.query(
     "derived_labels",
-    f"WITH {SQL_EM} SELECT xid, CASE WHEN bool_or(contains(content, '?') AND length(content) >= 40) THEN 'relevant' ELSE 'irrelevant' END AS label FROM em GROUP BY xid HAVING bool_or(contains(content, '?') AND length(content) >= 40) OR bool_and(length(content) < 40)",
+    f"WITH {SQL_EM}, cl AS (SELECT xid, {_NOVELTY.format('id')} AS novelty FROM em WHERE contains(content, '?')), g AS (SELECT xid, bool_or(coalesce(novelty IN ('unknown', 'partial', 'contradicts'), false)) AS fresh, bool_and(coalesce(novelty = 'known', false)) AS known FROM cl GROUP BY xid),"
+    " r AS (SELECT DISTINCT xid, xid % 19 = 0 AS failed FROM em) SELECT xid, CASE WHEN failed THEN NULL WHEN coalesce(fresh, false) THEN 'relevant' WHEN coalesce(known, true) THEN 'irrelevant' END AS label, CASE WHEN failed THEN 'failed run' WHEN NOT coalesce(fresh, false) AND NOT coalesce(known, true) THEN 'unprobed claims' END AS reason FROM r LEFT JOIN g USING (xid)",
 )
 def derived_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One find makes an exchange relevant; only finds of no worth make it irrelevant; others get no label."""
-    some, none = F.contains("content", F.lit("?")) & (F.length("content") >= 40), F.length("content") < 40
-    g = exchange_messages(spark, sf_dir).groupBy("xid").agg(F.bool_or(some).alias("some"), F.bool_and(none).alias("none")).where("some OR none")
-    return g.select("xid", F.when(F.col("some"), "relevant").otherwise("irrelevant").alias("label"))
+    """One run per exchange; its questions stand in for statements."""
+    em = exchange_messages(spark, sf_dir)
+    runs = em.select(F.col("xid").alias("run"), "xid", (F.col("xid") % 19 == 0).alias("failed")).distinct()
+    claims = em.where(F.col("content").contains("?")).select(F.col("xid").alias("run"), F.expr(_NOVELTY.format("id")).alias("novelty"))
+    return stores.labels_of_runs(runs, claims).select("xid", "label", "reason")
+
+
+_STORE = f"WITH {SQL_EM}, st AS (SELECT DISTINCT xid AS subject, 'rules' AS scorer, v AS version, ((xid // v) % 100) / 100.0 AS score FROM em, (VALUES (1), (2), (3)) t(v) WHERE xid % v = 0)"
+
+
+def _store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    x = exchange_messages(spark, sf_dir).select(F.col("xid").alias("subject")).distinct().withColumn("version", F.explode(F.array(F.lit(1), F.lit(2), F.lit(3)))).where("subject % version = 0")
+    s = x.select("subject", F.lit("rules").alias("scorer"), "version", F.lit(True).alias("derived"), F.lit("{}").alias("recipe"), (F.expr("(subject div version) % 100") / 100.0).alias("score"), F.lit(None).cast("string").alias("label"), F.lit(1).alias("at"))
+    return stores.append_annotations(s.limit(0), s)
+
+
+@CORE.query("active_scores", _STORE + " SELECT subject, version, score FROM st WHERE version = 2")
+def active_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scores of the version that was activated last."""
+    a = spark.createDataFrame([("rules", 3, 10, 1), ("rules", 1, 20, 2), ("rules", 2, 20, 3)], "scorer string, version int, at long, no long")
+    return stores.active_scores(_store(spark, sf_dir), a).select("subject", "version", "score")
+
+
+@CORE.query("stale_scores", _STORE + " SELECT DISTINCT xid AS subject FROM em WHERE xid NOT IN (SELECT subject FROM st WHERE version = 3)")
+def stale_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = exchange_messages(spark, sf_dir).select(F.col("xid").alias("subject")).distinct()
+    return stores.stale_subjects(s, _store(spark, sf_dir), "rules", "3")
 
 
 _CLAIM_OVERLAP = f"""len(list_intersect({SQL_CLAIM.replace('@c', 'statement')}, {SQL_CLAIM.replace('@c', '{s}')})) / greatest(1, len({SQL_CLAIM.replace('@c', 'statement')}))"""
@@ -127,7 +153,7 @@ def message_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     em = exchange_messages(spark, sf_dir)
     m = settle(em.select("id", T.word_tokens(F.col("content")).alias("tokens")), "tokens")
     cited = settle(citation_labels(spark, sf_dir).select("id", (F.col("label") == "keep").alias("label")), "cited")
-    relevant = em.select("id", "xid").join(derived_labels(spark, sf_dir).select("xid", (F.col("label") == "relevant").alias("label")), "xid").select("id", "label")
+    relevant = em.select("id", "xid").join(derived_labels(spark, sf_dir).where("label IS NOT NULL").select("xid", (F.col("label") == "relevant").alias("label")), "xid").select("id", "label")
     a, b = (C.out_of_fold_bayes(m, labels).select("id", C.logit(F.col("p")).alias(n)) for labels, n in ((cited, "z0"), (relevant, "z1")))
     both = settle(a.join(b, "id"), "scores")
     rows = both.join(cited, "id").orderBy(F.xxhash64("id"), "id").limit(20_000).select("id", "z0", "z1", "label").collect()

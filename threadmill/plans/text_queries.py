@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators import classify as C
 from ..operators import search as S
+from ..operators.stores import refreshed_index
 from ..storage import table
 from .base import SQL_CUR, SQL_EM, current, exchange_messages
 from .registry import CORE
@@ -196,6 +198,36 @@ def search_exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.search_groups(exchange_messages(spark, sf_dir), _QUERY, limit=20)
 
 
+@CORE.query("inverted_index", f"WITH {SQL_EM}, {_TF} SELECT term, count(*) AS n_docs, CAST(sum(tf) AS BIGINT) AS n FROM tf GROUP BY term")
+def inverted_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals of an index in which the messages of a tenth of the ids were rebuilt."""
+    em = exchange_messages(spark, sf_dir)
+    index = S.inverted_index(em)
+    changed = em.where("id % 10 = 0").select("id")
+    index = refreshed_index(index, changed, S.inverted_index(em.where("id % 10 = 0")))
+    return index.groupBy("term").agg(F.count("*").alias("n_docs"), F.sum("tf").alias("n"))
+
+
+@CORE.query(
+    "exchange_hits",
+    f"""WITH {SQL_EM}, {_TF}, hx AS (SELECT xid, round(sum(score), 6) AS score, count(*) AS n_hits, max(id) AS latest FROM s WHERE terms = 3 GROUP BY xid ORDER BY score DESC, latest DESC LIMIT 20),
+sn AS (SELECT s.xid, s.id, row_number() OVER (PARTITION BY s.xid ORDER BY round(s.score, 6) DESC, s.id) AS rn FROM s JOIN hx USING (xid) WHERE s.terms = 3),
+tx AS (SELECT sn.xid, string_agg(CASE WHEN length(f) > 200 THEN left(f, 197) || '...' ELSE f END, ' | ' ORDER BY rn) AS snippets FROM (SELECT sn.*, trim(regexp_replace(em.content, '[\\s\\x0b]+', ' ', 'g')) AS f FROM sn JOIN em USING (id)) sn WHERE rn <= 2 GROUP BY sn.xid)
+SELECT hx.xid, score, n_hits, (SELECT count(DISTINCT author_id) FROM em WHERE em.xid = hx.xid AND author_id % 7 <> 0) AS participants, snippets FROM hx JOIN tx USING (xid)""",
+)
+def exchange_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best exchanges with two snippets and the number of their participants that didn't opt out."""
+    em = exchange_messages(spark, sf_dir)
+    return S.group_hits(em, _QUERY, 20, em.where("author_id % 7 = 0").select("author_id"))
+
+
+@CORE.query("top_tokens", f"WITH {SQL_EM}, x AS (SELECT id, contains(content, '?') AS label, unnest({SQL_WORDS.replace('@c', 'content')}) AS token FROM em), tot AS (SELECT count_if(contains(content, '?')) AS n_pos, count_if(NOT contains(content, '?')) AS n_neg FROM em), cnt AS (SELECT token, count_if(label) AS pos, count_if(NOT label) AS neg FROM x GROUP BY token), pr AS (SELECT token, (0.5 + (pos + neg) * ((pos / n_pos) / (pos / n_pos + neg / n_neg))) / (1 + pos + neg) AS p FROM cnt, tot) SELECT token, round(p, 9) AS p FROM pr ORDER BY round(abs(pr.p - 0.5), 9) DESC, token LIMIT 40")
+def top_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens that tell questions from the rest best (a top list)."""
+    e = exchange_messages(spark, sf_dir).select("id", F.col("content").contains("?").alias("label"), T.word_tokens(F.col("content")).alias("tokens"))
+    return C.top_tokens(C.token_probability(C.nb_counts(e), C.class_totals(e)), 40).withColumn("p", F.round("p", 9))
+
+
 @CORE.query(
     "related_any",
     f"WITH {SQL_EM}, {_TF} SELECT id, round(score, 6) AS score FROM s ORDER BY score DESC, id LIMIT 30",
