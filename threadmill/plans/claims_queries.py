@@ -263,20 +263,25 @@ _BY_TEXT, _BY_NAME = [("software", "script|code|log"), ("part", "drive|board|car
 _BY_HAND = [("router", "machine"), ("compiler", "software"), ("court", "place")]
 
 
-@CORE.query(
-    "kinds",
-    f"""WITH RECURSIVE {_NAMES}, ow AS (SELECT nm.name, coalesce(h.kind, {", ".join(f"CASE WHEN regexp_matches(split_part(nm.name, ' ', 2), '(?i){p}') THEN '{k}' END" for k, p in _BY_TEXT)}, {", ".join(f"CASE WHEN regexp_matches(nm.name, '(?i){p}') THEN '{k}' END" for k, p in _BY_NAME)}) AS kind
+_KINDS = f"""WITH RECURSIVE {_NAMES}, ow AS (SELECT nm.name, coalesce(h.kind, {", ".join(f"CASE WHEN regexp_matches(split_part(nm.name, ' ', 2), '(?i){p}') THEN '{k}' END" for k, p in _BY_TEXT)}, {", ".join(f"CASE WHEN regexp_matches(nm.name, '(?i){p}') THEN '{k}' END" for k, p in _BY_NAME)}) AS kind
   FROM nm LEFT JOIN (VALUES {", ".join(str(x) for x in _BY_HAND)}) h(name, kind) USING (name)),
 up AS (SELECT name, name AS at, 0 AS d FROM nm UNION ALL SELECT up.name, pa.parent, d + 1 FROM up JOIN pa ON pa.name = up.at),
-fd AS (SELECT up.name, arg_min(kind, d) AS kind FROM up JOIN ow ON ow.name = up.at WHERE kind IS NOT NULL GROUP BY up.name)
-SELECT nm.name, coalesce(kind, 'other') AS kind FROM nm LEFT JOIN fd USING (name)""",
-)
+fd AS (SELECT up.name, arg_min(kind, d) AS kind FROM up JOIN ow ON ow.name = up.at WHERE kind IS NOT NULL GROUP BY up.name)"""
+
+
+@CORE.query("kinds", _KINDS + " SELECT nm.name, coalesce(kind, 'other') AS kind FROM nm LEFT JOIN fd USING (name)")
 def kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = _names(spark, sf_dir)
     d = n.select("name", F.split_part("name", F.lit(" "), F.lit(2)).alias("description"))
     return K.assign_kinds(d, K.parents(n, "name", "size"), spark.createDataFrame(_BY_HAND, "name string, kind string"), _BY_TEXT, _BY_NAME)
 
 
+@CORE.query("kind_totals", _KINDS + " SELECT coalesce(kind, 'other') AS kind, count(*) AS names, CAST(sum(size) AS BIGINT) AS rows FROM nm LEFT JOIN fd USING (name) GROUP BY 1")
+def kind_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = kinds(spark, sf_dir).join(_names(spark, sf_dir), "name")
+    return k.groupBy("kind").agg(F.count("*").alias("names"), F.sum("size").alias("rows"))
+
+
 @CORE.query(
     "sentence_counts",
     r"SELECT doc_id, len(list_filter(string_split_regex(regexp_replace(text, '(?m)^#+ .*$', '', 'g'), '[.!?]\s+|\n+'), lambda s: length(trim(s, E' \t\n\r')) >= 30)) AS n FROM documents WHERE text IS NOT NULL",

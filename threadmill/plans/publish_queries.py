@@ -175,6 +175,33 @@ def residue_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.join(ch, "xid").groupBy("channel_id").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "channel_id").limit(20)
 
 
+@CORE.query(
+    "claim_cases",
+    _CLAIMS + " SELECT xid, speaker, statement, max(claim) AS claim, arg_max(review, claim) AS review FROM cl WHERE review IS NOT NULL GROUP BY xid, speaker, statement",
+)
+def claim_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviewed statements as cases, once per exchange, speaker and statement: the latest review counts."""
+    from ..operators.current import latest_by
+
+    c = claims(spark, sf_dir).where("review IS NOT NULL").select("xid", "speaker", "statement", "claim", "review")
+    return latest_by(c.withColumn("no", F.col("claim")), ["xid", "speaker", "statement"], ["no"], ["claim", "review"])
+
+
+@CORE.query(
+    "run_report",
+    _CLAIMS + ", x AS (SELECT xid, xid % 4 AS run, count(*) FILTER (WHERE len(refs) > 0) AS n, count_if(review IN ('wrong', 'made_up')) AS rejected, count_if(verdict = 'supported') AS supported, count_if(verdict IS NULL) AS unchecked FROM cl GROUP BY xid) SELECT run, count_if(xid % 19 <> 0) AS ok, count_if(xid % 19 = 0) AS failed, count_if(n = 0) AS without_claims, CAST(sum(n) AS BIGINT) AS claims, CAST(sum(rejected) AS BIGINT) AS rejected, CAST(sum(supported) AS BIGINT) AS supported, CAST(sum(unchecked) AS BIGINT) AS unchecked FROM x GROUP BY run",
+)
+def run_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each extraction run brought; an exchange belongs to the run of its number's rest by four."""
+    x = claims(spark, sf_dir).groupBy("xid").agg(
+        F.count_if(F.size("refs") > 0).alias("n"), F.count_if(F.col("review").isin("wrong", "made_up")).alias("rejected"), F.count_if(F.col("verdict") == "supported").alias("supported"), F.count_if(F.col("verdict").isNull()).alias("unchecked")
+    )
+    bad = F.col("xid") % 19 == 0
+    return x.groupBy((F.col("xid") % 4).alias("run")).agg(
+        F.count_if(~bad).alias("ok"), F.count_if(bad).alias("failed"), F.count_if(F.col("n") == 0).alias("without_claims"), F.sum("n").alias("claims"), F.sum("rejected").alias("rejected"), F.sum("supported").alias("supported"), F.sum("unchecked").alias("unchecked")
+    )
+
+
 # ---- queues
 
 @CORE.query("likely_irrelevant", _SCORE + ", pl AS (SELECT xid, score FROM scored WHERE xid % 3 <> 0 ORDER BY score, xid LIMIT 2000), sh AS (SELECT xid, count_if(contains(content, '`')) / count(*) AS share FROM em GROUP BY xid) SELECT pl.xid, score, round(share, 9) AS share FROM pl JOIN sh USING (xid) ORDER BY share, score, xid LIMIT 100")
@@ -287,6 +314,18 @@ def compare_scorers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one("a", F.col("value")).unionByName(one("b", F.col("value") * (1 + F.col("event_id") % 7)))
 
 
+@CORE.query(
+    "held_out_auc",
+    "WITH s AS (SELECT event_id, value AS score, event_type IN ('error', 'purchase') AS label, CASE WHEN ('0x' || left(sha256(CAST(event_id AS VARCHAR)), 2))::INTEGER % 5 = 0 THEN 'held_out' ELSE 'build' END AS slice FROM events), r AS (SELECT slice, label, rank() OVER (PARTITION BY slice ORDER BY score) + (count(*) OVER (PARTITION BY slice, score) - 1) / 2.0 AS rk FROM s)"
+    " SELECT slice, round((sum(rk) FILTER (WHERE label) - count_if(label) * (count_if(label) + 1) / 2.0) / (count_if(label) * count_if(NOT label)), 9) AS auc, count_if(label) AS n_pos, count_if(NOT label) AS n_neg FROM r GROUP BY slice",
+)
+def held_out_auc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A scorer on the held-out slice and on the rest."""
+    e = table(spark, sf_dir, "events").select("value", F.col("event_type").isin("error", "purchase").alias("label"), stats.in_holdout(F.col("event_id")).alias("held"))
+    one = lambda n, test: C.auc(e.where(test).select(F.col("value").alias("score"), "label")).select(F.lit(n).alias("slice"), F.round("auc", 9).alias("auc"), "n_pos", "n_neg")
+    return one("held_out", F.col("held")).unionByName(one("build", ~F.col("held")))
+
+
 # ---- vectors
 
 
@@ -301,6 +340,24 @@ def vector_novelty(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(F.col("id").alias("vec_id"), "nearest", F.round("similarity", 5).alias("similarity"))
 
 
+_NOVEL = "WITH q AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), n AS (SELECT a.vec_id, a.label, max(round(list_cosine_similarity(a.e, b.e), 9)) AS s FROM q a JOIN q b ON b.label = a.label AND b.vec_id <> a.vec_id WHERE a.vec_id % 20 = 0 GROUP BY ALL)"
+
+
+@CORE.query(
+    "novelty_summary",
+    _NOVEL + ", r AS (SELECT s, row_number() OVER (ORDER BY s) AS i, count(*) OVER () AS m FROM n), c AS (SELECT DISTINCT k.i, (m + 1) * k.i / 10.0 AS r, m FROM (VALUES (1), (5), (9)) k(i), r), j AS (SELECT i, r, greatest(1, least(CAST(floor(r) AS BIGINT), m - 1)) AS j FROM c)"
+    " SELECT CAST(j.i AS BIGINT) AS i, round(a.s + (b.s - a.s) * (j.r - j.j), 6) AS cut, (SELECT count_if(s >= 0.5) FROM n) AS established FROM j JOIN r a ON a.i = j.j JOIN r b ON b.i = j.j + 1",
+)
+def novelty_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tenth, half and nine tenths of the similarities, and how many are established."""
+    from ..operators.relational import exclusive_quantiles
+
+    v = spread(table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("label").alias("group"), F.col("embedding").alias("v")), "id")
+    b = settle(best_match(v.where("id % 20 = 0"), v).select(F.col("similarity").alias("s")), "novelty")
+    known = F.broadcast(b.agg(F.count_if(F.col("s") >= 0.5).alias("established")))  # one row
+    return exclusive_quantiles(b, "s", 10).where("i IN (1, 5, 9)").select("i", F.round("cut", 6).alias("cut")).join(known, F.lit(True))
+
+
 # ---- recipes
 
 RECIPES = [{"gap": 30, "max": 50, "overlap": 3}, {"gap": 30, "max": 50, "overlap": 0}, {"max": 50, "gap": 30, "overlap": 3}, {"gap": 60, "max": 50, "overlap": 3}]
