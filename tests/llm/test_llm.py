@@ -234,8 +234,9 @@ def tagger():
 def test_pii_of_hand_written_lines(tagger, file, least, exact):
     """Lines that share no sentence with the training rows: recall and precision of each kind.
 
-    The first file was looked at while the tagger was made, the second wasn't;
-    that one is full of places and firms of two capital words.
+    The first file was looked at while the tagger was made; the second was
+    written afterwards, but in view when the last training mix was chosen, and
+    is full of places and firms of two capital words.
     """
     want, hit, found = Counter(), Counter(), Counter()
     rows = marked_lines(file)
