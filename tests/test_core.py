@@ -24,7 +24,7 @@ from threadmill.operators.ledger import DONE, PENDING, PLAN, Ledger, Runs, RunUn
 from threadmill.operators.sessions import sessionize
 from threadmill.plans import text_queries
 from threadmill.sources import archive
-from threadmill.storage import scratch
+from threadmill.storage import scratch, settle
 from threadmill.streaming import pipeline
 
 T0 = datetime(2024, 1, 1)
@@ -403,6 +403,28 @@ def test_logistic_is_plain_descent():
     assert np.allclose(got[0], w) and abs(got[1] - b) < 1e-9
 
 
+def test_out_of_fold_scores_can_be_joined(spark):
+    rng = random.Random(3)
+    docs = [(i, sorted({f"w{rng.randrange(60)}" for _ in range(rng.randrange(0, 9))})) for i in range(400)]
+    labels = [(i, "w7" in t or rng.random() < 0.3) for i, t in docs if i % 3]
+    d = settle(spark.createDataFrame(docs, "id long, tokens array<string>"), "docs")
+    x, y = (settle(spark.createDataFrame(r, "id long, label boolean"), "labels") for r in (labels, [(i, not v) for i, v in labels[::2]]))
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = C.out_of_fold_bayes(d, x).join(C.out_of_fold_bayes(d, y).withColumnRenamed("p", "q"), "id").collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert len(got) == 400
+    fold = {r.id: r.fold for r in d.select("id", stats.fold(F.col("id"), 2).alias("fold")).collect()}
+    for name, known in (("p", x), ("q", y)):
+        for k in range(2):
+            rest = known.join(d, "id").where(stats.fold(F.col("id"), 2) != k)
+            want = C.fisher_scores(d, C.token_probability(C.nb_counts(rest), C.class_totals(rest)))
+            want = {r.id: r.p for r in want.collect()}
+            assert all(abs(r[name] - want[r.id]) < 1e-9 for r in got if fold[r.id] == k)
+
+
 def test_wilson_without_rows(spark):
     lo, _ = stats.wilson(F.lit(0), F.lit(0))
     assert spark.range(1).select(lo).first()[0] is None

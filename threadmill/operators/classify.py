@@ -20,27 +20,28 @@ def nb_counts(examples: DataFrame) -> DataFrame:
     return t.groupBy("token").agg(F.count_if("label").alias("pos"), F.count_if(~F.col("label")).alias("neg"))
 
 
-def token_probability(counts: DataFrame, totals: DataFrame) -> DataFrame:
-    """Robinson's smoothed share of positives per token: token, p, seen; 0.5 if a class is empty."""
-    j = counts.join(F.broadcast(totals), F.lit(True))  # one row
+def token_probability(counts: DataFrame, totals: DataFrame, keys: tuple[str, ...] = ()) -> DataFrame:
+    """Robinson's smoothed share of positives per token (and ``keys``): token, keys, p, seen; 0.5 if a class is empty."""
+    j = counts.join(F.broadcast(totals), list(keys) or F.lit(True))  # one row (one per keys)
     a, b = F.col("pos") / F.col("n_pos"), F.col("neg") / F.col("n_neg")
     raw = a / (a + b)
     seen = F.col("pos") + F.col("neg")
     p = F.when((F.col("n_pos") == 0) | (F.col("n_neg") == 0) | (seen == 0), 0.5).otherwise((0.5 + seen * raw) / (1 + seen))
-    return j.select("token", p.alias("p"), seen.alias("seen"))
+    return j.select("token", *keys, p.alias("p"), seen.alias("seen"))
 
 
 def class_totals(examples: DataFrame) -> DataFrame:
     return examples.agg(F.count_if("label").alias("n_pos"), F.count_if(~F.col("label")).alias("n_neg"))
 
 
-def fisher_scores(docs: DataFrame, probabilities: DataFrame, clues: int = 150) -> DataFrame:
+def fisher_scores(docs: DataFrame, probabilities: DataFrame, clues: int = 150, keys: tuple[str, ...] = ()) -> DataFrame:
     """Combined probability of every document: id, p, n_clues.
 
     The strongest ``clues`` tokens at least 0.1 away from 0.5 are combined by
-    Fisher's method; a document without clues gets 0.5.
+    Fisher's method; a document without clues gets 0.5.  Documents meet
+    probabilities of their own ``keys`` only.
     """
-    t = docs.select("id", F.explode("tokens").alias("token")).join(probabilities, "token")
+    t = docs.select("id", *keys, F.explode("tokens").alias("token")).join(probabilities, ["token", *keys])
     t = t.withColumn("strength", F.abs(F.col("p") - 0.5)).where("strength >= 0.1 - 1e-12")
     w = Window.partitionBy("id").orderBy(F.desc("strength"), F.desc("token"))
     t = t.withColumn("rn", F.row_number().over(w)).where(F.col("rn") <= clues)
@@ -212,17 +213,21 @@ def top_tokens(probabilities: DataFrame, n: int) -> DataFrame:
 
 
 def out_of_fold_bayes(docs: DataFrame, labels: DataFrame, folds: int = 2) -> DataFrame:
-    """Every document scored by the model of the other folds: id, p.  ``docs``: id, tokens; ``labels``: id, label."""
+    """Every document scored by the model of the other folds: id, p.  ``docs``: id, tokens; ``labels``: id, label.
+
+    All models are counted and applied in one pass, each fold's as what is
+    left of all counts without its own.
+    """
     from ..functions.stats import fold
 
     f = docs.withColumn("fold", fold(F.col("id"), folds))
-    known = f.join(labels.select(F.col("id").alias("l_id"), "label"), F.col("id") == F.col("l_id")).select("id", "label", "tokens", "fold")
-    every = None
-    for k in range(folds):
-        rest = known.where(F.col("fold") != k)
-        one = fisher_scores(f.where(F.col("fold") == k), token_probability(nb_counts(rest), class_totals(rest))).select("id", "p")
-        every = one if every is None else every.unionByName(one)
-    return every
+    known = f.join(labels.select(F.col("id").alias("l_id"), "label"), F.col("id") == F.col("l_id")).select("label", "tokens", F.col("fold").alias("own"))
+    others = lambda test: [F.count_if(test & (F.col("own") != k)) for k in range(folds)]
+    model = lambda a, b: F.explode(F.array(*(F.struct(F.lit(k).alias("fold"), F.col(f"p{k}").alias(a), F.col(f"q{k}").alias(b)) for k in range(folds)))).alias("m")
+    sums = [c.alias(f"{n}{k}") for n, test in (("p", F.col("label")), ("q", ~F.col("label"))) for k, c in enumerate(others(test))]
+    counts = known.select("label", "own", F.explode("tokens").alias("token")).groupBy("token").agg(*sums).select("token", model("pos", "neg")).select("token", "m.*")
+    totals = known.agg(*sums).select(model("n_pos", "n_neg")).select("m.*")
+    return fisher_scores(f, token_probability(counts, totals, ("fold",)), keys=("fold",)).select("id", "p")
 
 
 def logit(p: Column, bound: float = 10.0) -> Column:
