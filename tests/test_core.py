@@ -403,6 +403,20 @@ def test_logistic_is_plain_descent():
     assert np.allclose(got[0], w) and abs(got[1] - b) < 1e-9
 
 
+def test_logistic_over_a_table_takes_every_row(spark):
+    import numpy as np
+
+    # Rows that a share of the table by hash would hardly hold decide the fit.
+    d = spark.range(24_000).select(((F.col("id") % 7) - 3.0).alias("z0"), ((F.col("id") % 11) - 5.0).alias("z1"), ((F.col("id") % 13) + (F.col("id") % 7) > 11).alias("label"))
+    d = d.unionByName(spark.range(900).select(F.lit(9.0).alias("z0"), (F.col("id") / 100).alias("z1"), F.lit(False).alias("label")))
+    rows = d.collect()
+    w, b = C.fit_logistic(np.array([(r.z0, r.z1) for r in rows]), np.array([r.label for r in rows], float), 12)
+    for held in (0, 10_000):
+        got = C.fit_logistic_rows(d.unionByName(d.limit(3).withColumn("label", F.lit(None).cast("boolean"))), ["z0", "z1"], 12, held=held)
+        assert np.allclose(got[0], w, atol=1e-12) and abs(got[1] - b) < 1e-12
+    assert C.fit_logistic_rows(d.limit(0), ["z0", "z1"]) is None
+
+
 def test_out_of_fold_scores_can_be_joined(spark):
     rng = random.Random(3)
     docs = [(i, sorted({f"w{rng.randrange(60)}" for _ in range(rng.randrange(0, 9))})) for i in range(400)]

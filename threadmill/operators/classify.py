@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.stats import chi2_survival
+from ..storage import settle
 from .order import numbered, prefix_sums
 
 
@@ -115,6 +116,47 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, rounds: int = 200, rate: float =
     return w, b
 
 
+def _slope(batch, features: list[str], w: np.ndarray, b: float) -> tuple[np.ndarray, float]:
+    """Sum of the gradients over the rows of an Arrow batch or table: weights, intercept."""
+    x, y, n = np.column_stack([batch.column(c).to_numpy() for c in features]), batch.column("y").to_numpy(), batch.column("n").to_numpy()
+    e = n * (1 / (1 + np.exp(-np.clip(x @ w + b, -500, 500))) - y)
+    return x.T @ e, float(e.sum())
+
+
+def fit_logistic_rows(rows: DataFrame, features: list[str], rounds: int = 200, rate: float = 0.1, held: int = 1_000_000) -> tuple[np.ndarray, float] | None:
+    """``fit_logistic`` on every row of a table of ``features`` and label; None without rows.
+
+    Equal rows are folded with their number.  Up to ``held`` different rows are
+    fitted here; more stay where they are, and every round is one pass over
+    them of which only sums come back.
+    """
+    x = rows.where("label IS NOT NULL").groupBy(*(F.col(c).cast("double").alias(c) for c in features), F.col("label").cast("double").alias("y")).agg(F.count("*").cast("double").alias("n"))
+    x = settle(x, "examples")
+    different, total = x.agg(F.count("*"), F.sum("n")).first()
+    if not different:
+        return None
+    here = x.toArrow() if different <= held else None
+    w, b = np.zeros(len(features)), 0.0
+    for _ in range(rounds):
+        if here is not None:
+            g, h = _slope(here, features, w, b)
+        else:
+
+            def run(batches, w=w, b=b):
+                import pyarrow as pa
+
+                g, h = np.zeros(len(features)), 0.0
+                for batch in batches:
+                    dg, dh = _slope(batch, features, w, b)
+                    g, h = g + dg, h + dh
+                yield pa.RecordBatch.from_pydict({"g": pa.array([g.tolist()], pa.list_(pa.float64())), "h": pa.array([h])})
+
+            parts = x.mapInArrow(run, "g array<double>, h double").collect()
+            g, h = np.sum([r["g"] for r in parts], axis=0), sum(r["h"] for r in parts)
+        w, b = w - rate * (g + w) / total, b - rate * h / total  # l2 is 1/n
+    return w, b
+
+
 def fit_head(vectors: DataFrame, most: int = 20_000, rounds: int = 300, rate: float = 0.01) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Mean, scale, weights and intercept of a logistic head on z-scored vectors (id, label, v).
 

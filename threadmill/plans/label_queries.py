@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -148,7 +147,7 @@ def message_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     One learns which messages are cited, the other which stand in relevant
     exchanges.  Every message is scored by models that didn't learn from its
     half, and the combiner is fitted to citations on such scores (logits
-    clipped to +-10) of at most 20,000 messages taken by hash.
+    clipped to +-10) of all messages with a label.
     """
     em = exchange_messages(spark, sf_dir)
     m = settle(em.select("id", T.word_tokens(F.col("content")).alias("tokens")), "tokens")
@@ -156,11 +155,10 @@ def message_ensemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     relevant = em.select("id", "xid").join(derived_labels(spark, sf_dir).where("label IS NOT NULL").select("xid", (F.col("label") == "relevant").alias("label")), "xid").select("id", "label")
     a, b = (C.out_of_fold_bayes(m, labels).select("id", C.logit(F.col("p")).alias(n)) for labels, n in ((cited, "z0"), (relevant, "z1")))
     both = settle(a.join(b, "id"), "scores")
-    rows = both.join(cited, "id").orderBy(F.xxhash64("id"), "id").limit(20_000).select("id", "z0", "z1", "label").collect()
-    rows.sort(key=lambda r: r["id"])
-    if not rows:
+    fitted = C.fit_logistic_rows(both.join(cited, "id"), ["z0", "z1"])
+    if fitted is None:
         return both.select("id", F.lit(0.5).alias("p"))
-    w, k = C.fit_logistic(np.array([(r["z0"], r["z1"]) for r in rows], float).reshape(-1, 2), np.array([r["label"] for r in rows], float))
+    w, k = fitted
     z = F.col("z0") * float(w[0]) + F.col("z1") * float(w[1]) + float(k)
     return both.select("id", F.round(1 / (1 + F.exp(-z)), 6).alias("p"))
 
