@@ -522,6 +522,19 @@ def test_near_duplicates_random(spark):
         assert got[i].n_links == sum(sim(sets[i], sets[j]) and sets[i] != sets[j] for j in sets if j != i)
 
 
+def test_links_write_no_candidates(spark, monkeypatch):
+    # 400 texts that all share three words and are otherwise different: 79,800 candidates, 2 links.
+    sets = {i: {"x", "y", "z", *(f"w{i}_{j}" for j in range(3)), f"v{i % 5}"} for i in range(400)}
+    sets |= {401: {"x", "y", "z", "w7_0", "w7_1", "w7_2"}, 402: {"x", "y", "w8_0", "w8_1", "w8_2", "v3", "q"}}
+    wide = []
+    monkeypatch.setattr(similar, "settle", lambda df, what: (lambda d: (wide.append((what, d.count())), d)[1])(settle(df, what)))
+    _, links = similar.similar_links(spark.createDataFrame([(i, sorted(s)) for i, s in sets.items()], "id long, items array<string>"), 0.6)
+    want = {(i, j) for i in sets for j in sets if i < j and len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.6}
+    assert {(r.a, r.b) for r in links.collect()} == want and {(7, 401), (8, 402)} <= want
+    assert links.count() == len(want)
+    assert max(n for _, n in wide) <= len(sets)  # neither candidates nor a row per item
+
+
 def test_leaders_along_a_chain(spark):
     n = spark.createDataFrame([(i,) for i in range(1, 30)], "node long")
     chain = spark.createDataFrame([(i, i + 1) for i in range(1, 20)] + [(3, 28), (2, 28), (20, 21)], "a long, b long")

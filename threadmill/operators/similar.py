@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..storage import settle
+from .order import numbered
 
 
 def shingles(text_words, size: int):
@@ -48,20 +51,34 @@ def _links(reps: DataFrame, threshold: float) -> DataFrame:
     """Similar pairs of different sets: a, b (a < b), ca, cb (their copies).
 
     The join is exact: two such sets share one of their first (rarest)
-    n - ceil(t n) + 1 items, so only those are joined.
+    n - ceil(t n) + 1 items, so only those are joined.  A pair is compared
+    where its first shared item meets, inside the join, so that candidates are
+    never written: the places of the item and a bitmap of each set bound what
+    they can share before the sets themselves are looked at.
     """
-    one = reps.select("id", "n", F.explode("items").alias("item"))
-    frequency = one.groupBy("item").agg(F.count("*").alias("f"))
-    # A set's rarest items: its prefix is a bounded share of the set itself.
-    ranked = one.join(frequency, "item").withColumn("rn", F.row_number().over(Window.partitionBy("id").orderBy("f", "item")))
-    prefix = settle(ranked.where((F.col("rn") <= F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1) & (F.col("f") > 1)).select("item", "id", "n"), "prefix")
+    one = reps.select("id", "n", "copies", F.explode("items").alias("item"))
+    frequency = one.groupBy("item").agg(F.count("*").alias("f")).where("f > 1").withColumn("h", F.shiftright(F.xxhash64("item"), 8))
+    # Items get small numbers, since rows of the join carry their sets; what only one set has counts in n alone.
+    number = numbered(frequency, [], ["h", "item"]).select("item", "f", F.col("no").cast("int").alias("no"))
+    sets = one.join(number, "item").groupBy("id", "n", "copies").agg(F.transform(F.sort_array(F.collect_list(F.struct("f", "no"))), lambda x: x["no"]).alias("w"))
+    sets = settle(sets.withColumn("bits", F.expr("aggregate(w, 0L, (s, x) -> s | shiftleft(1L, x % 64))")), "sets")
+    prefix = sets.withColumn("k", F.size("w")).select("id", "n", "copies", "w", "bits", "k", F.posexplode(F.slice("w", 1, F.greatest(F.lit(0), F.least(F.col("k"), F.col("k") - F.ceil(F.lit(threshold) * F.col("n") - 1e-9) + 1)).cast("int"))).alias("at", "item"))
     a, b = prefix.alias("a"), prefix.alias("b")
-    sized = (F.col("a.n") >= F.lit(threshold) * F.col("b.n") - 1e-9) & (F.col("b.n") >= F.lit(threshold) * F.col("a.n") - 1e-9)
-    pairs = a.join(b, (F.col("a.item") == F.col("b.item")) & (F.col("a.id") < F.col("b.id")) & sized).select(F.col("a.id").alias("a"), F.col("b.id").alias("b")).distinct()
-    left, right = reps.select(F.col("id").alias("a"), F.col("items").alias("ia"), F.col("copies").alias("ca")), reps.select(F.col("id").alias("b"), F.col("items").alias("ib"), F.col("copies").alias("cb"))
-    j = pairs.join(left, "a").join(right, "b")
-    shared = F.size(F.array_intersect("ia", "ib"))
-    return settle(j.where(shared >= F.lit(threshold) * (F.size("ia") + F.size("ib") - shared) - 1e-9).select("a", "b", "ca", "cb"), "links")
+    least = F.lit(threshold / (1 + threshold)) * (F.col("a.n") + F.col("b.n")) - 1e-6
+    both = F.array_intersect("a.w", "b.w")  # in the order of a.w
+    shared = F.size(both)
+    tests = [
+        F.col("a.item") == F.col("b.item"),
+        F.col("a.id") < F.col("b.id"),
+        F.col("a.k") - F.col("a.at") >= least,
+        F.col("b.k") - F.col("b.at") >= least,
+        F.col("a.k") - F.bit_count(F.col("a.bits").bitwiseAND(F.bitwise_not("b.bits"))) >= least,
+        F.col("b.k") - F.bit_count(F.col("b.bits").bitwiseAND(F.bitwise_not("a.bits"))) >= least,
+        shared >= F.lit(threshold) * (F.col("a.n") + F.col("b.n") - shared) - 1e-9,
+        F.element_at(both, 1) == F.col("a.item"),
+    ]
+    pairs = a.join(b, reduce(lambda x, y: x & y, tests))
+    return settle(pairs.select(F.col("a.id").alias("a"), F.col("b.id").alias("b"), F.col("a.copies").alias("ca"), F.col("b.copies").alias("cb")), "links")
 
 
 def similar_links(sets: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
